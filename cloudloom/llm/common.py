@@ -18,16 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     The session's ``spark.checkpoint.dir`` names it on a cluster.  Only where that is
     unset (a local session, as in tests) a temporary folder takes its place.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='cloudloom-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='cloudloom-')}"
+        named = _own_dirs[app]
     return named.rstrip("/")
 
 
