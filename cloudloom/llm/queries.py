@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import search
 from .common import table
+from .html_extract import extract_text
 from .line_dedup import line_dedup
+from .packing import pack_documents
 from .pii import pii_report
 from .url_filter import judge_urls
 
@@ -22,16 +25,34 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page's URL."""
     out = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents in sequences of 2048 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), capacity=2048, end_id=0, keep_ids=False)
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth vector."""
+    return search(table(spark, sf_dir, "embeddings"), query_where="vec_id % 20 = 0", k=20)
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_pii": op3_pii,
+    "op4_html_extract": op4_html_extract,
     "op5_url_filter": op5_url_filter,
+    "op6_packing": op6_packing,
+    "op9_ann": op9_ann,
 }
 
 ORACLES = {
