@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
 from .ann import search
 from .common import table
 from .html_extract import extract_text
@@ -41,6 +42,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), capacity=2048, end_id=0, keep_ids=False)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), calibrate=False)
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors found for every twentieth vector."""
     return search(table(spark, sf_dir, "embeddings"), query_where="vec_id % 20 = 0", k=20)
@@ -52,6 +62,7 @@ QUERIES = {
     "op4_html_extract": op4_html_extract,
     "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
     "op9_ann": op9_ann,
 }
 
