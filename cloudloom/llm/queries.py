@@ -10,6 +10,7 @@ from .ann import search
 from .common import table
 from .html_extract import extract_text
 from .line_dedup import line_dedup
+from .ngram_join import ngram_classes
 from .packing import pack_documents
 from .pii import pii_report
 from .url_filter import judge_urls
@@ -51,6 +52,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by Jaccard similarity of 4-word shingles, 0.85 or more."""
+    return ngram_classes(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors found for every twentieth vector."""
     return search(table(spark, sf_dir, "embeddings"), query_where="vec_id % 20 = 0", k=20)
@@ -63,6 +69,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_ngram_join": op8_ngram_join,
     "op9_ann": op9_ann,
 }
 
