@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import toxicity
 from .ann import search
 from .common import table
+from .decontaminate import find_leaks
 from .html_extract import extract_text
 from .line_dedup import line_dedup
 from .ngram_join import ngram_classes
@@ -62,6 +63,11 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), query_where="vec_id % 20 = 0", k=20)
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and the similarity."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_pii": op3_pii,
@@ -71,6 +77,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_ngram_join": op8_ngram_join,
     "op9_ann": op9_ann,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES = {
