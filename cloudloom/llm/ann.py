@@ -26,8 +26,8 @@ from .common import written
 
 #: Bound on the rows that the codebooks are fitted on, whatever the size of the table.
 SAMPLE_ROWS = 10_000
-#: Entries that a shard holds: 64 dimensions in double precision are about 10 MB.
-SHARD_ENTRIES = 20_000
+#: Entries that a shard holds: 64 dimensions in double precision are about 4 MB.
+SHARD_ENTRIES = 8_000
 _QUERY_BLOCK = 256
 
 
@@ -166,7 +166,7 @@ def search(
     for cell, n in entries.groupBy("cell").count().collect():  # centroids squared at most
         counts[cell // k2, cell % k2] = n
     total = int(counts.sum())
-    shards = max(-(-total // shard_entries), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(1, -(-total // shard_entries))
     wanted = int(np.ceil(share * total))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
