@@ -14,9 +14,16 @@ from .line_dedup import line_dedup
 from .ngram_join import ngram_classes
 from .packing import pack_documents
 from .pii import pii_report
+from .secrets import scan_secrets
 from .url_filter import judge_urls
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate for a secret with its score and the forest's decision."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return scan_secrets(docs, path_col="source").drop("source")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines found in ten or more documents are dropped from all of them."""
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
@@ -69,6 +76,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_line_dedup": op2_line_dedup,
     "op3_pii": op3_pii,
     "op4_html_extract": op4_html_extract,
