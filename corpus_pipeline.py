@@ -33,11 +33,17 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays: the one with the smallest id.
 
-    Classes are linked by Jaccard similarity 0.8 or more of five-word shingles.
+    Classes are linked by Jaccard similarity 0.8 or more of five-word shingles.  Of rows
+    repeated under one id one stays; rows without an id all stay.
     """
-    classes = ngram_classes(docs, width=5, percent=80)
-    copies = written(classes.where("component_id < doc_id").select("doc_id").distinct(), "copies")
-    return docs.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    classes = written(ngram_classes(docs, width=5, percent=80), "classes")
+    copies = classes.where("component_id < doc_id").select("doc_id").distinct()
+    out = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    again = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.take(1):
+        once = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+        out = out.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    return out
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
