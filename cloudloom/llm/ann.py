@@ -189,7 +189,7 @@ def search(
     sent = written(queries, "queries").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     dealt = entries.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
 
-    def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def rerank(left, right):
         out = []
         if len(left) and len(right):
             right = right.sort_values("cell", kind="stable")

@@ -4,8 +4,9 @@ Equal sets are one node.  Every set is sorted in one global order, frequent shin
 last, and its first elements (the prefix) are indexed: sets similar enough share an
 element of their prefixes.  Index lists are in blocks by set size, and what a block's
 sizes and positions rule out is skipped.  Links between highly similar sets are found
-first, each list being compared with one of its sets only; the classes they form then
-answer for their members, and the lists are searched again only across classes.  An
+first: sets that vary one text are compared among themselves as matrices, and other lists
+with a few of their sets only.  The classes found then answer for their members, and the
+lists are searched again only across classes.  An
 upper bound on the overlap, from counts of the elements' hash ranges, drops most
 candidates before any two sets meet; the rest are verified on whole sets.
 """
@@ -16,6 +17,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,11 +26,15 @@ from pyspark.sql import functions as F
 from .common import written
 from .graph import components
 
-#: Shingles in more prefixes than this go to the end of the order, at most MAX_FREQUENT
-#: of them (8 bytes each).  Both only steer the work: any order gives the same links.
-FREQUENT, MAX_FREQUENT = 8, 500_000
+#: Shingles among the first elements (twice the prefix) of more sets than this go to the
+#: end of the order, at most MAX_FREQUENT of them (8 bytes each).  Both only steer the
+#: work: any order gives the same links.
+FREQUENT, MAX_FREQUENT = 16, 1_000_000
 #: Documents of at most this many ids (8 bytes each) are broadcast to fetch their sets.
 BROADCAST_ROWS = 500_000
+#: Sets around one text from which their pairs are compared in place, and the least size of
+#: the blocks that they are compared in.
+CLUSTER, CLUSTER_BLOCK = 64, 128
 #: Hash ranges counted for the upper bound on the overlap.
 RANGES = 64
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -118,7 +124,7 @@ class _Join:
         self.id_type = docs.schema[id_col].dataType.simpleString()
 
     def members(self) -> DataFrame:
-        """(id, sid, n, ranges, prefix): every document's set; prefix once per set and task."""
+        """(id, sid, n, ranges, prefix): every document's set; its first elements, once per set and task."""
         width, t = self.width, self.t
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +140,7 @@ class _Join:
                     if new:
                         seen.add(key)
                     ranges.append(ranges_of(own) if new else None)
-                    prefix.append(own[: t.probe(len(own))].view(np.int64) if new else None)
+                    prefix.append(own[: 2 * t.probe(len(own))].view(np.int64) if new else None)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(ranges, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
                     names=["id", "sid", "n", "ranges", "prefix"],
@@ -230,11 +236,10 @@ class _Join:
 
         return joined.mapInArrow(run, "a long, b long")
 
-    def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """The pairs (a, b) that hold on whole sets."""
-        t, width = self.t, self.width
-        ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(nodes, "sid").select("id").distinct()
-        ids = written(ids, "wanted")
+    def sets_of(self, sids: DataFrame, nodes: DataFrame) -> DataFrame:
+        """(sid, elements) of the given sets, from the whole texts of one document each."""
+        width = self.width
+        ids = written(sids.join(nodes, "sid").select("id").distinct(), "wanted")
         if ids.count() <= BROADCAST_ROWS:
             ids = F.broadcast(ids)
 
@@ -247,8 +252,13 @@ class _Join:
                         got[set_id(own)] = own.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.binary())], names=["sid", "elements"])
 
-        table = self.docs.join(ids, "id", "left_semi").mapInArrow(sets, "sid long, elements binary").groupBy("sid").agg(F.first("elements").alias("elements"))
-        table = written(table, "sets")
+        found = self.docs.join(ids, "id", "left_semi").mapInArrow(sets, "sid long, elements binary")
+        return written(found.groupBy("sid").agg(F.first("elements").alias("elements")), "sets")
+
+    def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The pairs (a, b) that hold on whole sets."""
+        t = self.t
+        table = self.sets_of(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), nodes)
         side = lambda c: table.select(F.col("sid").alias(c), F.col("elements").alias(f"e{c}"))
         joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ea", "eb")
 
@@ -263,6 +273,63 @@ class _Join:
 
         return joined.mapInArrow(run, "a long, b long")
 
+    def clusters(self, shared: DataFrame, weight: DataFrame) -> DataFrame:
+        """(sid, cluster, parts): sets gathered around the text that they vary, CLUSTER or more of them.
+
+        A list's hub is its set of most weight; a set belongs to its heaviest hub.  Pairs of
+        a cluster are compared in blocks, in place; ``parts`` is the number of blocks.
+        """
+        lists = shared.join(weight, "sid").groupBy("token").agg(F.max(F.struct("weight", "sid")).alias("hub"), F.count("*").alias("m")).where(f"m >= {CLUSTER}")
+        own = shared.join(lists, "token").groupBy("sid").agg(F.max("hub").alias("hub")).select("sid", F.col("hub.sid").alias("cluster"))
+        own = written(own, "hubs")
+        sizes = own.groupBy("cluster").agg(F.count("*").alias("m")).where(f"m >= {CLUSTER}")
+        block = F.least(F.greatest(F.lit(CLUSTER_BLOCK), F.sqrt("m") * 3), F.lit(2000))
+        return written(own.join(sizes, "cluster").select("sid", "cluster", F.ceil(F.col("m") / block).cast("int").alias("parts")), "clusters")
+
+    def within(self, clusters: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Links (a, b) inside clusters, as forests: every two blocks of a cluster are compared as matrices."""
+        t = self.t
+        table = self.sets_of(clusters.select("sid"), nodes)
+        own = clusters.join(table, "sid").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        spread = own.withColumn("other", other).select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "sid", "elements")
+
+        def compare(key, rows):
+            _, i, j = key
+            sid, part = rows["sid"].to_numpy(), rows["part"].to_numpy()
+            left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+            sets = [np.frombuffer(e, np.uint64) for e in rows["elements"]]
+            size = np.array([len(x) for x in sets], dtype=np.int64)
+            _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            row = np.repeat(np.arange(len(sets)), size)
+            shared = times[column] > 1  # an element of one set only adds nothing
+            row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+            both = np.zeros((len(left), len(right)), np.float32)
+            for lo in range(0, int(column.max()) + 1 if len(column) else 0, 4096):
+                now = (column >= lo) & (column < lo + 4096)
+                m = np.zeros((len(sets), 4096), np.float32)
+                m[row[now], column[now] - lo] = 1
+                both += m[left] @ m[right].T
+            both = both.astype(np.int64)
+            ok = 100 * both >= t.p * (size[left][:, None] + size[right][None, :] - both)
+            root = list(range(len(sets)))
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            out = []
+            for x, y in zip(*np.nonzero(ok)):
+                u, v = find(int(left[x])), find(int(right[y]))
+                if u != v:
+                    root[u] = v
+                    out.append((int(sid[left[x]]), int(sid[right[y]])))
+            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+        return spread.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
+
     def classes(self) -> DataFrame:
         p = self.t.p
         members = written(self.members(), "members")
@@ -277,25 +344,43 @@ class _Join:
         ratio = math.log(100 / p) if p < 100 else 1.0
         block = F.floor(F.log(F.col("n")) / ratio).cast("int")
         blocks = index.withColumn("block", block)
-        # answers of highly similar sets first: each block against its smallest set id
-        centre = blocks.groupBy("token", "block").agg(F.min(F.struct("sid", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
-        star = blocks.join(centre, ["token", "block"]).where("sid <> c.sid")
+        # answers of highly similar sets first: each block against three of its sets, the one
+        # whose shingles are in the most lists (the text that the others vary) and two by hash
+        lens = blocks.groupBy("token", "block").agg(F.count("*").alias("m")).where("m > 1")
+        shared = written(blocks.join(lens, ["token", "block"]), "shared")
+        weight = shared.groupBy("sid").agg(F.sum("m").alias("weight"))
+        pick = lambda *by: F.max(F.struct(*by, "sid", "n"))
+        clusters = self.clusters(shared, weight)
+        inner = written(self.within(clusters, nodes), "inner") if clusters.take(1) else None
+        centres = shared.join(weight, "sid").groupBy("token", "block").agg(
+            pick("weight").alias("c0"),
+            pick(F.xxhash64(F.lit(1), "sid")).alias("c1"),
+            pick(F.xxhash64(F.lit(2), "sid")).alias("c2"),
+        )
+        centres = centres.select("token", "block", F.array(*[F.struct(f"c{k}.sid", f"c{k}.n") for k in range(3)]).alias("cs"))
+        star = shared.join(centres, ["token", "block"]).withColumn("c", F.explode(F.array_distinct("cs"))).where("sid <> c.sid")
         star = star.where(f"100 * least(n, c.n) >= {p} * greatest(n, c.n)")
         star = star.select(F.least("sid", "c.sid").alias("a"), F.greatest("sid", "c.sid").alias("b")).distinct()
+        if inner is not None:
+            side = lambda c: clusters.select(F.col("sid").alias(c), F.col("cluster").alias(f"k{c}"))
+            star = star.join(side("a"), "a", "left").join(side("b"), "b", "left").where("ka is null or kb is null or ka <> kb").select("a", "b")
         star = written(self.possible(written(star, "star"), nodes), "possible")
         links = written(self.verified(star, nodes), "links")
+        if inner is not None:
+            links = links.unionByName(inner)
         roots = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
 
         # then only what lies across the classes found
         named = blocks.join(roots, blocks["sid"] == roots["node"], "left").select("token", "sid", "n", "pos", "block", F.coalesce("root", "sid").alias("root"))
+        named = named.join(clusters.select("sid", "cluster"), "sid", "left").withColumn("cluster", F.coalesce("cluster", "sid"))
         named = written(named, "named")
         mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
         named = written(named.join(mixed, "token", "left_semi"), "mixed")
         short = named.where(f"pos < n - ceil({2 * p} * n / {100 + p}) + 1").select(
-            "token", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("i"), F.col("root").alias("rx")
+            "token", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("i"), F.col("root").alias("rx"), F.col("cluster").alias("kx")
         )
-        long = named.select("token", "block", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("j"), F.col("root").alias("ry"))
-        met = short.join(long, ["token", "block"]).where("rx <> ry and (nx < ny or (nx = ny and x < y))").where(_bounded(0, 0, p))
+        long = named.select("token", "block", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("j"), F.col("root").alias("ry"), F.col("cluster").alias("ky"))
+        met = short.join(long, ["token", "block"]).where("rx <> ry and kx <> ky and (nx < ny or (nx = ny and x < y))").where(_bounded(0, 0, p))
         pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
         pairs = written(self.possible(written(pairs, "pairs"), nodes), "possible")
         if pairs.take(1):
