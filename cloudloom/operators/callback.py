@@ -45,7 +45,7 @@ def callback(df: DataFrame, function: Callable[[dict[str, np.ndarray]], dict[str
     names = exposed(df, expose)
     schema, columns = df.schema, df.columns
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
+    def run(own):
         if drop_buffer:
             own = own[~own["is_buffer"]]
         arrays = {n: own["is_buffer" if n == "Buffer" else n].to_numpy().astype(float) for n in names}
@@ -71,7 +71,7 @@ def collect_callback(df: DataFrame, function: Callable[[dict[str, np.ndarray]],
     """One row per tile from a function that returns named numbers."""
     names = exposed(df, expose)
 
-    def run(key, own: pd.DataFrame) -> pd.DataFrame:
+    def run(key, own):
         row = function({n: own["is_buffer" if n == "Buffer" else n].to_numpy().astype(float) for n in names})
         return pd.DataFrame([{"tile_x": key[0], "tile_y": key[1], **row}])
 

@@ -19,7 +19,7 @@ def _per_tile(df: DataFrame, tile: float, halo: float, function) -> DataFrame:
     """(pid, __flag) from ``function(points of a tile and its halo)``, for the tile's own points."""
     slim = df.select("pid", "X", "Y", "Z", "__ok")
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
+    def run(own):
         flags = np.zeros(len(own), dtype=np.int32)
         ok = own["__ok"].to_numpy()
         if ok.any():

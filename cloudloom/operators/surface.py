@@ -41,7 +41,7 @@ def spikefree(df: DataFrame, res: float = 0.5, freeze_distance: float = 0.5, hei
     """Raster of the spike-free surface of the accepted points."""
     points = df.where(all_of(df, conditions)).select("X", "Y", "Z")
 
-    def run(key, own: pd.DataFrame) -> pd.DataFrame:
+    def run(key, own):
         x, y, z = (own[c].to_numpy() for c in "XYZ")
         return tile_triangles(own, key, tile, spike_free_triangles(x, y, z, freeze_distance, height_buffer))
 
@@ -116,7 +116,7 @@ def region_growing(raster: DataFrame, band: str, seeds: DataFrame, res: float, t
     cells = raster.select("col", "row", F.col("x").alias("X"), F.col("y").alias("Y"), F.col(band).alias("v"), F.lit(None).cast("bigint").alias("fid"))
     tops = seeds.select(column_of(F.col("x"), res).alias("col"), row_of(F.col("y"), res).alias("row"), F.col("x").alias("X"), F.col("y").alias("Y"), F.col("z").alias("v"), "fid")
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
+    def run(own):
         is_seed = own["fid"].notna()
         grid = own[~is_seed & own["v"].notna()]
         heights = dict(zip(zip(grid["col"].tolist(), grid["row"].tolist()), grid["v"].tolist()))

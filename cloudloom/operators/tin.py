@@ -147,7 +147,7 @@ def triangulate(df: DataFrame, max_edge: float = 0.0, conditions=None, use_attri
     """
     points = df.where(all_of(df, conditions)).select("X", "Y", attribute(df, use_attribute).alias("Z"))
 
-    def run(key, own: pd.DataFrame) -> pd.DataFrame:
+    def run(key, own):
         x, y = own["X"].to_numpy(), own["Y"].to_numpy()
         t = delaunay(x, y)
         if max_edge and len(t):

@@ -133,7 +133,7 @@ def write_las(df: DataFrame, folder: str, by: list[str], scale: float = 0.001, f
     """One LAS file's bytes per group, as rows (name, content), written as Parquet under ``folder``."""
     columns = [c for c in df.columns if c not in by]
 
-    def run(key, own: pd.DataFrame) -> pd.DataFrame:
+    def run(key, own):
         return pd.DataFrame({"name": ["_".join(map(str, key)) + ".las"], "content": [encode(own[columns], scale, fmt=fmt)]})
 
     df.groupBy(*by).applyInPandas(run, "name string, content binary").write.mode("overwrite").parquet(folder)

@@ -84,7 +84,7 @@ def write_pcd(df: DataFrame, folder: str, by: list[str], binary: bool = True) ->
     """
     columns = [c for c in df.columns if c not in by]
 
-    def run(key, own: pd.DataFrame) -> pd.DataFrame:
+    def run(key, own):
         name = "_".join(map(str, key)) or uuid.uuid4().hex
         return pd.DataFrame({"name": [f"{name}.pcd"], "content": [encode(own[columns], binary)]})
 
