@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,13 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def strings(batch, column: int, rows: int = 500) -> Iterator[str | None]:
+    """A text column of an Arrow batch, a few rows at a time, so that a batch is not held twice."""
+    values = batch.column(column)
+    for at in range(0, len(values), rows):
+        yield from values.slice(at, rows).to_pylist()
+
+
 def fresh(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns named like those an operator is about to add."""
     taken = {n.lower() for n in names}

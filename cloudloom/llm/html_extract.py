@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import strings, written
 from .url_filter import url_host, url_path
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -186,7 +186,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     def parse(batches):
         for batch in batches:
-            got = [parse_blocks(x or "") for x in batch.column(4).to_pylist()]
+            got = [parse_blocks(x or "") for x in strings(batch, 4)]
             blocks = pa.array([b for b, _ in got], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], blocks, pa.array([s for _, s in got], pa.bool_())], names=schema.names)
 

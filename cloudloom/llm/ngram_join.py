@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import strings, written
 from .graph import components
 
 #: Shingles among the first elements (twice the prefix) of more sets than this go to the
@@ -131,7 +131,7 @@ class _Join:
             seen: set[int] = set()
             for batch in batches:
                 sid, n, ranges, prefix = [], [], [], []
-                for text in batch.column(1).to_pylist():
+                for text in strings(batch, 1):
                     own = shingle_set(text, width)
                     n.append(len(own))
                     key = set_id(own) if len(own) else None
@@ -158,7 +158,7 @@ class _Join:
             seen: set[int] = set()
             for batch in batches:
                 token, sid, size = [], [], []
-                for text in batch.column(1).to_pylist():
+                for text in strings(batch, 1):
                     own = shingle_set(text, width)
                     if not len(own) or (key := set_id(own)) in seen:
                         continue
@@ -246,7 +246,7 @@ class _Join:
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 got = {}
-                for text in batch.column(1).to_pylist():
+                for text in strings(batch, 1):
                     own = shingle_set(text, width)
                     if len(own):
                         got[set_id(own)] = own.tobytes()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import strings, written
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Rank offsets of at most this many rows (24 bytes each) are broadcast, more are shuffled.
@@ -153,7 +153,7 @@ def pack_documents(
         part = TaskContext.get().partitionId()
         for batch in batches:
             rows, piece, start, length, crc, ids_out, rank = [], [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, text in enumerate(strings(batch, 1)):
                 ids = np.array(encode(text or "", tokenizer_path, ranks_path) + [end_id], dtype="<u4")
                 for k, (s, n) in enumerate(cuts(len(ids), capacity)):
                     own = ids[s : s + n]

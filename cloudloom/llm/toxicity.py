@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, strings
 
 BUCKETS, DIMS, FILTERS = 1 << 15, 16, 8
 WIDTHS = (1, 2, 3)
@@ -30,7 +31,7 @@ PARTS = (3, 4, 5, 6, 7, 8, 10)
 #: Bounds on the labelled rows that the network is fitted on.
 MAX_TOXIC, MAX_CLEAN = 1500, 3000
 #: Words whose projections a worker holds before it starts afresh.
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 120_000
 _WORD = re.compile(r"[^\W_]+")
 _held: dict[str, tuple[dict[str, int], list[np.ndarray]]] = {}
 
@@ -185,21 +186,21 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, epochs: int
     return model
 
 
-def scores_of(model: Model, texts: list[str | None], cache: dict[str, int], table: list[np.ndarray]) -> np.ndarray:
+def scores_of(model: Model, texts: Iterable[str | None], cache: dict[str, int], table: list[np.ndarray]) -> np.ndarray:
     """Scores of texts; ``cache`` and ``table`` hold the projections of the words met so far."""
-    out = np.zeros(len(texts))
-    for n, text in enumerate(texts):
+    out = []
+    for text in texts:
         words = words_of(text)
         new = [w for w in dict.fromkeys(words) if w not in cache]
         if new:
-            if len(cache) + len(new) > _CACHE_WORDS:
+            if len(cache) + len(new) > _CACHE_WORDS and cache:
                 cache.clear()
                 table.clear()
                 new = list(dict.fromkeys(words))
             base = len(cache)
             rows = model.table([parts_of(w) for w in new]).astype(np.float32)
             if not table or base + len(rows) > len(table[0]):
-                grown = np.zeros((max(4096, 2 * (base + len(rows))), rows.shape[1]), np.float32)
+                grown = np.zeros((max(4096, base + len(rows), min(2 * (base + len(rows)), _CACHE_WORDS)), rows.shape[1]), np.float32)
                 if base:
                     grown[:base] = table[0][:base]
                 table[:] = [grown]
@@ -209,8 +210,8 @@ def scores_of(model: Model, texts: list[str | None], cache: dict[str, int], tabl
             z = model.activations(table[0][np.fromiter(map(cache.__getitem__, words), np.int64, len(words))])
         else:
             z = np.zeros((0, len(WIDTHS) * FILTERS), np.float32)
-        out[n] = model.score(pool(z))
-    return out
+        out.append(model.score(pool(z)))
+    return np.array(out)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -309,7 +310,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str |
             _held[key] = {}, []
         cache, table = _held[key]
         for batch in batches:
-            got = scores_of(own, batch.column(at).to_pylist(), cache, table)
+            got = scores_of(own, strings(batch, at), cache, table)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], names=schema.names)
 
     limit = F.lit(model.thresholds.get("", 0.5))
