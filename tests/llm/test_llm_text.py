@@ -1,0 +1,181 @@
+"""Line dedup, personal data, secrets, URL filters and HTML extraction against plain versions."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import Row
+
+from cloudloom.llm import html_extract, secrets, url_filter
+from cloudloom.llm.line_dedup import line_dedup
+from cloudloom.llm.pii import find_pii, pii_report
+
+SP = " \t\n\x0b\x0c\r"
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def docs_of(spark, texts, **more):
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, value in more.items():
+        df = df.selectExpr("*", f"{value} as {name}")
+    return df
+
+
+# --- line dedup -----------------------------------------------------------------------------
+def plain_dedup(texts, least):
+    key = lambda x: x.strip(SP).translate(LOW)
+    lines = [(t or "").split("\n") for t in texts]
+    seen = {}
+    for i, own in enumerate(lines):
+        for k in {key(x) for x in own} - {""}:
+            seen.setdefault(k, set()).add(i)
+    heavy = {k for k, v in seen.items() if len(v) >= least}
+    return [(len(own), sum(key(x) in heavy for x in own), "\n".join(x for x in own if key(x) not in heavy)) for own in lines]
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_line_dedup_matches_plain_version(spark, limit):
+    rng = random.Random(1)
+    lines = ["Common Line", " common line\t", "É common", "é common", "other", "", "   ", "rare one", "x" * 300]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(0, 12))) for _ in range(40)] + [None, "", "\n\n", "common line"]
+    out = line_dedup(docs_of(spark, texts, n_lines="'mine'", heavy="1", pos="2", k="3"), min_docs=10, broadcast_rows=limit)
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in out.collect()}
+    assert got == dict(enumerate(plain_dedup(texts, 10)))
+    assert {"heavy", "pos", "k"} <= set(out.columns)
+
+
+def test_line_dedup_counts_documents_not_rows(spark):
+    rows = [Row(doc_id=1, text="a\nb")] * 12 + [Row(doc_id=None, text="a")] * 12
+    out = line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=2).collect()
+    assert len(out) == 24 and all(r.n_dropped == 0 for r in out)
+    assert line_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+# --- personal data --------------------------------------------------------------------------
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def plain_spans(text):
+    text = text or ""
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.group().split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m)) <= 15),
+    ]
+    found = [(m.start(), k, m.end(), name) for k, (name, p, ok) in enumerate(kinds) for m in re.finditer(p, text) if ok(m)]
+    return [f"{name}:{s}:{e}" for s, _, e, name in sorted(found)]
+
+
+def pii_texts():
+    rng = random.Random(2)
+    bits = ["a.b@c.de", "x@y", "@", "%a@b.c-d.e", "1.2.3.4", "256.1.1.1", "1.2.3.4.5", "007.08.9.010", "4111 1111 1111 1111", "4111-1111-1111-1112", "4111111111111111", "55",
+            "+1 (555) 123-4567", "+1 (555) 123-4567 10.20.30.40", "+49.30.1234567", "é€😀", "word", " ", "\n", "-", ".", "+", "5", "1 2 3", "a@b.c%d@e.f", "DE89 3704 0044 0532 0130 00"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", ". ", "x"]) for _ in range(rng.randint(1, 14))) for _ in range(300)]
+    return [*texts, None, "", "9" * 4000, "a" * 4000, "1." * 3000, "+1" + " 2" * 3000, "1 " * 3000]
+
+
+def test_base_spans_match_plain_version(spark):
+    texts = pii_texts()
+    got = {r.doc_id: r for r in pii_report(docs_of(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        want = plain_spans(text)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), (text[:200], want[:5])
+        assert got[i].n_email == sum(w.startswith("email") for w in want)
+        assert set(want) <= set(got[i].spans.split(",") if got[i].spans else [])
+
+
+def test_method_adds_confirmed_spans_with_context(spark):
+    texts = ["transfer to IBAN DE89370400440532013000 today", "IBAN DE89370400440532013001", "social security number 123-45-6789", "part 123-45-6789", "call 555-123-4567 now"]
+    got = [{x.kind for x in r.pii} for r in find_pii(docs_of(spark, texts, pii="1")).orderBy("doc_id").collect()]
+    assert got == [{"iban"}, set(), {"ssn"}, set(), {"phone"}]
+
+
+# --- secrets --------------------------------------------------------------------------------
+def test_forest_separates_held_out_findings(spark):
+    forest = secrets.fit(spark, secrets.labelled_findings(1600, 11))
+    fresh = secrets.labelled_findings(500, 77)
+    df = spark.createDataFrame([(i, t, p) for i, (t, p, _) in enumerate(fresh)], "doc_id long, text string, path string")
+    got = {r.doc_id: r.is_secret for r in secrets.scan_secrets(df, path_col="path", forest=forest).collect()}
+    right = sum(bool(got.get(i, False)) == bool(label) for i, (_, _, label) in enumerate(fresh))
+    assert right >= 0.95 * len(fresh)
+
+
+def test_secrets_keep_offsets_and_take_odd_texts(spark):
+    texts = ['é token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x', None, "", "a" * 5000, "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962"]
+    rows = secrets.scan_secrets(docs_of(spark, texts, score="1", path="'p'")).collect()
+    by_doc = {r.doc_id: r for r in rows}
+    assert texts[0][by_doc[0].start : by_doc[0].end] == "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert by_doc[0].is_secret and not by_doc[4].is_secret and set(by_doc) == {0, 4}
+
+
+# --- URL filters ----------------------------------------------------------------------------
+def plain_url(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest).group()
+    return host.translate(LOW), re.match(r"[^?#]*", rest[len(host) :]).group()
+
+
+def test_urls_and_rules_match_plain_version(spark):
+    urls = ["http://A.net/x", "https://example.net/en/1?q#f", "http://m.example.net/en", "http://sub.example.com/de/9", "http://org/fr/", "http://xorg/fr/", "http://a.net", "ftp://É.Org/fr/a",
+            "none", None, "", "://", "http://a.b?x=/de/", "http://example.com#/de/", "x://a.net:80/", "http://a.net//b", "http://u@x.net/a://b"]
+    pages = spark.createDataFrame([(i, u, "<p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    for r in url_filter.judge_urls(pages.selectExpr("*", "1 as host", "2 as score", "3 as mass")).collect():
+        host, path = plain_url(urls[r.page_id])
+        fits = [(h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        want = max(fits, key=lambda x: len(x[0]), default=(None, "allow"))
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, *want)
+
+
+def test_distrust_flows_to_hosts_that_link_to_blocked_ones(spark):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/p">x</a>' for h in hosts)
+    pages = [(1, "http://bad.net/a", ""), (2, "http://farm.info/a", link("bad.net", "bad.net")), (3, "http://good.org/fr/a", link("fine.info")), (4, "http://fine.info/a", link("bad.net")), (5, "http://alone.info/", None)]
+    got = {r.page_id: r for r in url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [got[i].verdict for i in range(1, 6)] == ["block", "block", "allow", "allow", "allow"]
+    # against a dense power iteration
+    hosts = ["good.org", "fine.info", "bad.net", "farm.info"]
+    score = dict.fromkeys(hosts, 0.0) | {"good.org": 1.0}
+    for _ in range(10):
+        moved = {"fine.info": score["good.org"], "bad.net": score["farm.info"] + score["fine.info"]}
+        score = {h: 0.85 * moved.get(h, 0.0) + (0.15 if h == "good.org" else 0.0) for h in hosts}
+    assert got[4].trust == pytest.approx(score["fine.info"]) and got[1].trust == pytest.approx(score["bad.net"])
+
+
+# --- HTML -----------------------------------------------------------------------------------
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav>menu</nav><!-- x --><div class="ad">buy</div>
+<article><h1>Head &amp; line</h1><p>One<br>two   three <b>bold</b><p>Un&eacute;<p class=x>&#8364; 5</p><form>mail</form><section id="comments"><p>nice</p></section></article><aside>side</aside><footer>&copy; foot</footer></body></html>"""
+
+
+def test_article_without_furniture(spark):
+    pages = [(1, "http://a/x", PAGE), (2, "http://a/y", None), (3, "http://a/z", ""), (4, "http://b/1", "plain &lt;text&gt;"), (5, None, "<p>unclosed <b>x")]
+    got = {r.page_id: r for r in html_extract.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1].text == "Head & line\n\nOne two three bold\n\nUné\n\n€ 5" and got[1].n_chars == len(got[1].text)
+    assert (got[2].text, got[3].text, got[4].text, got[5].text) == ("", "", "plain <text>", "unclosed x")
+
+
+def test_differencing_deletes_shared_blocks_of_the_nearest_page(spark):
+    page = lambda *blocks: "<body>" + "".join(f"<div>{b}</div>" for b in blocks)
+    pages = [(1, "http://h/a/1", page("Logo", "first story", "Imprint")), (2, "http://h/a/2", page("Logo", "second story", "Imprint")), (3, "http://h/b/9", page("Other top", "third")),
+             (4, "http://other/a", page("Logo", "alone", "Imprint")), (5, "http://h/a/2", page("Logo", "second story", "Imprint"))]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1] == "first story" and got[3] == "Other top\n\nthird" and got[4] == "Logo\n\nalone\n\nImprint"
+    assert got[5] == "Logo\n\nsecond story\n\nImprint"  # a copy of its neighbour stays whole
+
+
+def test_shared_positions_are_a_longest_common_subsequence():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                d[i + 1][j + 1] = d[i][j] + 1 if x == y else max(d[i][j + 1], d[i + 1][j])
+        own = [a[i] for i in sorted(html_extract.shared_positions(a, b))]
+        rest = iter(b)
+        assert len(own) == d[-1][-1] and all(x in rest for x in own)
