@@ -135,10 +135,19 @@ def _plane_under(x, y, z, t, px, py):
 
 
 def densify(x: np.ndarray, y: np.ndarray, z: np.ndarray, res: float, angle: float, distance: float, spacing: float, rounds: int = 12) -> np.ndarray:
-    """1 for ground: seeds are the lowest points of coarse cells; points near the growing surface join."""
-    ground = np.zeros(len(x), bool)
+    """1 for ground: seeds are the lowest points of coarse cells; points near the growing surface join.
+
+    Points around the cloud, as high as the nearest seed, carry the surface to its edges.
+    """
+    n = len(x)
     cells = pd.DataFrame({"i": np.floor(x / res), "j": np.floor(y / res), "z": z})
-    ground[cells.groupby(["i", "j"])["z"].idxmin().to_numpy()] = True
+    seeds = cells.groupby(["i", "j"])["z"].idxmin().to_numpy()
+    bx, by = (np.linspace(v.min() - res, v.max() + res, max(3, int(np.ptp(v) / res) + 2)) for v in (x, y))
+    edge = np.array([(u, v) for u in bx for v in by if u in (bx[0], bx[-1]) or v in (by[0], by[-1])])
+    nearest = np.argmin((edge[:, :1] - x[seeds]) ** 2 + (edge[:, 1:] - y[seeds]) ** 2, axis=1)
+    x, y, z = np.r_[x, edge[:, 0]], np.r_[y, edge[:, 1]], np.r_[z, z[seeds][nearest]]
+    ground = np.arange(len(x)) >= n
+    ground[seeds] = True
     limit = np.tan(np.radians(angle))
     for _ in range(rounds):
         own = np.flatnonzero(ground)
@@ -170,7 +179,7 @@ def densify(x: np.ndarray, y: np.ndarray, z: np.ndarray, res: float, angle: floa
         ok = at >= 0
         close = np.abs(z[rest[ok]] - (w[ok] * z[own[t][at[ok]]]).sum(1)) <= spacing
         ground[rest[ok][close]] = True
-    return ground.astype(np.int32)
+    return ground[:n].astype(np.int32)
 
 
 def classify_with_ptd(

@@ -68,14 +68,14 @@ def radius_pairs(seeds: DataFrame, points: DataFrame, radius: float, dims: int =
 
 
 def suggested_cell(points: DataFrame, k: int) -> float:
-    """Cell side at which 27 cells hold about 5 k points of a cloud of even density."""
+    """Cell side at which a sphere of that radius holds about 2 k points of a cloud of even density."""
     box = points.agg(F.count(F.lit(1)), *[f(a) for a in "XYZ" for f in (F.min, F.max)]).first()
     if not box[0]:
         return 1.0
     volume = 1.0
     for lo, hi in ((1, 2), (3, 4), (5, 6)):
         volume *= max(box[hi] - box[lo], 1e-3)
-    return max((volume * (k + 1) * 5 / (27 * box[0])) ** (1 / 3), 1e-6)
+    return max((volume * (k + 1) * 2.0 / (4.19 * box[0])) ** (1 / 3), 1e-6)
 
 
 def nearest_neighbours(seeds: DataFrame, points: DataFrame, k: int, radius: float | None = None, cell: float | None = None, keep: list[str] = ()) -> DataFrame:
@@ -120,8 +120,9 @@ def classify(df: DataFrame, flagged: Column, classification: int) -> DataFrame:
 def classify_with_sor(df: DataFrame, k: int = 8, m: float = 6, classification: int = 18, scope: list[str] = (), cell: float | None = None) -> DataFrame:
     """Statistical outliers: mean distance to ``k`` neighbours over mean + m sd, of all points or of each scope."""
     near = nearest_neighbours(df.select("pid", "X", "Y", "Z"), df, k + 1, cell=cell).where("pid2 <> pid")
-    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("pid").orderBy("d2", "pid2"))).where(F.col("rank") <= k)
-    mean = near.groupBy("pid").agg(F.avg(F.sqrt("d2")).alias("__mean"))
+    # the point itself is one of the k + 1 unless as many others lie at its very place
+    first = F.slice(F.sort_array(F.collect_list("d2")), 1, k)
+    mean = near.groupBy("pid").agg(first.alias("__d")).select("pid", (F.aggregate("__d", F.lit(0.0), lambda a, x: a + F.sqrt(x)) / F.size("__d")).alias("__mean"))
     with_mean = write_once(df.join(mean, "pid", "left"))
     stats = with_mean.groupBy(*scope).agg((F.avg("__mean") + F.lit(float(m)) * F.stddev_samp("__mean")).alias("__limit"))
     limited = with_mean.join(F.broadcast(stats), list(scope)) if scope else with_mean.crossJoin(F.broadcast(stats))

@@ -21,7 +21,7 @@ def load_raster(spark: SparkSession, path: str, band: str = "z") -> DataFrame:
     c0, r0 = round(head["xllcorner"] / res), round(head["yllcorner"] / res)
     if abs(c0 * res - head["xllcorner"]) > 1e-6 or abs(r0 * res - head["yllcorner"]) > 1e-6:
         raise ValueError("the grid does not lie on the lattice of its resolution")
-    body = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\s*\n\s*")).alias("line", "text")).where(F.col("line") >= len(head))
+    body = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.btrim("value", F.lit(" \r\n\t")), r"\s*\n\s*")).alias("line", "text")).where(F.col("line") >= len(head))
     cells = body.select(F.lit(r0 + int(head["nrows"]) - 1 + len(head)).alias("top"), "line", F.posexplode(F.split("text", r"\s+")).alias("i", "v"))
     out = cells.select((F.col("i") + c0).cast("bigint").alias("col"), (F.col("top") - F.col("line")).cast("bigint").alias("row"), F.col("v").cast("double").alias(band))
     return with_centre(out.where(F.col(band) != nodata), res).select("col", "row", "x", "y", band)
