@@ -106,4 +106,38 @@ ORACLES = {
         FROM keyed LEFT JOIN heavy ON keyed.key = heavy.key
         GROUP BY doc_id
     """,
+    "op8_ngram_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        places AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0),
+        shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM places),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+        both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach(doc_id, root) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT y, root FROM reach JOIN both_ways ON x = reach.doc_id)
+        SELECT documents.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id
+        FROM documents JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY documents.doc_id
+    """,
+    "op10_decontaminate": r"""
+        WITH texts AS (
+            SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents
+            UNION ALL SELECT 'b', item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') FROM benchmark),
+        places AS (SELECT side, id, w, len(w) - 4 AS n, unnest(range(0, len(w) - 4)) AS p FROM texts WHERE len(w) > 4),
+        shingles AS (SELECT side, id, n, p, array_to_string(w[p + 1:p + 5], ' ') AS g FROM places),
+        d AS (SELECT * FROM shingles WHERE side = 'd'), b AS (SELECT * FROM shingles WHERE side = 'b'),
+        windows AS (
+            SELECT DISTINCT d.id AS doc_id, b.id AS item_id, b.n AS m, greatest(0, least(d.p - b.p, greatest(d.n - b.n, 0))) AS start
+            FROM d JOIN b ON d.g = b.g),
+        own AS (SELECT doc_id, item_id, m, start, d.g, count(*) AS c FROM windows JOIN d ON d.id = doc_id AND d.p >= start AND d.p < start + m GROUP BY ALL),
+        items AS (SELECT id AS item_id, g, count(*) AS c FROM b GROUP BY ALL),
+        total AS (SELECT doc_id, item_id, m, start, sum(c) AS n FROM own GROUP BY ALL),
+        both_sides AS (SELECT doc_id, own.item_id, m, start, sum(least(own.c, items.c)) AS c FROM own JOIN items ON own.item_id = items.item_id AND own.g = items.g GROUP BY ALL),
+        scored AS (SELECT doc_id, item_id, start, n, CAST(c AS DOUBLE) / CAST(n + m - c AS DOUBLE) AS similarity FROM total JOIN both_sides USING (doc_id, item_id, m, start)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS k FROM scored WHERE similarity >= 0.8)
+        SELECT doc_id, item_id, similarity, CAST(start AS INT) AS start, CAST(n + 4 AS INT) AS n_words FROM ranked WHERE k = 1
+    """,
 }
