@@ -29,7 +29,7 @@ WIDTHS = (1, 2, 3)
 POOLS = (1, 4, 16)
 PARTS = (3, 4, 5, 6, 7, 8, 10)
 #: Bounds on the labelled rows that the network is fitted on.
-MAX_TOXIC, MAX_CLEAN = 1500, 3000
+MAX_TOXIC, MAX_CLEAN = 1000, 2000
 #: Words whose projections a worker holds before it starts afresh.
 _CACHE_WORDS = 120_000
 _WORD = re.compile(r"[^\W_]+")
