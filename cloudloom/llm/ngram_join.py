@@ -336,8 +336,16 @@ class _Join:
         of_sets = members.where("sid is not null and id is not null")
         nodes = written(of_sets.groupBy("sid").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("ranges").alias("ranges")), "nodes")
         tokens = members.where("id is not null").select(F.explode("prefix").alias("token")).groupBy("token").count()
-        late = tokens.where(F.col("count") > self.frequent).orderBy(F.desc("count"), "token").limit(self.max_frequent)
-        hot = np.sort(np.array([r[0] for r in late.select("token").toLocalIterator()], dtype=np.int64).view(np.uint64))
+        late = written(tokens.where(F.col("count") > self.frequent), "frequent")
+        # the counts from which at most max_frequent shingles are left, from the histogram of counts
+        least, held = self.frequent + 1, 0
+        for r in late.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).toLocalIterator():
+            held += r["n"]
+            if held > self.max_frequent:
+                least = r["count"] + 1
+                break
+        late = late.where(F.col("count") >= least).select("token")
+        hot = np.sort(np.array([r[0] for r in late.toLocalIterator()], dtype=np.int64).view(np.uint64))
         index = written(self.index(hot), "index")
 
         # A block holds the sets of one token whose sizes are within the threshold's ratio.
