@@ -46,9 +46,7 @@ def sampling_poisson(df: DataFrame, distance: float, max_rounds: int = 60, seed:
 
     The points are those that greedy selection in the order of a hash of their ids takes.
     Every round takes the points that come first among their undecided neighbours, and
-    drops the neighbours of what was taken, so that all tiles advance at once.  Crowded
-    cells are thinned first: of the points of one cell small enough that any two are too
-    near, only the first can be taken before the others, but others follow if it drops.
+    drops the neighbours of what was taken, so that the whole cloud advances at once.
     """
     from .neighbours import write_once
 
