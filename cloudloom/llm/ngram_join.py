@@ -88,7 +88,7 @@ class Threshold:
         return 100 * both >= self.p * (nx + ny - both)
 
 
-def _bounded(left: int, right: int, percent: int) -> str:
+def _bounded(percent: int) -> str:
     """SQL: sizes nx <= ny and a shared element at i and j leave room for the overlap."""
     need = f"{percent} * (nx + ny)"
     return f"100 * nx >= {percent} * ny and {100 + percent} * least(nx - i, ny - j) >= {need}"
@@ -348,8 +348,9 @@ class _Join:
         hot = np.sort(np.array([r[0] for r in late.toLocalIterator()], dtype=np.int64).view(np.uint64))
         index = written(self.index(hot), "index")
 
-        # A block holds the sets of one token whose sizes are within the threshold's ratio.
-        ratio = math.log(100 / p) if p < 100 else 1.0
+        # Blocks of sizes on a logarithmic scale: similar sets are in one block or in neighbouring
+        # ones, with a margin for rounding where their sizes are just within the threshold.
+        ratio = math.log(100 / p) * (1 + 1e-9) if p < 100 else 1.0
         block = F.floor(F.log(F.col("n")) / ratio).cast("int")
         blocks = index.withColumn("block", block)
         # answers of highly similar sets first: each block against three of its sets, the one
@@ -388,7 +389,7 @@ class _Join:
             "token", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("i"), F.col("root").alias("rx"), F.col("cluster").alias("kx")
         )
         long = named.select("token", "block", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("j"), F.col("root").alias("ry"), F.col("cluster").alias("ky"))
-        met = short.join(long, ["token", "block"]).where("rx <> ry and kx <> ky and (nx < ny or (nx = ny and x < y))").where(_bounded(0, 0, p))
+        met = short.join(long, ["token", "block"]).where("rx <> ry and kx <> ky and (nx < ny or (nx = ny and x < y))").where(_bounded(p))
         pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
         pairs = written(self.possible(written(pairs, "pairs"), nodes), "possible")
         if pairs.take(1):
