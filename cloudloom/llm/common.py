@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,21 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of few rows while texts go through workers, for the memory of both sides.
+
+    Only what is written inside is affected; the session's setting comes back after it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before))) if int(before) > 0 else str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def strings(batch, column: int, rows: int = 500) -> Iterator[str | None]:
     """A text column of an Arrow batch, a few rows at a time, so that a batch is not held twice."""
     values = batch.column(column)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings, written
+from .common import small_batches, strings, written
 from .graph import components
 
 #: Shingles among the first elements (twice the prefix) of more sets than this go to the
@@ -111,8 +111,8 @@ def ngram_classes(
     stays alone.  Repeated rows of one id link like copies.  A row without an id takes no
     part: its component_id is null.  An empty table gives an empty one.
     """
-    links = _Join(docs, id_col, text_col, width, percent, frequent, max_frequent)
-    return links.classes()
+    with small_batches(docs.sparkSession):
+        return _Join(docs, id_col, text_col, width, percent, frequent, max_frequent).classes()
 
 
 class _Join:
