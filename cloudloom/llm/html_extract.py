@@ -1,10 +1,11 @@
 """Main text of web pages: block parsing, then nearest-URL page differencing.
 
 A page is parsed into text blocks.  Blocks in page furniture (menus, footers, adverts,
-forms and the like) go; what stands in an article element is the main text.  A page
-without such an element is differenced: the pages of a host are ordered by URL path, the
+forms and the like) go, and so do blocks outside an article or main element where there
+is one.  Then every page is differenced: the pages of a host are ordered by URL path, a
 page is paired with the neighbour whose path is nearest, their blocks are aligned by
-longest common subsequence, and the blocks that both share are deleted.
+longest common subsequence, and blocks that both share are deleted (``shared_blocks``
+says when one neighbour is evidence enough).  Only 64-bit hashes of the blocks travel.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import html
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +49,10 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: Pages looked at on either side of a page; the nearest one is differenced, the others vote.
+WINDOW = 2
+#: Up to so many pages with deleted blocks are broadcast (a few positions each), more are joined.
+BROADCAST_ROWS = 200_000
 
 
 def _is_furniture(name: str, attrs: str, in_article: bool) -> bool:
@@ -67,13 +73,14 @@ def _is_furniture(name: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def parse_blocks(page: str) -> tuple[list[str], bool]:
-    """(blocks, sure): the blocks of the main text; sure where an article or main element bounds it.
+def parse_blocks(page: str) -> tuple[list[str], list[int], bool]:
+    """(blocks, own, bounded): all blocks outside furniture, the positions of those that are
+    the page's own text, and whether an article or main element bounds them.
 
     Blocks are decoded, runs of white space are one space, ends are trimmed.
     """
-    inside: list[str] = []
-    outside: list[str] = []
+    blocks: list[str] = []
+    places: list[tuple[bool, bool]] = []
     buffer: list[str] = []
     article = main = 0
     skip, depth = "", 0
@@ -83,7 +90,8 @@ def parse_blocks(page: str) -> tuple[list[str], bool]:
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             if text:
-                (inside if article else outside).append((text, main > 0))
+                blocks.append(text)
+                places.append((article > 0, main > 0))
             buffer.clear()
 
     for m in _TOKEN.finditer(page):
@@ -115,11 +123,10 @@ def parse_blocks(page: str) -> tuple[list[str], bool]:
     if not depth and at < len(page):
         buffer.append(page[at:])
     flush()
-    if inside:
-        return [t for t, _ in inside], True
-    if any(in_main for _, in_main in outside):
-        return [t for t, in_main in outside if in_main], True
-    return [t for t, _ in outside], False
+    for kind in (0, 1):
+        if own := [i for i, place in enumerate(places) if place[kind]]:
+            return blocks, own, True
+    return blocks, list(range(len(blocks))), False
 
 
 def shared_positions(a: list[str], b: list[str]) -> set[int]:
@@ -151,12 +158,30 @@ def shared_positions(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def difference(own: list[str], partner: list[str], most: float = 0.8) -> list[str]:
-    """``own`` without the lines shared with ``partner``; a copy (over ``most`` shared) stays whole."""
-    shared = shared_positions(own, partner)
-    if len(shared) > most * len(own):
-        return own
-    return [x for i, x in enumerate(own) if i not in shared]
+def shared_blocks(own: list, sizes: list[int], bounded: bool, near: list[list], most: float = 0.8) -> set[int]:
+    """Positions of ``own`` to delete, given the blocks of the pages around it, the nearest first.
+
+    Without an article the blocks shared with the nearest page go.  One neighbour is not
+    evidence enough within an article, nor where the neighbour may be a copy (over ``most``
+    of the characters are shared): there a block must also be shared with more than half of
+    the pages around, two at least.  Copies have no say on that: pages that share over
+    ``most`` of the article, or, without an article, all blocks.  A page without an article
+    whose nearest page has all its blocks stays whole.
+    """
+    if not own or not near:
+        return set()
+    mine = set(own)
+    shares = [set() if mine.isdisjoint(x) else shared_positions(own, x) for x in near]
+    copies = [sum(sizes[i] for i in s) > most * sum(sizes) for s in shares]
+    if not bounded and (not copies[0] or len(shares[0]) == len(own)):
+        return set() if copies[0] else shares[0]
+    if bounded:
+        voters = [s for s, copy in zip(shares, copies) if not copy]
+    else:
+        voters = [s for s in shares if len(s) < len(own)]
+    if len(voters) < 2:
+        return set()
+    return {i for i in voters[0] if 2 * sum(i in s for s in voters) > len(voters)}
 
 
 def _nearness(a: str, b: str) -> int:
@@ -168,40 +193,49 @@ def _nearness(a: str, b: str) -> int:
     return n
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_text(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """One row per page: the id, url, text and n_chars (code points).
 
-    A null or empty page has an empty text.  Repeated rows are extracted alike.  The
-    neighbours are those before and after in the order of (host, path, id) over the whole
-    table; the one with the longer common path wins, the earlier one if both are as near.
-    A page alone on its host keeps all its blocks, and so does a copy of its neighbour.
+    A null or empty page has an empty text.  The pages around one are up to ``WINDOW``
+    before and after it on its host, in the order of (host, path, id) over the whole table.
+    Of the two beside it, the one with the longer common path is the nearest, the earlier
+    one if both are as near.  A page alone on its host keeps all its blocks.
     """
     spark = pages.sparkSession
     base = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"), F.col(html_col).alias("html")
     )
-    id_type = pages.schema[id_col].dataType
-    fields = [("id", id_type), ("url", T.StringType()), ("host", T.StringType()), ("path", T.StringType()), ("blocks", T.ArrayType(T.StringType())), ("sure", T.BooleanType())]
+    fields = [("id", pages.schema[id_col].dataType), ("url", T.StringType()), ("host", T.StringType()), ("path", T.StringType()), ("blocks", T.ArrayType(T.StringType()))]
+    fields += [("keys", T.ArrayType(T.LongType())), ("own", T.ArrayType(T.IntegerType())), ("bounded", T.BooleanType())]
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
 
     def parse(batches):
         for batch in batches:
-            got = [parse_blocks(x or "") for x in strings(batch, 4)]
-            blocks = pa.array([b for b, _ in got], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], blocks, pa.array([s for _, s in got], pa.bool_())], names=schema.names)
+            blocks, keys, owns, bounds = [], [], [], []
+            for page in strings(batch, 4):
+                every, own, bounded = parse_blocks(page or "")
+                blocks.append([every[i] for i in own])
+                keys.append([xxhash.xxh3_64_intdigest(x) - 2**63 for x in every])
+                owns.append(own)
+                bounds.append(bounded)
+            more = [pa.array(blocks, pa.list_(pa.string())), pa.array(keys, pa.list_(pa.int64())), pa.array(owns, pa.list_(pa.int32())), pa.array(bounds, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *more], names=schema.names)
 
-    parsed = written(base.mapInArrow(parse, schema), "blocks")
-    text = F.array_join("blocks", "\n\n")
-    sure = parsed.where("sure or size(blocks) = 0").select("id", "url", text.alias("text"))
-    loose = parsed.where("not sure and size(blocks) > 0")
-    if loose.take(1):
-        sure = sure.unionByName(_differenced(spark, parsed, schema))
-    return sure.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
+    parsed = written(base.mapInArrow(parse, schema).withColumn("row", F.monotonically_increasing_id()), "blocks")
+    gone = written(_gone(spark, parsed), "gone")
+    if gone.count() <= broadcast_rows:
+        gone = F.broadcast(gone)
+    kept = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda x, i: ~F.array_contains("gone", i)))
+    text = parsed.join(gone, "row", "left").select("id", "url", F.array_join(kept, "\n\n").alias("text"))
+    return text.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-def _differenced(spark, parsed: DataFrame, schema: T.StructType) -> DataFrame:
-    """The pages without an article element, each without the blocks of its nearest neighbour."""
-    ranked_schema = T.StructType([*schema.fields, T.StructField("part", T.LongType()), T.StructField("at", T.LongType())])
+def _gone(spark, parsed: DataFrame) -> DataFrame:
+    """(row, gone): positions among the blocks of a page that differencing deletes, where there are any."""
+    lean = parsed.select("row", "id", "host", "path", "keys", "own", "bounded", F.transform("blocks", lambda x: F.char_length(x)).alias("sizes"))
+    ranked_schema = T.StructType([*lean.schema.fields, T.StructField("part", T.LongType()), T.StructField("at", T.LongType())])
 
     def number(batches):
         part, n = TaskContext.get().partitionId(), 0
@@ -213,27 +247,31 @@ def _differenced(spark, parsed: DataFrame, schema: T.StructType) -> DataFrame:
             n += k
 
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = parsed.repartitionByRange(n_parts, "host", "path", "id").sortWithinPartitions("host", "path", "id")
+    ordered = lean.repartitionByRange(n_parts, "host", "path", "id", "row").sortWithinPartitions("host", "path", "id", "row")
     ordered = written(ordered.mapInArrow(number, ranked_schema), "ordered")
     offset, rows = 0, []
     for part, n in sorted(ordered.groupBy("part").count().collect()):  # a row for each partition
         rows.append((part, offset))
         offset += n
+    if not rows:
+        return parsed.select("row", F.expr("cast(null as array<int>)").alias("gone")).limit(0)
     ordered = ordered.join(F.broadcast(spark.createDataFrame(rows, "part long, offset long")), "part").withColumn("rank", F.col("offset") + F.col("at"))
-    own = ordered.where("not sure and size(blocks) > 0")
-    wanted = own.select("host", F.col("rank").alias("of"), F.explode(F.array(F.col("rank") - 1, F.col("rank") + 1)).alias("rank"))
-    near = ordered.select("rank", F.col("host").alias("near_host"), F.struct("rank", "path", "blocks").alias("near"))
+    own = ordered.where("size(own) > 0")
+    steps = F.array(*[F.lit(d).cast("long") for d in range(-WINDOW, WINDOW + 1) if d])
+    wanted = own.select("host", F.col("rank").alias("of"), F.explode(F.transform(steps, lambda d: F.col("rank") + d)).alias("rank"))
+    near = ordered.select("rank", F.col("host").alias("near_host"), F.struct("rank", "path", "keys").alias("near"))
     partners = wanted.join(near, "rank").where("host = near_host").groupBy("of").agg(F.sort_array(F.collect_list("near")).alias("near"))
-    joined = own.join(partners, own["rank"] == partners["of"], "left").select("id", "url", "path", "blocks", "near")
-    out = T.StructType([schema["id"], schema["url"], T.StructField("text", T.StringType())])
+    joined = own.join(partners, own["rank"] == partners["of"]).select("row", own["rank"], "path", "keys", "own", "sizes", "bounded", "near")
 
     def compare(batches):
         for batch in batches:
-            texts = []
-            for path, blocks, near in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                if near:
-                    blocks = difference(blocks, max(near, key=lambda x: _nearness(path, x["path"]))["blocks"])
-                texts.append("\n\n".join(blocks))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=out.names)
-
-    return joined.mapInArrow(compare, out)
+            found = []
+            for row in batch.to_pylist():
+                # the pages beside come first, the one with the longer common path before the other
+                near = sorted(row["near"], key=lambda x: (abs(x["rank"] - row["rank"]), -_nearness(row["path"], x["path"]), x["rank"]))
+                gone = shared_blocks([row["keys"][i] for i in row["own"]], row["sizes"], row["bounded"], [x["keys"] for x in near])
+                if gone:
+                    found.append((row["row"], sorted(gone)))
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int64()), pa.array([g for _, g in found], pa.list_(pa.int32()))], names=["row", "gone"])
+
+    return joined.mapInArrow(compare, "row long, gone array<int>")

@@ -179,3 +179,19 @@ def test_shared_positions_are_a_longest_common_subsequence():
         own = [a[i] for i in sorted(html_extract.shared_positions(a, b))]
         rest = iter(b)
         assert len(own) == d[-1][-1] and all(x in rest for x in own)
+
+
+def test_articles_and_template_pages_are_differenced(spark):
+    wrap = lambda kind, *blocks: f"<body><{kind}>" + "".join(f"<div>{b}</div>" for b in blocks) + f"</{kind}>"
+    story = lambda i: [f"story {i} part {j} in its own words" for j in range(3)]
+    notice, furniture = "Read all of it for one coin", ["Logo", "Start", "News", "Sport", "Help", "Imprint", "Top"]
+    pages = [(i, f"http://h/a/{i}", wrap("article", f"Title {i}", *story(i), notice)) for i in range(1, 5)]
+    pages += [(11, "http://copies/a/1", wrap("article", "Title", *story(0))), (12, "http://copies/a/2", wrap("article", "Title", *story(0))), (13, "http://copies/b/1", wrap("article", "Other", *story(9)))]
+    pages += [(20 + i, f"http://loose/a/{i}", wrap("section", *furniture, f"tale {i}")) for i in range(4)]
+    pages += [(30, None, wrap("section", "one", "x")), (31, None, None)]
+    got = {r.page_id: r.text.split("\n\n") for limit in (200_000, 0) for r in html_extract.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string"), broadcast_rows=limit).collect()}
+    for i in range(1, 5):
+        assert got[i] == [f"Title {i}", *story(i)]
+    assert got[11] == got[12] == ["Title", *story(0)] and got[13] == ["Other", *story(9)]
+    assert [got[20 + i] for i in range(4)] == [[f"tale {i}"] for i in range(4)]
+    assert got[30] == ["one", "x"] and got[31] == [""]
