@@ -2,8 +2,8 @@
 
 Vectors are split in halves, each half is quantised by its own codebook, and an entry's
 cell is the pair of centroids.  A query walks the cells by summed distance with a heap
-(the multi-sequence algorithm) until the cells hold a given share of all entries, and
-the entries of those cells are reranked by the exact inner product.
+(the multi-sequence algorithm) until the cells hold a given share of all entries, and no
+fewer than the rows asked for; the entries of those cells are reranked by the exact inner product.
 
 Equal vectors are one entry that carries its smallest ids.  Entries are dealt over
 shards by hash, so that a crowded cell is spread over all of them; a query goes once to
@@ -106,7 +106,7 @@ def search(
     to the smaller id.  Vectors that are null, zero, of another length than the sample's
     usual one, or that hold null or non-finite components take no part, nor do rows
     without an id; rows repeated under one id count once.  With fewer than ``k``
-    candidates all those found are returned; an empty table gives an empty result.
+    candidates all are returned; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
@@ -167,7 +167,8 @@ def search(
         counts[cell // k2, cell % k2] = n
     total = int(counts.sum())
     shards = max(1, -(-total // shard_entries))
-    wanted = int(np.ceil(share * total))
+    # k others at least: one entry may hold the query's own id alone
+    wanted = min(total, max(int(np.ceil(share * total)), k + 1))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

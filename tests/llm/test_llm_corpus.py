@@ -197,6 +197,14 @@ def test_search_of_few_rows(spark):
     assert ann.search(few.limit(0)).collect() == []
 
 
+def test_search_of_few_rows_gives_all_candidates_by_default(spark):
+    rng = np.random.default_rng(4)
+    for n in (3, 15, 21, 30):
+        rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 8)))]
+        got = Counter(r.query_id for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+        assert got == {i: min(20, n - 1) for i in range(0, n, 20)}
+
+
 # --- decontamination ------------------------------------------------------------------------
 def test_leaks_match_brute_force(spark):
     rng = random.Random(10)
