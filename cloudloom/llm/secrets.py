@@ -40,10 +40,17 @@ KNOWN = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]
 PATH_AGAINST = r"(?i)(?:test|spec|example|sample|fixture|mock|doc|lock|vendor|node_modules|\.min\.|\.svg|\.md$)"
 PATH_FOR = r"(?i)(?:\.env|config|secret|credential|settings|deploy|\.pem$|\.ya?ml$|\.properties$)"
 
-#: A run of 16 to 128 token characters with a digit in it, and base64 padding.
+#: A run of 16 or more token characters with a digit in it, and base64 padding.
 CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]{0,127}[0-9])[A-Za-z0-9+/_.-]{16,128}+(?![A-Za-z0-9+/_.-])={0,2}"
+    r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*+[0-9])[A-Za-z0-9+/_.-]{16,}+={0,2}"
 )
+#: What is assigned to a keyword, of any length and characters: all between quotes, else all up to white space or a closing mark.
+ASSIGNED = (
+    KEYWORDS + r"(?:s|key|value|[_-]\w{1,32})?[\"'`\]]{0,2}[\x20\t]{0,8}(?:=>|:=|[=:])[\x20\t]{0,8}(?:bearer[\x20\t]+|basic[\x20\t]+)?"
+    r"(?:\"[^\"\n]++(?=\")|'[^'\n]++(?=')|`[^`\n]++(?=`)|[^\s\"'`](?:[^\s\"'`,;)\]}>]|[,;)\]}>]++(?![\s\"'`]|$))*+)"
+)
+#: The part of such a match before the value.
+_LEAD = KEYWORDS + r"(?:s|key|value|[_-]\w{1,32})?[\"'`\]]{0,2}[\x20\t]{0,8}(?:=>|:=|[=:])[\x20\t]{0,8}(?:bearer[\x20\t]+|basic[\x20\t]+)?[\"'`]?"
 WINDOW = 40
 FEATURES = (
     "length", "digits", "uppers", "hexes", "transitions", "letter_pairs", "vowels", "dictionary", "distinct",
@@ -85,7 +92,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
 
 
 def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, int]]:
-    """(text, path, label) rows with one candidate each; 1 is a secret.
+    """(text, path, label) rows with one candidate each; 1 is a secret.  A fifth is short, all letters, or very long.
 
     A stand-in for a triage log where none is at hand: ``n`` rows drawn from shapes of real
     secrets and of what scanners usually mistake for them.
@@ -98,9 +105,28 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, int
     filler = lambda: " ".join(text(rng.randint(2, 9), "etaoinshrdlucm") for _ in range(rng.randint(0, 5)))
     good_paths = ["app/config.py", ".env", "deploy/settings.yml", "src/main.java", "notes.txt", "src7", "", "credentials.properties"]
     bad_paths = ["tests/test_auth.py", "docs/readme.md", "package-lock.json", "vendor/a.min.js", "src3", "", "src/util.go"]
+    b64 = lambda k: base64.urlsafe_b64encode(rng.randbytes(k)).decode().rstrip("=")
+    names = ["token", "api_key", "secret", "password", "SECRET_KEY", "access_key", "passwd", "pwd", "client_secret", "auth_token"]
     rows = []
     while len(rows) < n:
-        if rng.random() < 0.5:
+        if rng.random() < 0.2:
+            label = rng.randint(0, 1)
+            if label:
+                value = rng.choice([
+                    lambda: f"eyJ{b64(24)}.eyJ{b64(rng.randint(60, 240))}.{b64(32)}", lambda: text(rng.randint(129, 400), alnum), lambda: text(rng.randint(18, 48), alnum[:52]),
+                    lambda: text(rng.randint(8, 15), alnum + "!@#$%&*"), lambda: rng.choice(DICTIONARY).capitalize() + text(rng.randint(3, 5), "0123456789") + rng.choice("!@#$%"),
+                ])()
+                lead = rng.choice(names) + rng.choice([' = "{}"', '="{}"', ": {}", "={}", ": '{}'"])
+            else:
+                value, lead = rng.choice([
+                    lambda: (words(1, ""), rng.choice(names) + rng.choice([": {}", " = {}", "={}"])), lambda: (f"{words(2, '_')}", rng.choice(names) + rng.choice([" = {}", ': "{}"'])),
+                    lambda: (rng.choice(["None", "null", "true", "false", "required", "string", "str", "changeme", "********", "xxxxxxxx", "<password>", "..."]), rng.choice(names) + rng.choice([": {}", ' = "{}"', "={}"])),
+                    lambda: (f"{words(2, '.')}()", rng.choice(names) + " = {}"), lambda: (f"${{{words(2, '_').upper()}}}", rng.choice(names) + rng.choice([": {}", "={}"])),
+                    lambda: (f"{words(rng.randint(16, 30), '/')}/v{rng.randint(1, 9)}.js", "{}"), lambda: (f"{words(rng.randint(16, 30), '-')}-{rng.randint(1, 99)}", "{}"),
+                    lambda: (text(rng.randint(130, 400), "0123456789"), "{}"), lambda: (hexes(128), "sha512: {}"),
+                ])()
+            rows.append((f"{filler()} {lead.format(value)} {filler()}".strip(), rng.choice(good_paths[4:7] + (good_paths[:4] if label else bad_paths)), label))
+        elif rng.random() < 0.5:
             value = rng.choice([
                 lambda: hexes(rng.choice([32, 40, 40, 48, 64])), lambda: text(rng.randint(20, 48), alnum), lambda: "AKIA" + text(16, alnum[:26] + alnum[52:]),
                 lambda: "ghp_" + text(36, alnum), lambda: "sk_live_" + text(24, alnum), lambda: base64.b64encode(rng.randbytes(rng.choice([24, 30, 33]))).decode(),
@@ -188,10 +214,20 @@ def forest_score(x: Column, forest: list) -> Column:
 
 
 def candidates(docs: DataFrame, text_col: str, path: Column) -> DataFrame:
-    """``docs`` exploded to one row per candidate, with ``__sc_c`` (start, end, value) and ``__sc_x`` (features)."""
+    """``docs`` exploded to one row per candidate, with ``__sc_c`` (start, end, value) and ``__sc_x`` (features).
+
+    Candidates are long runs with a digit, and whatever is assigned to a keyword.  A span
+    that both propose is one candidate.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    there = text.rlike(CANDIDATE)
-    each = docs.where(there).withColumn("__sc_c", F.explode(matches(text, CANDIDATE)))
+    nothing = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
+    runs, named = (F.when(text.rlike(x), matches(text, x)).otherwise(nothing) for x in (CANDIDATE, ASSIGNED))
+
+    def value_of(m: Column) -> Column:
+        value = F.regexp_replace(m["value"], f"^{_LEAD}", "")
+        return F.struct((m["end"] - F.char_length(value)).alias("start"), m["end"].alias("end"), value.alias("value"))
+
+    each = docs.withColumn("__sc_c", F.explode(F.array_union(runs, F.transform(named, value_of))))
     c = F.col("__sc_c")
     before = F.substring(text, F.greatest(c["start"] - WINDOW + 1, F.lit(1)), F.least(c["start"], F.lit(WINDOW)))
     after = F.substring(text, c["end"] + 1, F.lit(WINDOW))

@@ -195,3 +195,16 @@ def test_articles_and_template_pages_are_differenced(spark):
     assert got[11] == got[12] == ["Title", *story(0)] and got[13] == ["Other", *story(9)]
     assert [got[20 + i] for i in range(4)] == [[f"tale {i}"] for i in range(4)]
     assert got[30] == ["one", "x"] and got[31] == [""]
+
+
+def test_secrets_of_any_length_and_assigned_ones_are_proposed(spark):
+    rng = random.Random(5)
+    part = lambda k: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_") for _ in range(k))
+    jwt, key, letters = f"eyJ{part(30)}.eyJ{part(150)}.{part(43)}", part(300) + "1", "qXvTzKwPjHgRbNmLcDfSyQtW"
+    texts = [f'token = "{jwt}"', f"é secret: {key} end", f"API_KEY={letters}", "password='k7#Qz!x2'", 'db_password = "correct horse: 12"', "a" * 3000 + "7" * 3000, "the password is lost", "token: 04dbebab91ab85687d33eeaaf9ac699e1188f962"]
+    want = {(0, jwt), (1, key), (2, letters), (3, "k7#Qz!x2"), (4, "correct horse: 12"), (5, texts[5]), (7, texts[7][7:])}
+    rows = secrets.scan_secrets(docs_of(spark, texts)).collect()
+    assert {(r.doc_id, texts[r.doc_id][r.start : r.end]) for r in rows} == want and len(rows) == len(want)
+    assert all(hashlib.sha256(texts[r.doc_id][r.start : r.end].encode()).hexdigest() == r.sha256 for r in rows)
+    verdict = {r.doc_id: r.is_secret for r in rows}
+    assert all(verdict[i] for i in (0, 1, 2, 3, 7)) and not verdict[5]
