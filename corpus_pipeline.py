@@ -24,10 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten or more documents go; documents left without text go with them."""
+    """Lines found in ten or more documents go; every document stays, if with an empty text."""
     out = line_dedup(docs, min_docs=10, min_chars=1)
-    emptied = (F.col("n_dropped") > 0) & (F.trim("text") == "")
-    return out.where(~emptied).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,3 +30,10 @@ def test_near_copy_stage_keeps_one_of_each_class_and_rows_without_an_id(spark):
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_line_dedup_stage_returns_every_row(spark):
+    rows = [(i, "a shared line\nanother one", 26) for i in range(12)] + [(20, "a shared line\nits own", 21), (21, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_shared_lines(spark, docs, SF).collect()}
+    assert got == {i: ("", 0) for i in range(12)} | {20: ("its own", 7), 21: ("", 0)}
