@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -234,8 +235,10 @@ def fit(
     """The classifier trained on a hash-ordered sample of the labelled, not held-out rows.
 
     At most ``max_toxic`` and ``max_clean`` rows; rows are weighted so that the classes
-    keep their shares.  A fifth of the sample calibrates the thresholds by language: the
-    one of best F1, or that of all languages where a language has under ten toxic rows.
+    keep their shares.  All labelled, not held-out rows calibrate the thresholds by
+    language: the one of best F1, or that of all languages where a language has under ten
+    toxic rows.  Rows of the sample get the score of a model fitted on the other
+    two thirds, rows outside it are scored where they lie, and only counts come back.
     Several labels of an id count as toxic if one is.  Without labels of both classes
     every score is the share of toxic labels, or 0.
     """
@@ -259,35 +262,39 @@ def fit(
     texts = [r["t"] or "" for r in rows]
     per_class = np.array([(y == v).sum() for v in (0, 1)])
     weight = np.array([shares[0] / per_class[0], shares[1] / per_class[1]])[y]
-    held = np.arange(len(y)) % 5 == 4
-    if calibrate and min((y[~held] == 1).sum(), (y[held] == 1).sum()) >= 10:
-        trial = train([t for t, h in zip(texts, held) if not h], y[~held], weight[~held], epochs)
-        s = scores_of(trial, [t for t, h in zip(texts, held) if h], {}, [])
-        thresholds = _calibrate(s, y[held], weight[held], [r["g"] for r, h in zip(rows, held) if h])
-    else:
-        thresholds = {"": 0.5}
     model = train(texts, y, weight, epochs)
-    model.thresholds = thresholds
+    model.thresholds = {"": 0.5}
+    fold = np.arange(len(y)) % 3
+    if calibrate and min((y[fold != f] == 1).sum() for f in range(3)) >= 10 and min((y[fold != f] == 0).sum() for f in range(3)) > 0:
+        counts: Counter = Counter()
+        for f in range(3):
+            trial = train([t for t, o in zip(texts, fold) if o != f], y[fold != f], weight[fold != f], epochs)
+            own = np.flatnonzero(fold == f)
+            for i, v in zip(own, scores_of(trial, [texts[i] for i in own], {}, [])):
+                counts[rows[i]["g"], int(y[i]), int(v * 100)] += 1
+        if sum(shares.values()) > picked.count():
+            rest = known.join(F.broadcast(picked.select(id_col)), id_col, "left_anti")
+            scored = score(text.join(rest, id_col), model, "t", None)
+            for r in scored.groupBy("g", "y", F.floor(F.col("score") * 100).cast("int").alias("s")).count().collect():
+                counts[r["g"], r["y"], r["s"]] += r["count"]
+        model.thresholds = _calibrate(counts)
     return model
 
 
-def _calibrate(s: np.ndarray, y: np.ndarray, w: np.ndarray, langs: list[str]) -> dict[str, float]:
-    def best(own: np.ndarray) -> float:
-        grid = np.linspace(0.1, 0.9, 81)
-        f1 = []
-        for t in grid:
-            hit = s[own] >= t
-            good = w[own][hit & (y[own] == 1)].sum()
-            f1.append(2 * good / max(1e-9, w[own][hit].sum() + w[own][y[own] == 1].sum()))
-        top = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
-        return float(grid[top].mean())
-
-    langs = np.array(langs)
-    out = {"": best(np.ones(len(y), bool))}
-    for lang in sorted(set(langs.tolist()) - {""}):
-        if (y[langs == lang] == 1).sum() >= 10:
-            out[lang] = best(langs == lang)
-    return out
+def _calibrate(counts: Counter) -> dict[str, float]:
+    """Thresholds by language of best F1, from rows counted by (language, label, score in hundredths)."""
+
+    def best(tally: np.ndarray) -> float:
+        over = tally[:, ::-1].cumsum(axis=1)[:, ::-1]  # rows by label with at least that score
+        grid = np.arange(10, 91)
+        f1 = 2 * over[1, grid] / np.maximum(1e-9, over[:, grid].sum(axis=0) + tally[1].sum())
+        return float(grid[f1 >= f1.max() - 1e-9].mean() / 100)
+
+    tallies: dict[str, np.ndarray] = {"": np.zeros((2, 101))}
+    for (lang, label, at), n in counts.items():
+        for name in {lang, ""}:
+            tallies.setdefault(name, np.zeros((2, 101)))[label, at] += n
+    return {name: best(tally) for name, tally in sorted(tallies.items()) if not name or tally[1].sum() >= 10}
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:

@@ -96,6 +96,24 @@ def test_scores_need_labels_of_both_classes(spark):
         assert all(0 <= r.score < 0.01 for r in toxicity.score(docs, model).collect())
 
 
+
+def test_rows_outside_the_fitting_sample_calibrate_their_language(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(600):
+        toxic, lang = i % 3 == 0, "es" if i % 30 < 2 else "en"
+        rows.append((i, " ".join(rng.choice(["vile", "scum"] if toxic and rng.random() < 0.3 else WORDS) for _ in range(20)), lang, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"), max_toxic=30, max_clean=60, epochs=2)
+    assert set(model.thresholds) == {"", "en", "es"}  # es has about 15 toxic rows, of which 3 are in the sample
+
+
+def test_calibration_takes_the_best_f1():
+    counts = Counter({("en", 0, 20): 50, ("en", 0, 45): 9, ("en", 1, 60): 12, ("de", 1, 30): 9, ("de", 0, 10): 5})
+    got = toxicity._calibrate(counts)
+    assert set(got) == {"", "en"} and 0.45 < got["en"] <= 0.6
+
+
 # --- components, n-gram join ----------------------------------------------------------------
 def plain_components(n, edges):
     root = list(range(n))
