@@ -27,10 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     The session's ``spark.checkpoint.dir`` names it on a cluster.  Only where that is
-    unset (a local session, as in tests) a temporary folder takes its place.
+    unset in a local session, as in tests, a temporary folder takes its place; elsewhere
+    executors could not see such a folder, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
             _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='cloudloom-')}"
@@ -41,12 +44,30 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
-    It cuts the lineage: what follows reads files that outlive any executor.
+    It cuts the lineage: what follows reads files that outlive any executor.  They are
+    deleted when the application ends, or by ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    file_system, target = _file(spark, path)
+    file_system.deleteOnExit(target)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def _file(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of tables from ``written`` that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_written_path", None) if df is not None else None:
+            file_system, target = _file(df.sparkSession, path)
+            file_system.delete(target, True)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,8 +34,9 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         seen = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or not seen[0]:
             break
-        mark = seen
+        mark, before = seen, current
         current = written(_small_star(_large_star(current)), "edges")
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
