@@ -36,7 +36,7 @@ DICTIONARY = (
 LETTER_PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
 KEYWORDS = r"(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization|auth|client[_-]?key)"
 HARMLESS = r"(?i)\b(?:sha-?(?:1|256|512)?|md5|commit|checksum|digest|hash|uuid|guid|example|sample|placeholder|dummy|fake|etag|revision|rev|integrity|isbn|order|invoice|tracking|version)\b"
-KNOWN = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_.-]+|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35})$"
+KNOWN = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_.-]+|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35}|-----BEGIN (?s:.*))$"
 PATH_AGAINST = r"(?i)(?:test|spec|example|sample|fixture|mock|doc|lock|vendor|node_modules|\.min\.|\.svg|\.md$)"
 PATH_FOR = r"(?i)(?:\.env|config|secret|credential|settings|deploy|\.pem$|\.ya?ml$|\.properties$)"
 
@@ -51,10 +51,14 @@ ASSIGNED = (
 )
 #: The part of such a match before the value.
 _LEAD = KEYWORDS + r"(?:s|key|value|[_-]\w{1,32})?[\"'`\]]{0,2}[\x20\t]{0,8}(?:=>|:=|[=:])[\x20\t]{0,8}(?:bearer[\x20\t]+|basic[\x20\t]+)?[\"'`]?"
+#: The password of a URL, and a private key's block of text.
+URL_PASSWORD = r"://[^\s/@:\"'<>]++:[^\s/@\"'<>]++(?=@)"
+_URL_LEAD = r"://[^\s/@:\"'<>]++:"
+KEY_BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=,:\s\\]++|-(?!----END))*+(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?"
 WINDOW = 40
 FEATURES = (
     "length", "digits", "uppers", "hexes", "transitions", "letter_pairs", "vowels", "dictionary", "distinct",
-    "keyword", "assigned", "quoted", "harmless", "path_against", "path_for", "known", "runs", "symbols",
+    "keyword", "assigned", "quoted", "harmless", "path_against", "path_for", "known", "runs", "symbols", "url", "code",
 )
 TREES, DEPTH = 25, 6
 
@@ -87,6 +91,8 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
         "known": flag(value.rlike(KNOWN)),
         "runs": flag(value.rlike(r"(.)\1{3,}|0123|1234|abcd|(?i)xxxx")),
         "symbols": count("[+/_=.-]") / n,
+        "code": flag(value.rlike(r"^[$<{*%]|[(\[]$|^[A-Za-z_]+(?:\.[A-Za-z_]+)+[(\[]?")),
+        "url": flag(before.rlike(r"://[^\s/@:]+:$") & after.startswith("@")),
     }
     return F.array(*[by_name[f] for f in FEATURES])
 
@@ -112,6 +118,14 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, int
         if rng.random() < 0.2:
             label = rng.randint(0, 1)
             if label:
+                kind = rng.randint(0, 6)
+                if kind == 5:
+                    rows.append((f"{filler()} {rng.choice(['postgres', 'mysql', 'https', 'amqp', 'redis'])}://{text(rng.randint(3, 9), alnum[26:52])}:{text(rng.randint(8, 24), alnum + '!%$*')}@{words(2, '.')}:5432/db".strip(), rng.choice(good_paths), 1))
+                    continue
+                if kind == 6:
+                    body = "\n".join(base64.b64encode(rng.randbytes(48)).decode() for _ in range(rng.randint(3, 20)))
+                    rows.append((f"{filler()}\n-----BEGIN {rng.choice(['RSA ', 'EC ', ''])}PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----\n", rng.choice(good_paths), 1))
+                    continue
                 value = rng.choice([
                     lambda: f"eyJ{b64(24)}.eyJ{b64(rng.randint(60, 240))}.{b64(32)}", lambda: text(rng.randint(129, 400), alnum), lambda: text(rng.randint(18, 48), alnum[:52]),
                     lambda: text(rng.randint(8, 15), alnum + "!@#$%&*"), lambda: rng.choice(DICTIONARY).capitalize() + text(rng.randint(3, 5), "0123456789") + rng.choice("!@#$%"),
@@ -119,11 +133,13 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, int
                 lead = rng.choice(names) + rng.choice([' = "{}"', '="{}"', ": {}", "={}", ": '{}'"])
             else:
                 value, lead = rng.choice([
+                    lambda: (rng.choice(["password", "PASSWORD", "pass", "${DB_PASS}", "xxxxx", "secret", "$PASSWORD", "{password}"]), rng.choice(["https", "postgres", "mysql"]) + "://user:{}@" + words(2, ".")),
                     lambda: (words(1, ""), rng.choice(names) + rng.choice([": {}", " = {}", "={}"])), lambda: (f"{words(2, '_')}", rng.choice(names) + rng.choice([" = {}", ': "{}"'])),
                     lambda: (rng.choice(["None", "null", "true", "false", "required", "string", "str", "changeme", "********", "xxxxxxxx", "<password>", "..."]), rng.choice(names) + rng.choice([": {}", ' = "{}"', "={}"])),
                     lambda: (f"{words(2, '.')}()", rng.choice(names) + " = {}"), lambda: (f"${{{words(2, '_').upper()}}}", rng.choice(names) + rng.choice([": {}", "={}"])),
                     lambda: (f"{words(rng.randint(16, 30), '/')}/v{rng.randint(1, 9)}.js", "{}"), lambda: (f"{words(rng.randint(16, 30), '-')}-{rng.randint(1, 99)}", "{}"),
-                    lambda: (text(rng.randint(130, 400), "0123456789"), "{}"), lambda: (hexes(128), "sha512: {}"),
+                    lambda: (text(rng.randint(130, 400), "0123456789"), "{}"), lambda: (hexes(128), "sha512: {}"), lambda: (f"sha512-{base64.b64encode(rng.randbytes(64)).decode()}", 'integrity {}'),
+                    lambda: (f"{words(1, '')}.{words(1, '')}[\"{words(2, '_').upper()}\"]", rng.choice(names) + " = {}"),
                 ])()
             rows.append((f"{filler()} {lead.format(value)} {filler()}".strip(), rng.choice(good_paths[4:7] + (good_paths[:4] if label else bad_paths)), label))
         elif rng.random() < 0.5:
@@ -216,18 +232,23 @@ def forest_score(x: Column, forest: list) -> Column:
 def candidates(docs: DataFrame, text_col: str, path: Column) -> DataFrame:
     """``docs`` exploded to one row per candidate, with ``__sc_c`` (start, end, value) and ``__sc_x`` (features).
 
-    Candidates are long runs with a digit, and whatever is assigned to a keyword.  A span
-    that both propose is one candidate.
+    Candidates are long runs with a digit, whatever is assigned to a keyword, passwords in
+    URLs, and blocks of private keys.  A span that several propose is one candidate.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    nothing = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
-    runs, named = (F.when(text.rlike(x), matches(text, x)).otherwise(nothing) for x in (CANDIDATE, ASSIGNED))
+    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
 
-    def value_of(m: Column) -> Column:
-        value = F.regexp_replace(m["value"], f"^{_LEAD}", "")
-        return F.struct((m["end"] - F.char_length(value)).alias("start"), m["end"].alias("end"), value.alias("value"))
+    def after_lead(found: Column, lead: str) -> Column:
+        def value_of(m: Column) -> Column:
+            value = F.regexp_replace(m["value"], f"^{lead}", "")
+            return F.struct((m["end"] - F.char_length(value)).alias("start"), m["end"].alias("end"), value.alias("value"))
 
-    each = docs.withColumn("__sc_c", F.explode(F.array_union(runs, F.transform(named, value_of))))
+        return F.transform(found, value_of)
+
+    proposed = F.array_union(matches(text, CANDIDATE), after_lead(matches(text, ASSIGNED), _LEAD))
+    proposed = F.array_union(proposed, F.when(text.contains("://"), after_lead(matches(text, URL_PASSWORD), _URL_LEAD)).otherwise(none))
+    proposed = F.array_union(proposed, F.when(text.contains("-----BEGIN"), matches(text, KEY_BLOCK)).otherwise(none))
+    each = docs.withColumn("__sc_c", F.explode(proposed))
     c = F.col("__sc_c")
     before = F.substring(text, F.greatest(c["start"] - WINDOW + 1, F.lit(1)), F.least(c["start"], F.lit(WINDOW)))
     after = F.substring(text, c["end"] + 1, F.lit(WINDOW))
@@ -238,7 +259,13 @@ def fit(spark: SparkSession, findings: list[tuple[str, str, int]] | None = None,
     """The forest fitted on labelled findings (text, path, label), at most ``max_rows`` of them."""
     rows = (findings or labelled_findings())[:max_rows]
     frame = spark.createDataFrame(rows, "text string, path string, label int")
-    got = candidates(frame, "text", F.col("path")).select("__sc_x", "label").collect()
+    # of several candidates in one finding the longest is meant
+    every = candidates(frame.withColumn("row", F.monotonically_increasing_id()), "text", F.col("path")).select("row", "__sc_x", "label").collect()
+    longest: dict = {}
+    for r in every:
+        if r["row"] not in longest or r["__sc_x"][0] > longest[r["row"]]["__sc_x"][0]:
+            longest[r["row"]] = r
+    got = [(r["__sc_x"], r["label"]) for _, r in sorted(longest.items())]
     return train_forest(np.array([r[0] for r in got]), np.array([r[1] for r in got]))
 
 
