@@ -16,13 +16,20 @@ from .common import fresh
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+# Lengths of the national account numbers' IBANs, from the public registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+_IBAN = "|".join(f"(?:{'|'.join(v.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, v in IBAN_LENGTHS.items())
 #: \G or a look-behind lets a match begin only where a run begins or the last match ended.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_IBAN})(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: Numbers that the base pattern swallows together with their neighbours, or that lack a plus.
@@ -73,11 +80,12 @@ def mod97(iban: Column) -> Column:
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of the non-overlapping matches, in code points.
 
-    The pieces between matches and the matches themselves add up to the offsets.
+    The pieces between matches and the matches themselves add up to the offsets; a text
+    without a match is searched once.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["g"]
@@ -85,8 +93,12 @@ def matches(text: Column, pattern: str) -> Column:
         one = F.struct(start.alias("start"), end.alias("end"), x["h"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    def placed(hits: Column) -> Column:
+        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
+        return F.when(F.size(hits) == 0, none).otherwise(F.aggregate(pairs, zero, step, lambda acc: acc["out"]))
+
+    # one evaluation of the hits, used many times: an array of one element is transformed
+    return F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), placed)[0]
 
 
 def _confirmed(kind: str, value: Column) -> Column:
@@ -112,7 +124,7 @@ def _proposed(text: Column, kind: str, pattern: str) -> Column:
     need = _NEEDS[kind]
     there = text.contains(need) if len(need) == 1 else text.rlike(need)
     found = F.filter(matches(text, pattern), lambda x: _confirmed(kind, x["value"]))
-    return F.when(there & text.rlike(pattern), found).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)"))
+    return F.when(there, found).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)"))
 
 
 def _scored(text: Column, kind: str, spans: Column, base: bool, prior: float) -> Column:
