@@ -24,109 +24,240 @@ from .common import strings, written
 from .url_filter import url_host, url_path
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|select|title"
+_RAW = "script|style|noscript|template|textarea|iframe|svg|select|title|annotation|annotation-xml"
 #: Elements that begin and end a block.
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: What a start tag closes though its end tag is left out, and where the search for it stops.
+_IMPLIED = {
+    "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
+    "td": (("td", "th"), ("tr",)), "th": (("td", "th"), ("tr",)), "tr": (("tr",), ("table",)),
+    "tbody": (("tbody", "thead", "tfoot"), ("table",)), "thead": (("tbody", "thead", "tfoot"), ("table",)), "tfoot": (("tbody", "thead", "tfoot"), ("table",)),
+}
+#: What may stand in a head whose end tag is left out.
+_IN_HEAD = frozenset("head base link meta title noscript style script template".split())
+#: End tags don't reach out of these, unless they are a table's own.
+_SCOPE = frozenset("td th table caption".split())
+_TABLE = frozenset("table tbody thead tfoot tr td th caption".split())
 #: Elements that are page furniture wherever they stand.
-_FURNITURE = frozenset("head nav footer aside form menu dialog button fieldset audio video canvas".split())
-#: Words of class and id attributes, and roles, that mark page furniture.
+_FURNITURE = frozenset("head nav footer aside menu dialog button fieldset audio video canvas".split())
+#: Words that mark an element as page furniture where its class or id holds no other words but plain ones.
 _MARKED = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice "
-    "notification alert sidebar comment comments disqus reply replies share sharing social related recommended newsletter subscribe "
-    "subscription signup login popup modal overlay breadcrumb breadcrumbs menu nav navbar navigation footer masthead toolbar widget skip "
-    "pagination pager".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsbygoogle banner banners sponsor sponsors sponsored promo promos promotion cookie cookies consent gdpr "
+    "notice notices notification notifications alert alerts sidebar comment comments disqus reply replies respond share sharing sharedaddy related recommended recommendations "
+    "newsletter subscribe subscription signup login popup modal breadcrumb breadcrumbs navbar navigation footer masthead pagination pager paywall".split()
+)
+#: Words that mark furniture too, but within an article only where the element is mostly links.
+_DOUBTFUL = frozenset("menu menus nav widget widgets social toolbar overlay skip".split())
+_PLAIN_WORDS = frozenset(
+    "a and area article bar block bottom box btn button buttons center col column container content desktop fixed float footer form global group header home icon icons inline inner item items js "
+    "left link links list main mobile module nav outer page pane panel popular post posts primary right row secondary section show site slot small sticky story the to top unit ui view "
+    "wp wrap wrapper l m s x xs sm md lg xl".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
+#: An attribute's value is quoted only after an equals sign; any other quote is a character.
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"
-    rf"|<(?P<raw>{_RAW})\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
+    r"|<svg(?=[\s/])[^>]*+(?<=/)>"
+    rf"|<(?P<raw>{_RAW})(?=[\s/>])(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*+)(?P<attrs>(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>"
     r"|<[!?/][^>]*+>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-_WORD = re.compile(r"[a-z]+")
+_TAG_START = re.compile(r"<[a-z/!?]", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=][^\s>/=]*+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?")
+_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Pages looked at on either side of a page; the nearest one is differenced, the others vote.
 WINDOW = 2
 #: Up to so many pages with deleted blocks are broadcast (a few positions each), more are joined.
 BROADCAST_ROWS = 200_000
 
 
-def _is_furniture(name: str, attrs: str, in_article: bool) -> bool:
+def _marks(value: str) -> int:
+    """2 if a token of a class or id names page furniture, 1 if it may, 0 if none does.
+
+    All words of the token count: ``cookie-banner`` and ``siteFooter`` are furniture,
+    ``alert-fatigue`` and ``social-history`` are subjects.
+    """
+    most = 0
+    for token in value.split():
+        words = [w.lower() for w in _WORD.findall(token) if not w.isdigit()]
+        known = [2 if w in _MARKED else w in _DOUBTFUL for w in words]
+        if any(known) and all(k or w in _PLAIN_WORDS for k, w in zip(known, words)):
+            most = max(most, *known)
+    return most
+
+
+def _furniture(name: str, attrs: str, in_article: bool) -> int:
+    """2 for page furniture, 3 for a form, 1 for what is furniture only if it is mostly links, 0 for content."""
+    if name == "form":
+        return 3
     if name in _FURNITURE or (name == "header" and not in_article):
-        return True
-    if not attrs or name in ("html", "body", "main"):
-        return False
+        return 2
+    if not attrs or name in ("html", "body", "main", "article"):
+        return 0
+    doubt = 0
     for key, value in _ATTR.findall(attrs):
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id") and not _MARKED.isdisjoint(_WORD.findall(value)):
-            return True
-        if key == "role" and value in _ROLES:
-            return True
-        if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+        key, value = key.lower(), value.strip("\"'")
+        if key in ("class", "id"):
+            mark = _marks(value)
+            if mark == 2 or (mark and not in_article):
+                return 2
+            doubt = max(doubt, mark)
+        elif key == "role" and value.lower() in _ROLES:
+            return 2
+        elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
+            return 2
+        elif key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            return 2
+    return doubt
+
+
+class _Open:
+    """The open elements: where each name is open, the block elements, and the scopes of end tags."""
+
+    def __init__(self):
+        self.stack: list[tuple] = []  # (name, furniture, first block, characters, those in links, headings)
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+        self.skip = -1  # place of the outermost furniture
+
+    def top(self, name: str) -> int:
+        at = self.where.get(name)
+        return at[-1] if at else -1
+
+    def push(self, name: str, furniture: int, *state) -> None:
+        at = len(self.stack)
+        self.stack.append((name, furniture, *state))
+        self.where.setdefault(name, []).append(at)
+        if name in _BLOCKS:
+            self.blocks.append(at)
+        if name in _SCOPE:
+            self.scopes.append(at)
+        if furniture == 2 and self.skip < 0:
+            self.skip = at
+
+    def pop_to(self, at: int) -> list[tuple]:
+        """Close the element at place ``at`` and all within it; what was closed, the innermost first."""
+        gone = self.stack[at:][::-1]
+        del self.stack[at:]
+        for name, *_ in gone:
+            self.where[name].pop()
+        for places in (self.blocks, self.scopes):
+            while places and places[-1] >= at:
+                places.pop()
+        if self.skip >= at:
+            self.skip = -1
+        return gone
 
 
 def parse_blocks(page: str) -> tuple[list[str], list[int], bool]:
     """(blocks, own, bounded): all blocks outside furniture, the positions of those that are
     the page's own text, and whether an article or main element bounds them.
 
-    Blocks are decoded, runs of white space are one space, ends are trimmed.
+    Blocks are decoded, runs of white space are one space, ends are trimmed.  End tags
+    that HTML lets out are implied, so furniture ends with its element or its parent.  An
+    article or main element bounds the text only if it holds the larger part of what is
+    not links: a teaser card does not discard the page around it.  A form goes unless it
+    wraps the page (an article, a main element or a first heading begins in it).
     """
-    blocks: list[str] = []
-    places: list[tuple[bool, bool]] = []
+    blocks: list[str | None] = []
+    places: list[tuple[bool, bool, bool]] = []  # in an article, in a main element, mostly links
     buffer: list[str] = []
-    article = main = 0
-    skip, depth = "", 0
+    opened = _Open()
+    chars = linked = heads = 0
+    since = (0, 0)
     at = 0
 
     def flush() -> None:
+        nonlocal since
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             if text:
                 blocks.append(text)
-                places.append((article > 0, main > 0))
+                places.append((opened.top("article") >= 0, opened.top("main") >= 0, 2 * (linked - since[1]) > chars - since[0]))
             buffer.clear()
-
-    for m in _TOKEN.finditer(page):
-        if not depth and m.start() > at:
-            buffer.append(page[at : m.start()])
+        since = chars, linked
+
+    def closed(place: int) -> None:
+        flush()
+        for _, furniture, first, before, links, headings in opened.pop_to(place):
+            if (furniture == 1 and 2 * (linked - links) > chars - before) or (furniture == 3 and heads == headings):
+                blocks[first:] = [None] * (len(blocks) - first)
+
+    def text_of(part: str) -> None:
+        nonlocal chars, linked
+        buffer.append(part)
+        size = len(part) - part.count(" ")
+        chars += size
+        linked += size * (opened.top("a") >= 0)
+
+    # no tag ends beyond the last bracket; without that bound, tags that never end cost a scan each
+    bound = page.rfind(">") + 1
+    m = None
+    for m in _TOKEN.finditer(page, 0, bound):
+        if opened.skip < 0 and m.start() > at:
+            text_of(page[at : m.start()])
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
-            if not depth and m["raw"] is None and not m[0].startswith("<!--"):
+            if opened.skip < 0 and m["raw"] is None and m[0][:4].lower() not in ("<!--", "<svg"):
                 flush()
             continue
-        if depth:
-            if name == skip and not m["attrs"].endswith("/"):
-                depth += -1 if m["close"] else 1
-            continue
-        if name == "br":
+        block = name in _BLOCKS
+        if not m["close"] and name not in _IN_HEAD and (head := opened.top("head")) >= 0:
+            closed(head)
+        if name == "br" and opened.skip < 0:
             buffer.append(" ")
-        if name in _BLOCKS:
-            flush()
         if m["close"]:
-            article -= article > 0 and name == "article"
-            main -= main > 0 and name == "main"
-        elif name not in _VOID and not m["attrs"].endswith("/") and _is_furniture(name, m["attrs"], article > 0):
+            place = opened.top(name)
+            if place < 0 or (not block and opened.blocks and place < opened.blocks[-1]) or (name not in _TABLE and opened.scopes and place < opened.scopes[-1]):
+                if block and opened.skip < 0:
+                    flush()
+                continue
+            if block or opened.stack[place][1]:
+                closed(place)
+            else:
+                opened.pop_to(place)
+            continue
+        if block:
+            if opened.skip < 0:
+                flush()
+            p = opened.top("p")
+            if p >= 0 and name != "table" and not (opened.scopes and p < opened.scopes[-1]):
+                closed(p)
+            if name in _IMPLIED:
+                names, bounds = _IMPLIED[name]
+                bound = max(opened.top(x) for x in bounds)
+                ends = [x for x in map(opened.top, names) if x > bound]
+                if ends:
+                    closed(min(ends))
+        if name in _VOID or m["attrs"].endswith("/"):
+            continue
+        furniture = 0 if opened.skip >= 0 else _furniture(name, m["attrs"], opened.top("article") >= 0)
+        if furniture:
             flush()
-            skip, depth = name, 1
-        else:
-            article += name == "article"
-            main += name == "main"
-    if not depth and at < len(page):
-        buffer.append(page[at:])
-    flush()
+        if name == "a" and (link := opened.top("a")) >= 0 and (not opened.blocks or link > opened.blocks[-1]):
+            opened.pop_to(link)
+        if block or furniture or opened.skip >= 0 or (name == "a" and "href" in m["attrs"].lower()):
+            opened.push(name, furniture, len(blocks), chars, linked, heads)
+        heads += opened.skip < 0 and name in ("article", "main", "h1")
+    unclosed = m is not None and at == bound and ((m["raw"] and "</" not in m[0][-40:]) or (m[0].startswith("<!--") and not m[0].endswith("-->")))
+    if opened.skip < 0 and at < len(page) and not unclosed:
+        text_of(_TAG_START.split(page[at:], maxsplit=1)[0])
+    closed(0)
+    left = [i for i, x in enumerate(blocks) if x is not None]  # the others were closed as furniture
+    places = [places[i] for i in left]
+    texts = [blocks[i] for i in left]
+    total = sum(len(x) for x, place in zip(texts, places) if not place[2])
     for kind in (0, 1):
-        if own := [i for i, place in enumerate(places) if place[kind]]:
-            return blocks, own, True
-    return blocks, list(range(len(blocks))), False
+        own = [i for i, place in enumerate(places) if place[kind]]
+        if 2 * sum(len(texts[i]) for i in own) > total:
+            return texts, own, True
+    return texts, list(range(len(texts))), False
 
 
 def shared_positions(a: list[str], b: list[str]) -> set[int]:
