@@ -2,8 +2,9 @@
 
 Links of the pages are aggregated to host edges.  Personalised PageRank from trusted
 seeds follows the edges; distrust from blocked seeds follows them in reverse, so that a
-host linking to blocked ones is distrusted.  A host without a rule is blocked where its
-distrust outweighs its trust.
+host linking to blocked ones is distrusted.  A seed's mass is the share of the host's
+pages that rules decide that way.  A page without a rule gets its host's verdict, by
+thresholds on the host's distrust and trust, its own seed mass included.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh, written
+from .common import ascii_lower, discard, fresh, written
 
 #: (verdict, host, path prefix)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -58,40 +59,45 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     )
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-5) -> DataFrame:
     """Personalised PageRank: (host, score, linked) from seeds (host, mass) over (src, dst, weight).
 
     ``linked`` is the part of the score that came over links, without the host's own seed.
 
-    Mass that has nowhere to go is let go: scores rank hosts, they need not add up to
-    one.  A host's out-links share its score by weight; contributions are summed before
-    the shuffle, so a host with many in-links is no hot key.  Every round is written to
-    the shared folder, so that a lost executor costs one round at most.
+    A seed jumps with (1 - damping) of its mass.  Mass that has nowhere to go is let go:
+    scores rank hosts, they need not add up to one.  Rounds go on until no host's score
+    changes by more than ``tolerance``; as a round passes on at most ``damping`` of what
+    changed, they end.  A host's out-links share its score by weight; contributions are
+    summed before the shuffle, so a host with many in-links is no hot key.  Every round is
+    written to the shared folder, so that a lost executor costs one round at most.
     """
-    total = seeds.agg(F.sum("mass")).first()[0] or 1.0
-    start = seeds.groupBy("host").agg((F.sum("mass") / F.lit(float(total))).alias("jump"))
+    jump = F.col("mass") * (1 - damping)
+    start = written(seeds.where("mass > 0").select("host", jump.alias("jump")), "seeds")
+    score, held = start.select("host", F.col("jump").alias("score"), F.lit(0.0).alias("linked")), None
     shares = edges.join(edges.groupBy("src").agg(F.sum("weight").alias("all")), "src").select(
         "src", "dst", (F.col("weight") / F.col("all")).alias("share")
     )
     shares = written(shares, "shares")
-    score = written(start.select("host", F.col("jump").alias("score"), F.lit(0.0).alias("linked")), "rank")
-    start = score.select("host", F.col("score").alias("jump"))
-    if not shares.take(1):
+    if not shares.take(1) or not start.take(1):
         return score
-    for _ in range(rounds):
+    while True:
         moved = (
             score.join(shares, score["host"] == shares["src"])
             .groupBy(F.col("dst").alias("host"))
-            .agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+            .agg((F.sum(F.col("score") * F.col("share")) * damping).alias("got"))
         )
-        got = F.coalesce("got", F.lit(0.0)) * damping
-        score = written(
-            moved.join(start, "host", "full").select(
-                "host", (got + F.coalesce("jump", F.lit(0.0)) * (1 - damping)).alias("score"), got.alias("linked")
-            ),
-            "rank",
-        )
-    return score
+        before = score.select("host", F.col("score").alias("was"))
+        linked, own = F.coalesce("got", F.lit(0.0)), F.coalesce("jump", F.lit(0.0))
+        new = moved.join(start, "host", "full").select("host", (linked + own).alias("score"), linked.alias("linked"))
+        new = written(new.join(before, "host", "left").withColumn("change", F.abs(F.col("score") - F.coalesce("was", F.lit(0.0)))), "rank")
+        discard(held)
+        score, held = new.select("host", "score", "linked"), new
+        if (new.agg(F.max("change")).first()[0] or 0.0) <= tolerance:
+            return score
+
+
+#: Host scores of at most this many rows (under 100 bytes each) are broadcast, more are joined.
+BROADCAST_ROWS = 100_000
 
 
 def judge_urls(
@@ -100,35 +106,49 @@ def judge_urls(
     html_col: str = "html",
     rules=RULES,
     damping: float = 0.85,
-    rounds: int = 10,
     max_distrust: float = 1.0,
+    min_share: float = 0.5,
+    min_linked: float = 1e-3,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``pages`` with host, path, rule, trust, distrust and verdict.
 
-    Seeds are the hosts of pages that a rule decides, weighted by the number of such
-    pages.  A rule speaks for its own section of a host only: a page without a rule is
-    blocked where the distrust that reached its host over links exceeds ``max_distrust``
-    times the trust that did.  Null URLs and URLs without ``://`` have an empty
-    host and path, fit no rule and get the method's verdict (allow: nothing links them).
-    Repeated rows are judged alike; an empty table gives an empty one; columns of these
-    names are replaced.
+    Seeds are the hosts of pages that a rule decides; a seed's mass is the share of such
+    pages among all of its host.  A page without a rule is blocked where its host's
+    distrust exceeds ``max_distrust`` times its trust, and is more than a trace: rules
+    block at least ``min_share`` of the host's pages, or at least ``min_linked`` came over
+    links (a host that links to nothing but a blocked one gets 0.1275 over the number of
+    hosts that link there).  So one blocked section does not condemn a host.  Null URLs and
+    URLs without ``://`` have an empty host and path, fit no rule and are allowed: they
+    are no host.  Repeated rows are judged alike and count as often; an empty table gives
+    an empty one; columns of these names are replaced.
     """
-    named = fresh(pages, "host", "path", "rule", "trust", "distrust", "verdict")
+    names = ("host", "path", "rule", "trust", "distrust", "verdict", "__uf_share", "__uf_linked")
     host, path = url_host(F.col(url_col)), url_path(F.col(url_col))
-    named = named.withColumns({"host": host, "path": path}).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    side = F.lit(None).cast("string")
-    for verdict, rule_host, rule_path in rules:
-        side = F.when(F.col("rule") == rule_host + rule_path, verdict).otherwise(side)
-    ruled = pages.select(host.alias("host"), path.alias("path")).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    seeds = written(ruled.select("host", side.alias("side")).where("side is not null").groupBy("host", "side").agg(F.count("*").cast("double").alias("mass")), "seeds")
+    side = lambda r: _side(r, rules)
+    ruled = pages.select(host.alias("host"), path.alias("path")).where("host <> ''").select("host", side(rule_of(F.col("host"), F.col("path"), rules)).alias("side"))
+    share = lambda v: F.avg((F.coalesce("side", F.lit("")) == v).cast("double"))
+    hosts = written(ruled.groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad")), "hosts")
     edges = written(host_edges(pages, url_col, html_col), "host-edges")
-    trust = propagate(edges, seeds.where("side = 'allow'"), damping, rounds)
+    tolerance = min_linked / 100
+    trust = propagate(edges, hosts.select("host", F.col("good").alias("mass")), damping, tolerance)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = propagate(back, seeds.where("side = 'block'"), damping, rounds)
-    scores = trust.select("host", F.col("score").alias("trust"), F.col("linked").alias("__uf_t")).join(
-        distrust.select("host", F.col("score").alias("distrust"), F.col("linked").alias("__uf_d")), "host", "full"
-    )
-    out = named.join(scores, "host", "left")
-    filled = {c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust", "__uf_t", "__uf_d")}
-    method = F.when(F.col("__uf_d") > F.col("__uf_t") * max_distrust, "block").otherwise("allow")
-    return out.withColumns(filled).withColumn("verdict", F.coalesce(side, method)).drop("__uf_t", "__uf_d")
+    distrust = propagate(back, hosts.select("host", F.col("bad").alias("mass")), damping, tolerance)
+    scores = hosts.select("host", F.col("bad").alias("__uf_share")).join(trust.select("host", F.col("score").alias("trust")), "host", "left")
+    scores = written(scores.join(distrust.select("host", F.col("score").alias("distrust"), F.col("linked").alias("__uf_linked")), "host", "left"), "scores")
+    if scores.count() <= broadcast_rows:
+        scores = F.broadcast(scores)
+    named = fresh(pages, *names).withColumns({"host": host, "path": path})
+    named = named.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    out = named.join(scores, "host", "left").fillna(0.0, ["trust", "distrust", "__uf_share", "__uf_linked"])
+    bad = (F.col("distrust") > F.col("trust") * max_distrust) & ((F.col("__uf_share") >= min_share) | (F.col("__uf_linked") >= min_linked))
+    verdict = F.coalesce(side(F.col("rule")), F.when(bad, "block").otherwise("allow"))
+    return out.withColumn("verdict", verdict).drop("__uf_share", "__uf_linked")
+
+
+def _side(rule: Column, rules) -> Column:
+    """The verdict of a rule given as ``host/path``."""
+    out = F.lit(None).cast("string")
+    for verdict, rule_host, rule_path in rules:
+        out = F.when(rule == rule_host + rule_path, verdict).otherwise(out)
+    return out
