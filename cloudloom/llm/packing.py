@@ -1,20 +1,19 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
-Documents and gaps are ordered by length, every document goes to the successor gap (the
-smallest that holds it), documents that want the same gap are told apart by rank, gaps
-shrink, and the sweep goes on with the next length.  Documents of one length are
-interchangeable, so the sweeps run over length classes and classes of equal gaps: at
-most ``capacity`` of each, whatever the size of the corpus.  What grows with the corpus
-stays distributed: tokenising, the histogram of lengths, the rank of each document in
-its class, and the look-up of its place.
+Bulk-synchronous best fit: documents and gaps (what is left of the open sequences) are
+range-sorted by length together; a sweep over each partition gives every gap the largest
+documents that it holds, that is, every document the smallest gap that is its successor
+in the order.  What a partition leaves, documents too long for its gaps and gaps without
+a shorter document, is matched across partitions by rank, from counts of each partition
+alone.  Gaps are updated, and the rounds go on until all documents are placed; a round
+that places none opens as many sequences as the rest must have at least.
 """
 
 from __future__ import annotations
 
-import bisect
+import math
 import re
 import zlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +25,6 @@ from pyspark.sql import types as T
 from .common import strings, written
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
-#: Rank offsets of at most this many rows (24 bytes each) are broadcast, more are shuffled.
-BROADCAST_ROWS = 200_000
 #: Texts of other characters, or with very long words, go to the reference tokenizer; on
 #: these two libraries agree, and the other one is four times faster.
 _UNUSUAL = re.compile(r"[^\n\x20-\x7e¡-¬®-ɏ]")
@@ -73,48 +70,147 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(s, (starts[i + 1] if i + 1 < len(starts) else n) - s) for i, s in enumerate(starts)]
 
 
-def sweep(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Best-fit plan for a histogram of lengths.
+def successor_sweep(sizes: list[int], is_gap: list[bool]) -> tuple[list[tuple[int, int]], list[int], list[int], list[tuple[int, int]]]:
+    """One sweep over documents and gaps in order of size, documents before gaps of their size.
 
-    Returns rows (length, first rank, end rank, first sequence, offset): documents of
-    that length with ranks from first to end go to consecutive sequences, at ``offset``;
-    and the number of sequences.
+    Returns (document, gap) matches, the documents left, the gaps left, and (gap, room) for
+    the gaps that took a document; all as positions, ascending.  A gap takes the largest
+    document before it that no earlier gap took, and goes on while the next one fits too.
     """
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap -> [(first sequence, count)]
-    order: list[int] = []
-    plan: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-
-    def leave(gap: int, first: int, count: int) -> None:
-        if gap and count:
-            if not gaps[gap]:
-                bisect.insort(order, gap)
-            gaps[gap].append((first, count))
-
-    for length in sorted(histogram, reverse=True):
-        rank, left = 0, histogram[length]
-        while left:
-            at = bisect.bisect_left(order, length)
-            if at == len(order):
-                break
-            gap = order[at]
-            first, count = gaps[gap].pop()
-            if not gaps[gap]:
-                order.pop(at)
-            taken = min(left, count)
-            leave(gap, first + taken, count - taken)
-            plan.append((length, rank, rank + taken, first, capacity - gap))
-            leave(gap - length, first, taken)
-            rank, left = rank + taken, left - taken
-        each = capacity // length
-        for count, deep in ((left // each, each), (1 if left % each else 0, left % each)):
-            if count:
-                for k in range(deep):
-                    plan.append((length, rank, rank + count, opened, k * length))
-                    rank += count
-                leave(capacity - deep * length, opened, count)
-                opened += count
-    return plan, opened
+    waiting: list[int] = []
+    matches, free, used = [], [], []
+    for i, (size, gap) in enumerate(zip(sizes, is_gap)):
+        if not gap:
+            waiting.append(i)
+            continue
+        room = size
+        while waiting and sizes[waiting[-1]] <= room:
+            d = waiting.pop()
+            matches.append((d, i))
+            room -= sizes[d]
+        if room == size:
+            free.append(i)
+        else:
+            used.append((i, room))
+    return matches, waiting, free, used
+
+
+def across(left: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Matches between partitions, from (part, documents, largest, gaps, smallest) of what each has left.
+
+    Returns (part of documents, first rank, end rank, part of gaps, first gap, documents a gap):
+    ranks count documents from the largest, gaps count from the smallest.  A partition's
+    gaps take documents of the nearest partition before it, several each where the
+    smallest gap holds so many of the largest document.
+    """
+    waiting: list[list[int]] = []  # part, next rank, documents, largest
+    out = []
+    for part, docs, largest, gaps, smallest in sorted(left):
+        at = 0
+        while at < gaps and waiting:
+            own = waiting[-1]
+            each = max(1, smallest // own[3])
+            taken = min(own[2] - own[1], (gaps - at) * each)
+            out.append((own[0], own[1], own[1] + taken, part, at, each))
+            at += -(-taken // each)
+            own[1] += taken
+            if own[1] == own[2]:
+                waiting.pop()
+        if docs:
+            waiting.append([part, 0, docs, largest])
+    return out
+
+
+_ROW = "part int, kind int, key long, size int, at long, seq long"
+_PLACED, _DOC, _FREE, _USED, _SUMMARY = range(5)
+
+
+def _sweep_partition(batches):
+    """Rows of a sorted partition (key, size, gap) as placed documents, documents and gaps left, and one summary."""
+    part, keys, sizes, gaps = TaskContext.get().partitionId(), [], [], []
+    for batch in batches:
+        keys.append(batch.column(0).to_numpy())
+        sizes.append(batch.column(1).to_numpy())
+        gaps.append(batch.column(2).to_numpy(zero_copy_only=False))
+    if not sum(map(len, keys)):
+        return
+    key, size, gap = (np.concatenate(x) for x in (keys, sizes, gaps))
+    matches, docs, free, used = successor_sweep(size.tolist(), gap.tolist())
+    n = len(docs)
+    largest, smallest = (int(size[docs[-1]]) if docs else 0), (int(size[free[0]]) if free else 0)
+    # the summary: documents left, the largest, the sum of them, and gaps left with the smallest
+    rows = [(_SUMMARY, [n], [largest], [len(free)], [smallest])]
+    d, g = (np.array([x[k] for x in matches], dtype=np.int64) for k in (0, 1))
+    rows.append((_PLACED, key[d], size[d], np.zeros(len(d)), key[g]))
+    rows.append((_DOC, key[docs], size[docs], np.arange(n)[::-1], np.zeros(n)))
+    rows.append((_FREE, key[free], size[free], np.arange(len(free)), np.zeros(len(free))))
+    u = np.array([x[0] for x in used], dtype=np.int64)
+    rows.append((_USED, key[u], [x[1] for x in used], np.zeros(len(u)), np.zeros(len(u))))
+    for kind, k, s, at, seq in rows:
+        m = len(k)
+        columns = [np.full(m, part, np.int32), np.full(m, kind, np.int32), np.asarray(k, np.int64), np.asarray(s, np.int32), np.asarray(at, np.int64), np.asarray(seq, np.int64)]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["part", "kind", "key", "size", "at", "seq"])
+
+
+def best_fit(sizes: DataFrame, capacity: int) -> DataFrame:
+    """(key, seq, offset): places of (key, size) in sequences of ``capacity``.
+
+    Keys are distinct, sizes from 1 to ``capacity``.  Documents over half the capacity open
+    a sequence each, named by their key; other sequences have negative numbers.  Rows of
+    one size are split by key, so that many equal lengths are no hot partition.
+    """
+    spark = sizes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small = F.col("size") * 2 <= capacity
+    docs, big = sizes.where(small), sizes.where(~small)
+    need, room = sizes.agg(F.sum(F.when(small, F.col("size"))), F.sum(F.when(~small, capacity - F.col("size")))).first()
+    placed = [big.select("key", F.col("key").alias("seq"), "size")]
+    gaps = big.select("key", (capacity - F.col("size")).cast("int").alias("size")).where("size > 0")
+    opened, left = 0, need or 0
+
+    def more(n: int) -> DataFrame:
+        nonlocal opened
+        opened += n
+        return spark.range(opened - n, opened).select((-F.col("id") - 1).alias("key"), F.lit(capacity).cast("int").alias("size"))
+
+    if (short := left - (room or 0)) > 0:
+        gaps = gaps.unionByName(more(math.ceil(short / capacity)))
+    while left:
+        both = docs.select("key", "size", F.lit(False).alias("gap")).unionByName(gaps.select("key", "size", F.lit(True).alias("gap")))
+        order = ["size", "gap", "key"]
+        swept = written(both.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_sweep_partition, _ROW), "swept")
+        kind = lambda k: swept.where(F.col("kind") == k)
+        # one row a partition
+        summary = [(r["part"], r["key"], r["size"], r["at"], r["seq"]) for r in kind(_SUMMARY).collect()]
+        hits = across(summary)
+        new = kind(_PLACED).select("key", "seq", "size")
+        docs, gaps = kind(_DOC), kind(_USED).select("key", "size")
+        free = kind(_FREE).select("part", "at", "key", "size")
+        if hits:
+            table = F.broadcast(spark.createDataFrame(hits, "part int, lo long, hi long, gap_part int, first long, each long"))
+            met = docs.join(table, "part").where("at >= lo and at < hi")
+            met = met.select(F.col("gap_part").alias("part"), F.expr("first + (at - lo) div each").alias("at"), F.struct("key", "size").alias("doc"))
+            taken = met.groupBy("part", "at").agg(F.collect_list("doc").alias("docs"))  # what one gap holds
+            free = written(free.join(taken, ["part", "at"], "left"), "taken")
+            new = new.unionByName(free.select(F.explode("docs").alias("doc"), F.col("key").alias("seq")).select("doc.key", "seq", "doc.size"))
+            rest = F.aggregate(F.coalesce("docs", F.array().cast("array<struct<key:bigint,size:int>>")), F.col("size"), lambda acc, x: acc - x["size"])
+            free = free.select("key", rest.alias("size")).where("size > 0")
+            gone = F.broadcast(spark.createDataFrame([(p, hi) for p, hi in {h[0]: h[2] for h in sorted(hits)}.items()], "part int, end long"))
+            docs = docs.join(gone, "part", "left").where("end is null or at >= end")
+        placed.append(new)
+        gaps = gaps.unionByName(free.select("key", "size")).where("size > 0")
+        docs = docs.select("key", "size")
+        least, rest = docs.agg(F.min("size"), F.sum("size")).first()
+        if rest == left:
+            gaps = gaps.unionByName(more(math.ceil(left / capacity)))
+        left = rest or 0
+        if left:
+            gaps = gaps.where(F.col("size") >= least)  # no document left fits a smaller one
+    out = placed[0]
+    for one in placed[1:]:
+        out = out.unionByName(one)
+    before = F.expr("sum(size) over (partition by seq order by size desc, key rows between unbounded preceding and 1 preceding)")
+    return out.select("key", "seq", F.coalesce(before, F.lit(0)).cast("long").alias("offset"))
 
 
 def pack_documents(
@@ -131,11 +227,14 @@ def pack_documents(
 
     Columns: the id, piece, start, length, ids_crc32, ids (only with ``keep_ids``),
     sequence_id and offset.  A null or empty text is the end id alone.  Repeated rows and
-    rows without an id are packed once each.  An empty table gives an empty one.
+    rows without an id are packed once each.  An empty table gives an empty one.  Other
+    columns are left out, so none clashes; an id column must not bear one of these names.
     ``tokenizer_path`` defaults to the public byte-level vocabulary; ``ranks_path`` may
     name the same vocabulary as ranks, for the faster library.
     """
-    spark = docs.sparkSession
+    own = ["piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
+    if id_col.lower() in own:
+        raise ValueError(f"the id column {id_col!r} has the name of a column of the result")
     if tokenizer_path is None:
         import public_tokenizers
 
@@ -145,14 +244,11 @@ def pack_documents(
         [T.StructField(id_col, docs.schema[id_col].dataType)]
         + [T.StructField(c, t) for c, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()))]
         + ([T.StructField("ids", T.ArrayType(T.IntegerType()))] if keep_ids else [])
-        + [T.StructField("__pk_part", T.LongType()), T.StructField("__pk_rank", T.LongType())]
     )
 
     def tokenise(batches):
-        seen: dict[int, int] = defaultdict(int)
-        part = TaskContext.get().partitionId()
         for batch in batches:
-            rows, piece, start, length, crc, ids_out, rank = [], [], [], [], [], [], []
+            rows, piece, start, length, crc, ids_out = [], [], [], [], [], []
             for i, text in enumerate(strings(batch, 1)):
                 ids = np.array(encode(text or "", tokenizer_path, ranks_path) + [end_id], dtype="<u4")
                 for k, (s, n) in enumerate(cuts(len(ids), capacity)):
@@ -162,35 +258,18 @@ def pack_documents(
                     start.append(s)
                     length.append(n)
                     crc.append(zlib.crc32(own.tobytes()))
-                    rank.append(seen[n])
-                    seen[n] += 1
                     if keep_ids:
                         ids_out.append(own.astype("int32"))
             columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32())]
             columns += [pa.array(x, pa.int64()) for x in (start, length, crc)]
             if keep_ids:
                 columns.append(pa.array(ids_out, pa.list_(pa.int32())))
-            columns += [pa.array([part] * len(rows), pa.int64()), pa.array(rank, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    pieces = written(docs.select(id_col, text_col).mapInArrow(tokenise, schema), "pieces")
-    classes = pieces.groupBy("length", "__pk_part").agg((F.max("__pk_rank") + 1).alias("n"))
-    classes = written(classes, "classes")
-    histogram = {r[0]: r[1] for r in classes.groupBy("length").agg(F.sum("n")).collect()}  # at most ``capacity`` rows
-    plan, _ = sweep(histogram, capacity)
-    places = spark.createDataFrame(
-        plan, "length long, __pk_from long, __pk_to long, __pk_first long, offset long"
-    )
-    before = F.expr("sum(n) over (partition by length order by __pk_part rows between unbounded preceding and 1 preceding)")
-    offsets = classes.select("length", "__pk_part", F.coalesce(before, F.lit(0)).alias("__pk_before"))
-    if classes.count() <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
-    rank = F.col("__pk_before") + F.col("__pk_rank")
-    out = pieces.join(offsets, ["length", "__pk_part"]).withColumn("__pk_global", rank)
-    out = out.join(F.broadcast(places), (out["length"] == places["length"]) & (F.col("__pk_global") >= F.col("__pk_from")) & (F.col("__pk_global") < F.col("__pk_to")))
-    kept = [c for c in schema.names if not c.startswith("__pk_")]
-    return out.select(
-        *[pieces[c] for c in kept], (F.col("__pk_first") + F.col("__pk_global") - F.col("__pk_from")).alias("sequence_id"), "offset"
-    )
-
-
+    # keys are given once, when the pieces are written
+    pieces = written(docs.select(id_col, text_col).mapInArrow(tokenise, schema).withColumn("__pk_key", F.monotonically_increasing_id()), "pieces")
+    part = pieces.where(F.col("length") < capacity)
+    places = best_fit(part.select(F.col("__pk_key").alias("key"), F.col("length").cast("int").alias("size")), capacity)
+    whole = pieces.where(F.col("length") == capacity).select(*schema.names, F.col("__pk_key").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    shared = part.join(places, part["__pk_key"] == places["key"]).select(*schema.names, F.col("seq").alias("sequence_id"), "offset")
+    return whole.unionByName(shared)
