@@ -54,10 +54,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learnt from labels that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), calibrate=False)
-    return toxicity.score(docs, model).select(
-        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
-    )
+    out = toxicity.classify(docs, table(spark, sf_dir, "labels"), keep=["doc_id", "lang"])
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted, "threshold", "toxic")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ A word's embedding is the mean of the embeddings of its hashed parts (the word a
 beginnings), so that unseen words have one too.  Filters of several widths slide over
 the words; the largest activations of each filter are pooled and a logistic unit gives
 the score.  The network is trained in numpy on the driver, on a bounded sample of
-labelled rows; scoring is one pass over the documents, without a shuffle.
+labelled rows; scoring is one pass over the documents, without a shuffle.  Thresholds are
+calibrated by language on the scores of all labelled rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, strings
+from .common import fresh, strings, written
 
 BUCKETS, DIMS, FILTERS = 1 << 15, 16, 8
 WIDTHS = (1, 2, 3)
@@ -49,13 +50,17 @@ def parts_of(word: str) -> list[int]:
 
 @dataclass
 class Model:
-    """The network's weights and the thresholds by language ('' for any other)."""
+    """The network's weights, the thresholds by language ('' for any other), and, for their
+    calibration, the ids it was fitted on with counts of their scores by (language, label,
+    hundredth), each from a network fitted on the others."""
 
     emb: np.ndarray
     conv: dict[int, np.ndarray]  # width -> (width, DIMS, FILTERS)
     bias: dict[int, np.ndarray]
     out: np.ndarray
     thresholds: dict[str, float] = field(default_factory=dict)
+    fitted: list = field(default_factory=list)
+    folds: Counter = field(default_factory=Counter)
 
     def table(self, parts: list[list[int]]) -> np.ndarray:
         """Projections of words on every filter and offset: (words, offsets * FILTERS)."""
@@ -97,6 +102,62 @@ def pool(z: np.ndarray, with_places: bool = False):
     return (feats, places, top) if with_places else feats
 
 
+def gradients(model: Model, docs: list[np.ndarray], parts: list[list[int]], y: np.ndarray, weights: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Gradients of the weighted mean log loss over documents of word numbers.
+
+    Returns those of the output, filters and biases by name, and the rows of the
+    embeddings that change, with theirs.
+    """
+    width_of = [w for w in WIDTHS for _ in range(w)]
+    offset_of = [j for w in WIDTHS for j in range(w)]
+    used = np.unique(np.concatenate(docs or [np.zeros(0, int)]))
+    where = {int(u): k for k, u in enumerate(used)}
+    local = [parts[i] for i in used]
+    rows = model.table(local) if len(used) else np.zeros((0, len(width_of) * FILTERS), np.float32)
+    grad = {"out": np.zeros_like(model.out, dtype=np.float64)}
+    grad |= {f"c{w}": np.zeros_like(model.conv[w], dtype=np.float64) for w in WIDTHS}
+    grad |= {f"b{w}": np.zeros_like(model.bias[w], dtype=np.float64) for w in WIDTHS}
+    g_rows = np.zeros(rows.shape)
+    scale = 1.0 / weights.sum()
+    for words, label, weight in zip(docs, y, weights):
+        idx = np.fromiter((where[int(i)] for i in words), np.int64, len(words))
+        z = model.activations(rows[idx])
+        feats, places, top = pool(z, with_places=True)
+        g = weight * scale * (model.score(feats) - label)
+        grad["out"] += g * feats
+        back = np.zeros_like(top, dtype=np.float64)
+        for m, part in zip(POOLS, np.split(model.out[:-2], len(POOLS))):
+            back[:m] += g * part / m
+        back = back * (top > 0)
+        n = len(idx)
+        for a in range(len(width_of)):
+            w, j = width_of[a], offset_of[a]
+            cols = slice(WIDTHS.index(w) * FILTERS, (WIDTHS.index(w) + 1) * FILTERS)
+            if j == 0:
+                grad[f"b{w}"] += back[:, cols].sum(axis=0)
+            at = places[:, cols] + j
+            ok = at < n
+            if ok.any():
+                cc = np.broadcast_to(np.arange(a * FILTERS, (a + 1) * FILTERS), at.shape)[ok]
+                np.add.at(g_rows, (idx[at[ok]], cc), back[:, cols][ok])
+    hit = np.flatnonzero(g_rows.any(axis=1))
+    if not len(hit):
+        return grad, np.zeros(0, np.int64), np.zeros((0, DIMS))
+    size = np.array([len(local[i]) for i in hit])
+    flat = np.concatenate([local[i] for i in hit]).astype(np.int64)
+    words = np.add.reduceat(model.emb[flat], np.r_[0, np.cumsum(size)[:-1]], axis=0) / size[:, None]
+    g_words = np.zeros((len(hit), DIMS))
+    for a in range(len(width_of)):
+        w, j = width_of[a], offset_of[a]
+        own_rows = g_rows[hit, a * FILTERS : (a + 1) * FILTERS]
+        grad[f"c{w}"][j] += words.T @ own_rows
+        g_words += own_rows @ model.conv[w][j].T
+    touched, inverse = np.unique(flat, return_inverse=True)
+    g_emb = np.zeros((len(touched), DIMS))
+    np.add.at(g_emb, inverse, np.repeat(g_words / size[:, None], size, axis=0))
+    return grad, touched, g_emb
+
+
 def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, epochs: int = 6, seed: int = 7) -> Model:
     """The network fitted to texts with labels 0 and 1; embeddings start from log-odds."""
     rng = np.random.default_rng(seed)
@@ -124,60 +185,16 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, epochs: int
     first = {k: np.zeros_like(v, dtype=np.float64) for k, v in params.items()}
     second = {k: np.zeros_like(v, dtype=np.float64) for k, v in params.items()}
     seen = np.zeros(BUCKETS)
-    width_of = [w for w in WIDTHS for _ in range(w)]
-    offset_of = [j for w in WIDTHS for j in range(w)]
     step = 0
     batch = max(32, min(200, len(docs) // 8 or 32))
     for epoch in range(epochs):
         order = rng.permutation(len(docs))
         for lo in range(0, len(docs), batch):
             own = order[lo : lo + batch]
-            used = np.unique(np.concatenate([docs[i] for i in own] or [np.zeros(0, int)]))
-            where = np.zeros(len(vocab) + 1, np.int64)
-            where[used] = np.arange(len(used))
-            local = [parts[i] for i in used]
-            rows = model.table(local) if len(used) else np.zeros((0, len(width_of) * FILTERS), np.float32)
-            grad = {k: np.zeros_like(v, dtype=np.float64) for k, v in params.items()}
-            g_rows = np.zeros_like(rows)
-            scale = 1.0 / weights[own].sum()
-            for i in own:
-                idx = where[docs[i]]
-                z = model.activations(rows[idx])
-                feats, places, top = pool(z, with_places=True)
-                p = model.score(feats)
-                g = weights[i] * scale * (p - y[i])
-                grad["out"] += g * feats
-                back = np.zeros_like(top)
-                for m, part in zip(POOLS, np.split(out[:-2], len(POOLS))):
-                    back[:m] += g * part / m
-                back = back * (top > 0)
-                n = len(idx)
-                for a in range(len(width_of)):
-                    w, j = width_of[a], offset_of[a]
-                    cols = slice(WIDTHS.index(w) * FILTERS, (WIDTHS.index(w) + 1) * FILTERS)
-                    if j == 0:
-                        grad[f"b{w}"] += back[:, cols].sum(axis=0)
-                    at = places[:, cols] + j
-                    ok = at < n
-                    if ok.any():
-                        cc = np.broadcast_to(np.arange(a * FILTERS, (a + 1) * FILTERS), at.shape)[ok]
-                        np.add.at(g_rows, (idx[at[ok]], cc), back[:, cols][ok])
-            hit = np.flatnonzero(g_rows.any(axis=1))
-            if len(hit):
-                size = np.array([len(local[i]) for i in hit])
-                flat = np.concatenate([local[i] for i in hit]).astype(np.int64)
-                words = np.add.reduceat(emb[flat], np.r_[0, np.cumsum(size)[:-1]], axis=0) / size[:, None]
-                g_words = np.zeros((len(hit), DIMS))
-                for a in range(len(width_of)):
-                    w, j = width_of[a], offset_of[a]
-                    own_rows = g_rows[hit, a * FILTERS : (a + 1) * FILTERS]
-                    grad[f"c{w}"][j] += words.T @ own_rows
-                    g_words += own_rows @ conv[w][j].T
-                g_emb = np.zeros((BUCKETS, DIMS))
-                np.add.at(g_emb, flat, np.repeat(g_words / size[:, None], size, axis=0))
-                touched = np.unique(flat)
-                seen[touched] += (g_emb[touched] ** 2).mean(axis=1)
-                emb[touched] -= (0.02 * g_emb[touched] / (np.sqrt(seen[touched])[:, None] + 1e-8)).astype(np.float32)
+            grad, touched, g_emb = gradients(model, [docs[i] for i in own], parts, y[own], weights[own])
+            if len(touched):
+                seen[touched] += (g_emb**2).mean(axis=1)
+                emb[touched] -= (0.02 * g_emb / (np.sqrt(seen[touched])[:, None] + 1e-8)).astype(np.float32)
             step += 1
             for k, v in params.items():
                 g = grad[k] + (1e-3 * v if k == "out" else 1e-4 * v)
@@ -230,20 +247,16 @@ def fit(
     max_toxic: int = MAX_TOXIC,
     max_clean: int = MAX_CLEAN,
     epochs: int = 6,
-    calibrate: bool = True,
+    folds: int = 3,
 ) -> Model:
     """The classifier trained on a hash-ordered sample of the labelled, not held-out rows.
 
     At most ``max_toxic`` and ``max_clean`` rows; rows are weighted so that the classes
-    keep their shares.  All labelled, not held-out rows calibrate the thresholds by
-    language: the one of best F1, or that of all languages where a language has under ten
-    toxic rows.  Rows of the sample get the score of a model fitted on the other
-    two thirds, rows outside it are scored where they lie, and only counts come back.
-    Several labels of an id count as toxic if one is.  Without labels of both classes
-    every score is the share of toxic labels, or 0.
+    keep their shares.  Several labels of an id count as toxic if one is.  Without labels
+    of both classes every score is the share of toxic labels, or 0.  With ``folds`` the
+    sample's rows are also scored by networks fitted on the other folds, for ``calibrate``.
     """
-    known = labels.where(f"`{label_col}` is not null and `{id_col}` is not null").groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
-    known = known.where(~held_out(id_col)).where("y in (0, 1)")
+    known = known_labels(labels, id_col, label_col)
     shares = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     picked = None
     for value, most in ((1, max_toxic), (0, max_clean)):
@@ -264,23 +277,42 @@ def fit(
     weight = np.array([shares[0] / per_class[0], shares[1] / per_class[1]])[y]
     model = train(texts, y, weight, epochs)
     model.thresholds = {"": 0.5}
-    fold = np.arange(len(y)) % 3
-    if calibrate and min((y[fold != f] == 1).sum() for f in range(3)) >= 10 and min((y[fold != f] == 0).sum() for f in range(3)) > 0:
-        counts: Counter = Counter()
-        for f in range(3):
+    model.fitted = [r[id_col] for r in rows]
+    fold = np.arange(len(y)) % max(1, folds)
+    if folds > 1 and min((y[fold != f] == 1).sum() for f in range(folds)) >= 10 and min((y[fold != f] == 0).sum() for f in range(folds)) > 0:
+        for f in range(folds):
             trial = train([t for t, o in zip(texts, fold) if o != f], y[fold != f], weight[fold != f], epochs)
             own = np.flatnonzero(fold == f)
             for i, v in zip(own, scores_of(trial, [texts[i] for i in own], {}, [])):
-                counts[rows[i]["g"], int(y[i]), int(v * 100)] += 1
-        if sum(shares.values()) > picked.count():
-            rest = known.join(F.broadcast(picked.select(id_col)), id_col, "left_anti")
-            scored = score(text.join(rest, id_col), model, "t", None)
-            for r in scored.groupBy("g", "y", F.floor(F.col("score") * 100).cast("int").alias("s")).count().collect():
-                counts[r["g"], r["y"], r["s"]] += r["count"]
-        model.thresholds = _calibrate(counts)
+                model.folds[rows[i]["g"], int(y[i]), int(v * 100)] += 1
     return model
 
 
+def known_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(id, y) of the ids that may be learnt from."""
+    known = labels.where(f"`{label_col}` is not null and `{id_col}` is not null").groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
+    return known.where(~held_out(id_col)).where("y in (0, 1)")
+
+
+def calibrate(scored: DataFrame, labels: DataFrame, model: Model, id_col: str = "doc_id", label_col: str = "toxic", lang_col: str = "lang") -> dict[str, float]:
+    """Thresholds by language from scored rows (id, language, score) and all labels that are not held out.
+
+    A language's threshold is the one of best F1, or that of all languages where it has
+    under ten toxic rows; 0.5 without any.  Rows that the network was fitted on count with
+    the scores of the networks fitted on other folds.
+    """
+    known = known_labels(labels, id_col, label_col)
+    counts = Counter(model.folds)
+    if model.fitted:
+        own = scored.sparkSession.createDataFrame([(x,) for x in model.fitted], scored.select(id_col).schema)
+        known = known.join(F.broadcast(own), id_col, "left_anti")
+    lang = F.coalesce(F.col(lang_col), F.lit("")) if lang_col in scored.columns else F.lit("")
+    every = scored.select(id_col, lang.alias("g"), F.floor(F.col("score") * 100).cast("int").alias("s")).join(known, id_col)
+    for r in every.groupBy("g", "y", "s").count().collect():  # languages by 2 by 101
+        counts[r["g"], r["y"], r["s"]] += r["count"]
+    return _calibrate(counts) if any(label for _, label, _ in counts) else {"": 0.5}
+
+
 def _calibrate(counts: Counter) -> dict[str, float]:
     """Thresholds by language of best F1, from rows counted by (language, label, score in hundredths)."""
 
@@ -298,12 +330,12 @@ def _calibrate(counts: Counter) -> dict[str, float]:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``toxic`` (score at or over the language's threshold).
+    """``docs`` with ``score`` (0 to 1), ``threshold`` (the language's) and ``toxic`` (score at or over it).
 
     The score depends on the text alone; the language chooses a threshold only.  Null
     and empty texts get the score of no words.  Columns of these names are replaced.
     """
-    base = fresh(docs, "score", "toxic")
+    base = fresh(docs, "score", "threshold", "toxic")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())])
     at = base.columns.index(text_col)
@@ -320,9 +352,29 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str |
             got = scores_of(own, strings(batch, at), cache, table)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], names=schema.names)
 
-    limit = F.lit(model.thresholds.get("", 0.5))
-    if lang_col and lang_col in base.columns:
-        for lang, value in sorted(model.thresholds.items()):
+    return decided(base.mapInArrow(run, schema), model.thresholds, lang_col)
+
+
+def decided(scored: DataFrame, thresholds: dict[str, float], lang_col: str | None = "lang") -> DataFrame:
+    """``scored`` with ``threshold`` and ``toxic``, by language."""
+    limit = F.lit(thresholds.get("", 0.5))
+    if lang_col and lang_col in scored.columns:
+        for lang, value in sorted(thresholds.items()):
             if lang:
                 limit = F.when(F.col(lang_col) == lang, value).otherwise(limit)
-    return base.mapInArrow(run, schema).withColumn("toxic", F.col("score") >= limit)
+    return scored.withColumn("threshold", limit).withColumn("toxic", F.col("score") >= F.col("threshold"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", lang_col: str = "lang", **options) -> DataFrame:
+    """``docs`` (or the columns ``keep`` of it) with score, threshold and toxic: fitted, scored and calibrated.
+
+    Scores are written once; thresholds are read off them.  Rows without an id are scored
+    like any other; an empty table gives an empty one; unlabelled tables get score 0.
+    """
+    model = fit(docs, labels, id_col=id_col, lang_col=lang_col, **options)
+    scored = score(docs, model, lang_col=lang_col).drop("threshold", "toxic")
+    wide = [c for c in dict.fromkeys([*(keep or docs.columns), id_col, *([lang_col] if lang_col in docs.columns else [])]) if c.lower() not in ("score", "threshold", "toxic")]
+    scored = written(scored.select(*wide, "score"), "scored")
+    thresholds = calibrate(scored, labels, model, id_col, options.get("label_col", "toxic"), lang_col)
+    out = decided(scored, thresholds, lang_col)
+    return out.select(*[c for c in (keep or docs.columns) if c.lower() not in ("score", "threshold", "toxic")], "score", "threshold", "toxic")
