@@ -2,11 +2,12 @@
 
 Equal sets are one node.  Every set is sorted in one global order, frequent shingles
 last, and its first elements (the prefix) are indexed: sets similar enough share an
-element of their prefixes.  Index lists are in blocks by set size, and what a block's
-sizes and positions rule out is skipped.  Links between highly similar sets are found
-first: sets that vary one text are compared among themselves as matrices, and other lists
-with a few of their sets only.  The classes found then answer for their members, and the
-lists are searched again only across classes.  An
+element of their prefixes.  Index lists are in blocks by set size; an entry is sent only
+to the blocks that its size and its position in its set leave open, the others are
+skipped.  Links between highly similar sets are found first: sets that vary one text are
+compared with that text, those not linked to it with each other as matrices, and other
+lists with a few of their sets only.  The classes found then answer for their members,
+and the lists are searched again only across classes.  An
 upper bound on the overlap, from counts of the elements' hash ranges, drops most
 candidates before any two sets meet; the rest are verified on whole sets.
 """
@@ -20,10 +21,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, strings, written
+from .common import discard, small_batches, strings, written
 from .graph import components
 
 #: Shingles among the first elements (twice the prefix) of more sets than this go to the
@@ -37,6 +38,8 @@ BROADCAST_ROWS = 500_000
 CLUSTER, CLUSTER_BLOCK = 64, 128
 #: Hash ranges counted for the upper bound on the overlap.
 RANGES = 64
+#: Blocks of sizes within the ratio of the threshold.
+SUB_BLOCKS = 4
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _LIST = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
@@ -60,9 +63,14 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(_mix(acc))
 
 
-def set_id(own: np.ndarray) -> int:
-    """A set's 64-bit id, from all its elements."""
-    return int(np.frombuffer(xxhash.xxh3_64_digest(own.tobytes()), dtype=">i8")[0])
+def set_id(own: np.ndarray, shared: frozenset = frozenset()) -> tuple[int, int]:
+    """A set's 64-bit id and 64 more bits, from all its elements.
+
+    The other half is the id where the first one is of ``shared``, the ids that several
+    different sets have.
+    """
+    first, second = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), dtype=">i8").tolist()
+    return (second, first) if first in shared else (first, second)
 
 
 def ranges_of(own: np.ndarray) -> bytes:
@@ -122,35 +130,54 @@ class _Join:
         self.frequent, self.max_frequent = frequent, max_frequent
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         self.id_type = docs.schema[id_col].dataType.simpleString()
+        self.shared: frozenset = frozenset()
 
     def members(self) -> DataFrame:
-        """(id, sid, n, ranges, prefix): every document's set; its first elements, once per set and task."""
-        width, t = self.width, self.t
+        """(id, sid, more, n, ranges, prefix): every document's set; its first elements, once per set and task."""
+        width, t, shared = self.width, self.t, self.shared
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
             for batch in batches:
-                sid, n, ranges, prefix = [], [], [], []
+                sid, more, n, ranges, prefix = [], [], [], [], []
                 for text in strings(batch, 1):
                     own = shingle_set(text, width)
                     n.append(len(own))
-                    key = set_id(own) if len(own) else None
+                    key, rest = set_id(own, shared) if len(own) else (None, None)
                     sid.append(key)
+                    more.append(rest)
                     new = key is not None and key not in seen
                     if new:
                         seen.add(key)
                     ranges.append(ranges_of(own) if new else None)
                     prefix.append(own[: 2 * t.probe(len(own))].view(np.int64) if new else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(ranges, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                    names=["id", "sid", "n", "ranges", "prefix"],
+                    [batch.column(0), pa.array(sid, pa.int64()), pa.array(more, pa.int64()), pa.array(n, pa.int32()), pa.array(ranges, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
+                    names=["id", "sid", "more", "n", "ranges", "prefix"],
                 )
 
-        return self.docs.mapInArrow(run, f"id {self.id_type}, sid long, n int, ranges binary, prefix array<long>")
+        return self.docs.mapInArrow(run, f"id {self.id_type}, sid long, more long, n int, ranges binary, prefix array<long>")
+
+    def members_and_nodes(self) -> tuple[DataFrame, DataFrame]:
+        """``members`` and (sid, id, n, ranges), a row for every different set.
+
+        Sets are told apart by 128 bits.  Where different ones share the 64 bits of the id,
+        some in 10^10 documents, all but their other half is computed again.
+        """
+        while True:
+            members = written(self.members(), "members")
+            of_sets = members.where("sid is not null and id is not null")
+            nodes = of_sets.groupBy("sid").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("ranges").alias("ranges"), F.min("more").alias("lo"), F.max("more").alias("hi"))
+            nodes = written(nodes, "nodes")
+            clash = [r[0] for r in nodes.where("lo <> hi").select("sid").toLocalIterator()]
+            if not clash:
+                return members, nodes.drop("lo", "hi")
+            self.shared |= frozenset(clash)
+            discard(members, nodes)
 
     def index(self, hot: np.ndarray) -> DataFrame:
         """(token, sid, n, pos) of all prefixes in the order (frequent, hash); lists of one set are left out."""
-        width, t = self.width, self.t
+        width, t, clash = self.width, self.t, self.shared
         shared = self.spark.sparkContext.broadcast(hot)
 
         def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +187,7 @@ class _Join:
                 token, sid, size = [], [], []
                 for text in strings(batch, 1):
                     own = shingle_set(text, width)
-                    if not len(own) or (key := set_id(own)) in seen:
+                    if not len(own) or (key := set_id(own, clash)[0]) in seen:
                         continue
                     seen.add(key)
                     p = t.probe(len(own))
@@ -218,6 +245,11 @@ class _Join:
         dealt = self.docs.where("id is not null").mapInArrow(entries, schema).repartition("token").sortWithinPartitions("token", "sid")
         return dealt.mapInArrow(lists, schema)
 
+    def size_block(self, n: Column) -> Column:
+        """Blocks of sizes on a logarithmic scale, SUB_BLOCKS of them for the ratio of the threshold."""
+        ratio = math.log(100 / self.t.p) if self.t.p < 100 else 1.0
+        return F.floor(F.log(F.greatest(n, F.lit(1.0))) / (ratio / SUB_BLOCKS)).cast("int")
+
     def possible(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs (a, b) whose counts by hash range allow the overlap."""
         t = self.t
@@ -238,7 +270,7 @@ class _Join:
 
     def sets_of(self, sids: DataFrame, nodes: DataFrame) -> DataFrame:
         """(sid, elements) of the given sets, from the whole texts of one document each."""
-        width = self.width
+        width, clash = self.width, self.shared
         ids = written(sids.join(nodes, "sid").select("id").distinct(), "wanted")
         if ids.count() <= BROADCAST_ROWS:
             ids = F.broadcast(ids)
@@ -249,7 +281,7 @@ class _Join:
                 for text in strings(batch, 1):
                     own = shingle_set(text, width)
                     if len(own):
-                        got[set_id(own)] = own.tobytes()
+                        got[set_id(own, clash)[0]] = own.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.binary())], names=["sid", "elements"])
 
         found = self.docs.join(ids, "id", "left_semi").mapInArrow(sets, "sid long, elements binary")
@@ -274,30 +306,49 @@ class _Join:
         return joined.mapInArrow(run, "a long, b long")
 
     def clusters(self, shared: DataFrame, weight: DataFrame) -> DataFrame:
-        """(sid, cluster, parts): sets gathered around the text that they vary, CLUSTER or more of them.
+        """(sid, cluster): sets gathered around the text that they vary, CLUSTER or more of them.
 
-        A list's hub is its set of most weight; a set belongs to its heaviest hub.  Pairs of
-        a cluster are compared in blocks, in place; ``parts`` is the number of blocks.
+        A list's hub is its set of most weight; a set belongs to its heaviest hub.
         """
         lists = shared.join(weight, "sid").groupBy("token").agg(F.max(F.struct("weight", "sid")).alias("hub"), F.count("*").alias("m")).where(f"m >= {CLUSTER}")
         own = shared.join(lists, "token").groupBy("sid").agg(F.max("hub").alias("hub")).select("sid", F.col("hub.sid").alias("cluster"))
         own = written(own, "hubs")
         sizes = own.groupBy("cluster").agg(F.count("*").alias("m")).where(f"m >= {CLUSTER}")
-        block = F.least(F.greatest(F.lit(CLUSTER_BLOCK), F.sqrt("m") * 3), F.lit(2000))
-        return written(own.join(sizes, "cluster").select("sid", "cluster", F.ceil(F.col("m") / block).cast("int").alias("parts")), "clusters")
+        return written(own.join(sizes, "cluster").select("sid", "cluster"), "clusters")
 
     def within(self, clusters: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Links (a, b) inside clusters, as forests: every two blocks of a cluster are compared as matrices."""
+        """Links (a, b) inside clusters, as forests.
+
+        Every set is compared with its hub first.  Those not linked to it are compared with
+        all sets of their cluster, block by block, as matrices; sets that both are linked
+        to the hub need no comparison.
+        """
         t = self.t
-        table = self.sets_of(clusters.select("sid"), nodes)
-        own = clusters.join(table, "sid").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        spread = own.withColumn("other", other).select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "sid", "elements")
-
-        def compare(key, rows):
-            _, i, j = key
-            sid, part = rows["sid"].to_numpy(), rows["part"].to_numpy()
-            left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+        members = clusters.where("sid <> cluster").select("sid", "cluster", *pair("sid", "cluster"))
+        spokes = members.select("a", "b").distinct()
+        spokes = written(self.verified(written(self.possible(spokes, nodes), "possible"), nodes), "spokes")
+        apart = members.join(spokes, ["a", "b"], "left_anti").select("sid", "cluster")
+        sizes = apart.groupBy("cluster").agg(F.count("*").alias("u"))
+        all_sizes = clusters.join(sizes.select("cluster"), "cluster", "left_semi").groupBy("cluster").agg(F.count("*").alias("m"))
+        block = F.least(F.greatest(F.lit(CLUSTER_BLOCK), F.sqrt("m") * 3), F.lit(2000))
+        sizes = sizes.join(all_sizes, "cluster").select("cluster", F.ceil(F.col("m") / block).cast("int").alias("parts"), F.ceil(F.col("u") / block).cast("int").alias("rows"))
+        open_ = clusters.join(sizes, "cluster").join(apart.select("sid", F.lit(True).alias("apart")), "sid", "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
+        open_ = written(open_, "open")
+        if not open_.take(1):
+            return spokes
+        table = self.sets_of(open_.select("sid"), nodes)
+        own = open_.join(table, "sid")
+        part = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
+        cell = lambda i, j, left: (F.col("cluster"), i.alias("i"), j.alias("j"), F.lit(left).alias("left"), F.col("sid"), F.col("elements"))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = own.where("apart").withColumn("other", each("parts")).select(*cell(part("rows"), F.col("other"), True))
+        right = own.withColumn("other", each("rows")).select(*cell(F.col("other"), part("parts"), False))
+        spread = left.unionByName(right)
+
+        def compare(rows):
+            sid, is_left = rows["sid"].to_numpy(), rows["left"].to_numpy(dtype=bool)
+            left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
             sets = [np.frombuffer(e, np.uint64) for e in rows["elements"]]
             size = np.array([len(x) for x in sets], dtype=np.int64)
             _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -321,20 +372,20 @@ class _Join:
                 return x
 
             out = []
+            first = {int(v): k for k, v in enumerate(sid)}  # a set may be on both sides
             for x, y in zip(*np.nonzero(ok)):
-                u, v = find(int(left[x])), find(int(right[y]))
+                a, b = int(sid[left[x]]), int(sid[right[y]])
+                u, v = find(first[a]), find(first[b])
                 if u != v:
                     root[u] = v
-                    out.append((int(sid[left[x]]), int(sid[right[y]])))
+                    out.append((a, b))
             return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-        return spread.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
+        return spokes.unionByName(spread.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long"))
 
     def classes(self) -> DataFrame:
         p = self.t.p
-        members = written(self.members(), "members")
-        of_sets = members.where("sid is not null and id is not null")
-        nodes = written(of_sets.groupBy("sid").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("ranges").alias("ranges")), "nodes")
+        members, nodes = self.members_and_nodes()
         tokens = members.where("id is not null").select(F.explode("prefix").alias("token")).groupBy("token").count()
         late = written(tokens.where(F.col("count") > self.frequent), "frequent")
         # the counts from which at most max_frequent shingles are left, from the histogram of counts
@@ -380,18 +431,26 @@ class _Join:
         roots = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
 
         # then only what lies across the classes found
-        named = blocks.join(roots, blocks["sid"] == roots["node"], "left").select("token", "sid", "n", "pos", "block", F.coalesce("root", "sid").alias("root"))
+        named = blocks.join(roots, blocks["sid"] == roots["node"], "left").select("token", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"))
         named = named.join(clusters.select("sid", "cluster"), "sid", "left").withColumn("cluster", F.coalesce("cluster", "sid"))
         named = written(named, "named")
+        discard(index, shared)
         mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-        named = written(named.join(mixed, "token", "left_semi"), "mixed")
-        short = named.where(f"pos < n - ceil({2 * p} * n / {100 + p}) + 1").select(
-            "token", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("i"), F.col("root").alias("rx"), F.col("cluster").alias("kx")
+        mixed = written(named.join(mixed, "token", "left_semi"), "mixed")
+        discard(named)
+        short = mixed.where(f"pos < n - ceil({2 * p} * n / {100 + p}) + 1").select(
+            "token", self.size_block(F.col("n")).alias("block"), F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("i"), F.col("root").alias("rx"), F.col("cluster").alias("kx")
         )
-        long = named.select("token", "block", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("j"), F.col("root").alias("ry"), F.col("cluster").alias("ky"))
+        # the sizes nx <= ny that a set of ny leaves open at its position j
+        smallest = F.col("n") * (p / 100)
+        largest = F.least(F.col("n").cast("double"), (F.col("n") - F.col("pos")) * ((100 + p) / p) - F.col("n"))
+        wide = 1e-9
+        reach = F.sequence(self.size_block(smallest * (1 - wide)), self.size_block(largest * (1 + wide)))
+        long = mixed.where(largest * (1 + wide) >= F.greatest(smallest, F.lit(1.0))).select("token", F.explode(reach).alias("block"), F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("j"), F.col("root").alias("ry"), F.col("cluster").alias("ky"))
         met = short.join(long, ["token", "block"]).where("rx <> ry and kx <> ky and (nx < ny or (nx = ny and x < y))").where(_bounded(p))
         pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
         pairs = written(self.possible(written(pairs, "pairs"), nodes), "possible")
+        discard(mixed)
         if pairs.take(1):
             links = links.unionByName(written(self.verified(pairs, nodes), "links"))
             roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
