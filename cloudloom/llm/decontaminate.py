@@ -8,7 +8,8 @@ within the Hamming radius of a window; weighted Jaccard similarity of the shingl
 multisets decides.
 
 All of it is DataFrame expressions.  With a benchmark of a checked size the whole search
-is one pass over the documents without a shuffle; a larger one is joined by shuffles.
+is one pass over the documents without a shuffle; for a larger one, hashes and positions
+alone are joined by a shuffle, and a document's windows come back to it by one more.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Bits of the blocks; with 5 blocks and radius 19 one block differs in 3 bits at most.
-BLOCKS, RADIUS = (13, 13, 13, 13, 12), 19
+#: Bits of the blocks; with 5 blocks and radius 24 one block differs in 4 bits at most.
+BLOCKS, RADIUS = (13, 13, 13, 13, 12), 24
 #: A side of at most this many rows (under 100 bytes each) is broadcast.
 BROADCAST_ROWS = 600_000
+#: Fingerprints by block and value are broadcast up to so many for each of those rows (8 bytes each).
+PER_ROW = 5
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -118,8 +121,9 @@ def find_leaks(
     ``n_words`` its length.  Documents and items of fewer than ``width`` words, null and
     empty texts have no shingle and match nothing.  A document shorter than an item is one
     window.  Rows repeated under one id count once; rows without an id are not looked at.
-    SimHash is a statistical filter: at a similarity of exactly 0.8 about one window in a
-    thousand lies beyond the radius.
+    Other columns are left alone, whatever their names.  SimHash is a statistical filter:
+    bits of fingerprints at a similarity of exactly 0.8 differ with a chance of 0.15, so
+    that one window in some millions lies beyond the radius.
     """
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), shingles(F.col(item_text_col), width).alias("b"))
     items = written(items.where("size(b) > 0").distinct(), "items")
@@ -127,25 +131,35 @@ def find_leaks(
     planes = int(longest).bit_length() + 1
     # windows are as long as the items that share the shingle at this place
     anchors = items.select(F.posexplode("b").alias("q", "h"), F.size("b").alias("m")).groupBy("h").agg(F.collect_set(F.struct("q", "m")).alias("at"))
-    anchors = _maybe_broadcast(written(anchors, "anchors"), broadcast_rows)
+    anchors = written(anchors, "anchors")
 
     s = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), shingles(F.col(text_col), width).alias("s"))
-    met = s.select("id", "s", F.posexplode("s").alias("p", "h")).join(anchors, "h")
-    met = met.select("id", "s", "p", F.explode("at").alias("w"))
-    most = F.greatest(F.size("s") - F.col("w.m"), F.lit(0))
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("w.q"), most))
-    windows = met.select("id", start.alias("start"), F.slice("s", start + 1, F.col("w.m")).alias("a"))
+    most = lambda n: F.greatest(n - F.col("w.m"), F.lit(0))
+    start = lambda n: F.greatest(F.lit(0), F.least(F.col("p") - F.col("w.q"), most(n)))
+    if anchors.count() <= broadcast_rows:
+        met = s.select("id", "s", F.posexplode("s").alias("p", "h")).join(F.broadcast(anchors), "h").select("id", "s", "p", F.explode("at").alias("w"))
+        windows = met.select("id", start(F.size("s")).alias("start"), F.slice("s", start(F.size("s")) + 1, F.col("w.m")).alias("a"))
+    else:
+        # texts stay where they are; a text is told by its id and a hash of its shingles
+        s = s.withColumn("key", F.xxhash64("id", "s"))
+        places = s.select("id", "key", F.size("s").alias("n"), F.posexplode("s").alias("p", "h")).join(anchors, "h").select("id", "key", "n", "p", F.explode("at").alias("w"))
+        wanted = places.groupBy("id", "key").agg(F.collect_set(F.struct(start(F.col("n")).alias("start"), F.col("w.m").alias("m"))).alias("ws"))
+        met = s.join(wanted, ["id", "key"]).select("id", "s", F.explode("ws").alias("w"))
+        windows = met.select("id", "w.start", F.slice("s", F.col("w.start") + 1, F.col("w.m")).alias("a"))
     windows = windows.withColumn("fp", simhash(F.col("a"), planes))
 
-    own = items.select("item", "b", simhash(F.col("b"), planes).alias("item_fp"))
+    own = written(items.select("item", "b", simhash(F.col("b"), planes).alias("item_fp")), "fingerprints")
     masks = F.array(*[F.array(*[F.lit(m) for m in _masks(bits)]) for bits in BLOCKS])
-    near = own.select("item", "b", "item_fp", F.explode(_blocks(F.col("item_fp"))).alias("k")).withColumn("mask", F.explode(masks[F.col("k.block")]))
-    near = near.select(F.col("k.block").alias("block"), F.col("k.value").bitwiseXOR(F.col("mask")).alias("value"), "item", "item_fp")
-    near = _maybe_broadcast(written(near, "near"), broadcast_rows)
-
-    probes = windows.select("id", "start", "a", "fp", F.explode(_blocks(F.col("fp"))).alias("k")).select("*", "k.block", "k.value")
-    found = probes.join(near, ["block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    found = found.join(_maybe_broadcast(items, broadcast_rows // 10), "item")
+    near = own.select("item_fp").distinct().select("item_fp", F.explode(_blocks(F.col("item_fp"))).alias("k")).withColumn("mask", F.explode(masks[F.col("k.block")]))
+    near = near.groupBy(F.col("k.block").alias("block"), F.col("k.value").bitwiseXOR(F.col("mask")).alias("value")).agg(F.collect_list("item_fp").alias("fps"))
+    near = written(near, "near")
+    if (near.agg(F.sum(F.size("fps"))).first()[0] or 0) <= PER_ROW * broadcast_rows:
+        near = F.broadcast(near)
+
+    probes = windows.select("id", "start", "a", "fp", F.explode(_blocks(F.col("fp"))).alias("k")).select("id", "start", "a", "fp", "k.block", "k.value")
+    within = F.filter("fps", lambda x: F.bit_count(F.col("fp").bitwiseXOR(x)) <= RADIUS)
+    found = probes.join(near, ["block", "value"]).select("id", "start", "a", F.explode(within).alias("item_fp"))
+    found = found.join(_maybe_broadcast(own, broadcast_rows // 10), "item_fp")
     found = found.withColumn("similarity", weighted_jaccard(F.col("a"), F.col("b"))).where(F.col("similarity") >= min_similarity)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("before"), (F.size("a") + width - 1).alias("n")))
     out = found.groupBy("id", "item").agg(best.alias("best"))
