@@ -51,21 +51,65 @@ def test_pieces_tile_sequences_and_decode(spark):
     assert packing.pack_documents(docs_of(spark, [])).collect() == []
 
 
-def test_sweep_is_best_fit_decreasing():
+def best_fit_decreasing(lengths, capacity):
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        fit = [b for b in bins if b >= n]
+        if fit:
+            bins.remove(min(fit))
+        bins.append(min(fit, default=capacity) - n)
+    return len(bins)
+
+
+def test_sweep_gives_every_gap_the_largest_document_left(spark):
     rng = random.Random(5)
-    for _ in range(50):
-        lengths = [rng.randint(1, 40) for _ in range(rng.randint(1, 80))]
-        bins = []
-        for n in sorted(lengths, reverse=True):
-            fit = [b for b in bins if b >= n]
-            if fit:
-                bins.remove(min(fit))
-                bins.append(min(fit) - n)
+    for _ in range(200):
+        rows = sorted((rng.randint(1, 40), rng.random() < 0.4) for _ in range(rng.randint(0, 30)))
+        sizes, gaps = [n for n, _ in rows], [g for _, g in rows]
+        matches, docs, free, used = packing.successor_sweep(sizes, gaps)
+        left, want = [], []
+        for i, (n, gap) in enumerate(rows):
+            if not gap:
+                left.append(i)
             else:
-                bins.append(40 - n)
-        plan, opened = packing.sweep(Counter(lengths), 40)
-        assert opened == len(bins)
-        assert sum(end - first for _, first, end, _, _ in plan) == len(lengths)
+                room = n
+                while left and sizes[left[-1]] <= room:
+                    room -= sizes[left[-1]]
+                    want.append((left.pop(), i))
+        assert matches == want and docs == left
+        assert sorted(free + [i for i, _ in used]) == [i for i, (_, g) in enumerate(rows) if g]
+
+
+def test_matches_across_partitions_take_each_document_and_gap_once(spark):
+    rng = random.Random(6)
+    for _ in range(200):
+        left, lo = [], 1
+        for part in range(rng.randint(1, 8)):
+            hi = lo + rng.randint(0, 9)
+            left.append((part, rng.randint(0, 6), rng.randint(lo, hi), rng.randint(0, 6), hi))
+            lo = hi
+        by_part = {p: (d, big, g, small) for p, d, big, g, small in left}
+        docs, gaps = Counter(), Counter()
+        for part, lo_, hi_, gap_part, first, each in packing.across(left):
+            assert part < gap_part and each * by_part[part][1] <= max(by_part[gap_part][3], by_part[part][1])
+            docs.update((part, k) for k in range(lo_, hi_))
+            gaps.update({(gap_part, first + k // each) for k in range(hi_ - lo_)})
+        assert set(docs.values()) | set(gaps.values()) <= {1}
+        assert all(k < by_part[p][0] for p, k in docs) and all(k < by_part[p][2] for p, k in gaps)
+
+
+@pytest.mark.parametrize("kind", ["mixed", "equal", "halves", "tiny"])
+def test_packing_is_as_tight_as_best_fit_decreasing(spark, kind):
+    rng = random.Random(7)
+    n = {"mixed": lambda: rng.randint(1, 255), "equal": lambda: 100, "halves": lambda: rng.choice([128, 129, 64]), "tiny": lambda: rng.randint(1, 4)}[kind]
+    lengths = [n() for _ in range(600)]
+    rows = spark.createDataFrame(list(enumerate(lengths)), "key long, size int")
+    held = defaultdict(list)
+    for r in packing.best_fit(rows, 256).collect():
+        held[r.seq].append((r.offset, lengths[r.key]))
+    for own in held.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:])) and max(a + n for a, n in own) <= 256
+    assert sum(map(len, held.values())) == 600 and len(held) <= best_fit_decreasing(lengths, 256) * 1.01 + 1
 
 
 # --- toxicity -------------------------------------------------------------------------------
@@ -82,11 +126,91 @@ def test_classifier_learns_from_the_training_rows_only(spark):
         held = zlib.crc32(str(i).encode()) % 4 == 2
         labels.append((i, int(not toxic) if held else int(toxic)))  # held-out labels are wrong on purpose
     docs = spark.createDataFrame([*rows, (9000, None, None), (9001, "", "en"), (9002, "zorkx " * 9000, "xx")], "doc_id long, text string, lang string")
-    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
-    got = {r.doc_id: r for r in toxicity.score(docs.selectExpr("*", "1 as score"), model).collect()}
+    labelled = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.classify(docs.selectExpr("*", "1 as score", "2 as threshold", "3 as y", "4 as g"), labelled).collect()}
     right = sum((got[i].score >= 0.3) == (i % 4 == 0) for i in range(700))
     assert right >= 690 and got[9000].score == got[9001].score and 0 <= got[9002].score <= 1
-    assert set(model.thresholds) == {"", "en", "fr"}
+    assert all(0.1 <= r.threshold <= 0.9 for r in got.values()) and all(r.toxic == (r.score >= r.threshold) for r in got.values())
+    few = toxicity.classify(docs, labelled, keep=["doc_id"])
+    assert few.columns == ["doc_id", "score", "threshold", "toxic"] and few.count() == 703
+    assert toxicity.classify(docs.limit(0), labelled).collect() == []
+
+
+def plain_score(model, text):
+    """The network by its definition, word by word."""
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    vectors = [np.mean([model.emb[i] for i in toxicity.parts_of(w)], axis=0) for w in words]
+    pooled = []
+    for w in toxicity.WIDTHS:
+        z = np.zeros((max(len(words), 16), toxicity.FILTERS))
+        for i in range(len(words)):
+            for j in range(w):
+                if i + j < len(words):
+                    z[i] += vectors[i + j] @ model.conv[w][j]
+            z[i] = np.maximum(z[i] + model.bias[w], 0)
+        pooled.append(-np.sort(-z, axis=0))
+    feats = [np.concatenate([z[:m].mean(axis=0) for z in pooled]) for m in toxicity.POOLS]
+    return 1 / (1 + np.exp(-(np.concatenate([*feats, [np.log1p(len(words)) / 10, 1.0]]) @ model.out)))
+
+
+def small_model(n=40, epochs=2):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 30))) for _ in range(n)]
+    return texts, toxicity.train(texts, np.arange(n) % 2, np.ones(n), epochs)
+
+
+def test_scores_match_a_plain_forward_pass():
+    texts, model = small_model()
+    for batch in (texts, [*texts[:5], None, "", "x", "é_ü 1"]):
+        got = toxicity.scores_of(model, batch, {}, [])
+        assert np.allclose(got, [plain_score(model, t) for t in batch], atol=1e-5)
+
+
+def test_gradients_match_finite_differences():
+    texts, model = small_model(12)
+    vocab: dict = {}
+    docs = [np.array([vocab.setdefault(w, len(vocab)) for w in toxicity.words_of(t)]) for t in texts]
+    parts = [toxicity.parts_of(w) for w in vocab]
+    y, weights = np.arange(12) % 2, np.linspace(1, 2, 12)
+    rng = np.random.default_rng(3)
+    model.emb = model.emb.astype(np.float64)
+    model.conv = {w: v.astype(np.float64) for w, v in model.conv.items()}
+    model.bias = {w: v.astype(np.float64) + rng.normal(size=v.shape) * 1e-3 for w, v in model.bias.items()}
+
+    def loss():
+        p = np.array([plain_score(model, t) for t in texts])
+        return -(weights * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / weights.sum()
+
+    grad, touched, g_emb = toxicity.gradients(model, docs, parts, y, weights)
+    checks = [(model.out, k, grad["out"][k]) for k in (0, 5, 40, -1)]
+    checks += [(model.conv[w], (w - 1, 2, f), grad[f"c{w}"][w - 1, 2, f]) for w in toxicity.WIDTHS for f in (0, 3)]
+    checks += [(model.bias[w], f, grad[f"b{w}"][f]) for w in toxicity.WIDTHS for f in (0, 2)]
+    checks += [(model.emb, (touched[k], 1), g_emb[k, 1]) for k in (0, 7, len(touched) - 1)]
+    for array, at, want in checks:
+        held, step = array[at], 1e-5
+        array[at] = held + step
+        up = loss()
+        array[at] = held - step
+        down = loss()
+        array[at] = held
+        assert abs((up - down) / (2 * step) - want) <= 1e-4 + 0.02 * abs(want), at
+
+
+def test_network_learns_an_order_of_words_that_odds_of_words_cannot_tell():
+    rng = random.Random(13)
+    texts, y = [], []
+    for i in range(900):
+        words = [rng.choice(WORDS[5:]) for _ in range(20)]
+        at = rng.randrange(18)
+        words[at : at + 2] = ["alpha", "beta"] if i % 2 else ["beta", "alpha"]
+        texts.append(" ".join(words))
+        y.append(i % 2)
+    y = np.array(y)
+    right = []
+    for epochs in (0, 12):  # 0: the network as it starts, from the odds of words
+        model = toxicity.train(texts[:700], y[:700], np.ones(700), epochs)
+        right.append(((toxicity.scores_of(model, texts[700:], {}, []) >= 0.5) == y[700:]).mean())
+    assert right[0] < 0.65 and right[1] > 0.9, right
 
 
 def test_scores_need_labels_of_both_classes(spark):
@@ -105,7 +229,8 @@ def test_rows_outside_the_fitting_sample_calibrate_their_language(spark):
         rows.append((i, " ".join(rng.choice(["vile", "scum"] if toxic and rng.random() < 0.3 else WORDS) for _ in range(20)), lang, int(toxic)))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
     model = toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"), max_toxic=30, max_clean=60, epochs=2)
-    assert set(model.thresholds) == {"", "en", "es"}  # es has about 15 toxic rows, of which 3 are in the sample
+    thresholds = toxicity.calibrate(toxicity.score(docs.drop("toxic"), model), docs.select("doc_id", "toxic"), model)
+    assert set(thresholds) == {"", "en", "es"}  # es has about 15 toxic rows, of which 3 are in the sample
 
 
 def test_calibration_takes_the_best_f1():
@@ -223,6 +348,29 @@ def test_search_of_few_rows_gives_all_candidates_by_default(spark):
         assert got == {i: min(20, n - 1) for i in range(0, n, 20)}
 
 
+def test_ties_repeated_ids_and_small_shards(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 8))
+    x[1:381, 1:] = 0.0  # equal scores for a query along the first axis
+    x[1:381, 0] = 1.0
+    x[1:381, 1] = np.arange(380)
+    x[0] = [1.0] + [0.0] * 7
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), share=1.0, shard_entries=50, block_queries=6).collect()
+    want = exact_search(range(400), x, 20)
+    for q, own in want.items():
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(v, -s) for s, v in own]
+    again = [(0, [9.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.7, 0.0]), (1, [0.5, 0.0]), (2, [0.6, 0.0]), (2, None), (2, [0.1, None])]
+    got = ann.search(spark.createDataFrame(again, "vec_id long, embedding array<double>").selectExpr("*", "1 as id", "2 as score", "3 as shard")).collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(0, 1, 2, 0.6), (0, 2, 1, 0.5)]
+
+
+def test_cells_are_dealt_over_shards_of_bounded_size():
+    counts = np.array([0, 3, 2, 25, 0, 4, 4, 1, 10])
+    first, parts = ann.deal_cells(counts, 10)
+    assert first.tolist() == [0, 0, 0, 1, 0, 4, 4, 4, 5] and parts.tolist() == [1, 1, 1, 3, 1, 1, 1, 1, 1]
+
+
 # --- decontamination ------------------------------------------------------------------------
 def test_leaks_match_brute_force(spark):
     rng = random.Random(10)
