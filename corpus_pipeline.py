@@ -18,13 +18,18 @@ from cloudloom.llm.packing import pack_documents
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects at their language's threshold go."""
-    model = tox.fit(docs, table(spark, sf_dir, "labels"))
-    return tox.score(docs, model).where(~F.col("toxic")).select(docs.columns)
+    """Documents that the classifier rejects at their language's threshold go.
+
+    Null and empty texts have the score of no words; an empty table stays empty.
+    """
+    return tox.classify(docs, table(spark, sf_dir, "labels")).where(~F.col("toxic")).select(docs.columns)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten or more documents go; every document stays, if with an empty text."""
+    """Lines found in ten or more documents go; every document stays, if with an empty text.
+
+    A null text becomes an empty one; n_chars is counted again.
+    """
     out = line_dedup(docs, min_docs=10, min_chars=1)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
@@ -46,12 +51,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null, empty and very short texts hold none and stay."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents left in sequences of 2048 tokens."""
+    """Places of all documents left in sequences of 2048 tokens; a null or empty text is its end mark."""
     return pack_documents(docs, capacity=2048, end_id=0, keep_ids=False)
 
 
