@@ -122,7 +122,9 @@ def across(left: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, i
 
 
 _ROW = "part int, kind int, key long, size int, at long, seq long"
-_PLACED, _DOC, _FREE, _USED, _SUMMARY = range(5)
+_PLACED, _DOC, _FREE, _USED, _SUMMARY, _LEAST = range(6)
+#: Documents and gaps of a partition; small rounds have few partitions.
+PART_ROWS = 20_000
 
 
 def _sweep_partition(batches):
@@ -138,8 +140,8 @@ def _sweep_partition(batches):
     matches, docs, free, used = successor_sweep(size.tolist(), gap.tolist())
     n = len(docs)
     largest, smallest = (int(size[docs[-1]]) if docs else 0), (int(size[free[0]]) if free else 0)
-    # the summary: documents left, the largest, the sum of them, and gaps left with the smallest
-    rows = [(_SUMMARY, [n], [largest], [len(free)], [smallest])]
+    # the summary: documents left with the largest, gaps left with the smallest; the smallest document left; all rows
+    rows = [(_SUMMARY, [n], [largest], [len(free)], [smallest]), (_LEAST, [int(size[docs[0]]) if docs else 2**62], [0], [len(used)], [0])]
     d, g = (np.array([x[k] for x in matches], dtype=np.int64) for k in (0, 1))
     rows.append((_PLACED, key[d], size[d], np.zeros(len(d)), key[g]))
     rows.append((_DOC, key[docs], size[docs], np.arange(n)[::-1], np.zeros(n)))
@@ -160,29 +162,34 @@ def best_fit(sizes: DataFrame, capacity: int) -> DataFrame:
     one size are split by key, so that many equal lengths are no hot partition.
     """
     spark = sizes.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
     small = F.col("size") * 2 <= capacity
     docs, big = sizes.where(small), sizes.where(~small)
-    need, room = sizes.agg(F.sum(F.when(small, F.col("size"))), F.sum(F.when(~small, capacity - F.col("size")))).first()
+    n_docs, n_gaps, need, room = sizes.agg(F.count_if(small), F.count_if(~small), F.sum(F.when(small, F.col("size"))), F.sum(F.when(~small, capacity - F.col("size")))).first()
     placed = [big.select("key", F.col("key").alias("seq"), "size")]
     gaps = big.select("key", (capacity - F.col("size")).cast("int").alias("size")).where("size > 0")
-    opened, left = 0, need or 0
+    opened = 0
 
     def more(n: int) -> DataFrame:
-        nonlocal opened
-        opened += n
+        nonlocal opened, n_gaps
+        opened, n_gaps = opened + n, n_gaps + n
         return spark.range(opened - n, opened).select((-F.col("id") - 1).alias("key"), F.lit(capacity).cast("int").alias("size"))
 
-    if (short := left - (room or 0)) > 0:
+    if (short := (need or 0) - (room or 0)) > 0:
         gaps = gaps.unionByName(more(math.ceil(short / capacity)))
-    while left:
+    while n_docs:
+        parts = min(most, 1 + (n_docs + n_gaps) // PART_ROWS)
         both = docs.select("key", "size", F.lit(False).alias("gap")).unionByName(gaps.select("key", "size", F.lit(True).alias("gap")))
         order = ["size", "gap", "key"]
         swept = written(both.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_sweep_partition, _ROW), "swept")
         kind = lambda k: swept.where(F.col("kind") == k)
-        # one row a partition
-        summary = [(r["part"], r["key"], r["size"], r["at"], r["seq"]) for r in kind(_SUMMARY).collect()]
+        told = swept.where(F.col("kind") >= _SUMMARY).collect()  # two rows a partition
+        summary = [(r["part"], r["key"], r["size"], r["at"], r["seq"]) for r in told if r["kind"] == _SUMMARY]
+        least = min(r["key"] for r in told if r["kind"] == _LEAST)
+        n_gaps = sum(r["at"] for r in told)
+        before, n_docs = n_docs, sum(x[1] for x in summary)
         hits = across(summary)
+        n_docs -= sum(h[2] - h[1] for h in hits)
         new = kind(_PLACED).select("key", "seq", "size")
         docs, gaps = kind(_DOC), kind(_USED).select("key", "size")
         free = kind(_FREE).select("part", "at", "key", "size")
@@ -200,12 +207,10 @@ def best_fit(sizes: DataFrame, capacity: int) -> DataFrame:
         placed.append(new)
         gaps = gaps.unionByName(free.select("key", "size")).where("size > 0")
         docs = docs.select("key", "size")
-        least, rest = docs.agg(F.min("size"), F.sum("size")).first()
-        if rest == left:
-            gaps = gaps.unionByName(more(math.ceil(left / capacity)))
-        left = rest or 0
-        if left:
+        if n_docs:
             gaps = gaps.where(F.col("size") >= least)  # no document left fits a smaller one
+        if n_docs == before:
+            gaps = gaps.unionByName(more(math.ceil(docs.agg(F.sum("size")).first()[0] / capacity)))
     out = placed[0]
     for one in placed[1:]:
         out = out.unionByName(one)
