@@ -13,19 +13,19 @@ ALIASES: dict[str, tuple[str, ...]] = {
     "Y": ("Y", "y"),
     "Z": ("Z", "z"),
     "Intensity": ("Intensity", "intensity", "i"),
-    "ReturnNumber": ("ReturnNumber", "returnnumber", "return", "Return", "r"),
-    "NumberOfReturns": ("NumberOfReturns", "numberofreturns", "n"),
+    "ReturnNumber": ("ReturnNumber", "returnnumber", "return_number", "return", "Return", "r"),
+    "NumberOfReturns": ("NumberOfReturns", "NumberReturns", "numberofreturns", "n"),
     "Classification": ("Classification", "classification", "class", "Class", "c"),
     "gpstime": ("gpstime", "gps_time", "GPStime", "time", "gps", "t"),
-    "Synthetic": ("Synthetic", "synthetic", "s"),
-    "Keypoint": ("Keypoint", "keypoint", "k"),
-    "Withheld": ("Withheld", "withheld", "w"),
-    "Overlap": ("Overlap", "overlap", "o"),
-    "UserData": ("UserData", "userdata", "ud", "u"),
-    "PointSourceID": ("PointSourceID", "pointsourceid", "psid", "p"),
+    "Synthetic": ("Synthetic", "synthetic", "Synthetic_flag", "s"),
+    "Keypoint": ("Keypoint", "keypoint", "Keypoint_flag", "k"),
+    "Withheld": ("Withheld", "withheld", "Withheld_flag", "w"),
+    "Overlap": ("Overlap", "overlap", "Overlap_flag", "o"),
+    "UserData": ("UserData", "userdata", "user_data", "ud", "u"),
+    "PointSourceID": ("PointSourceID", "pointsourceid", "point_source", "point_source_id", "psid", "p"),
     "EdgeOfFlightline": ("EdgeOfFlightline", "edgeofflightline", "e"),
     "ScanDirectionFlag": ("ScanDirectionFlag", "scandirectionflag", "d"),
-    "ScanAngle": ("ScanAngle", "scanangle", "ScanAngleRank", "scananglerank", "angle", "a"),
+    "ScanAngle": ("ScanAngle", "scanangle", "scan_angle", "ScanAngleRank", "scananglerank", "angle", "Angle", "a"),
     "R": ("R", "Red", "red"),
     "G": ("G", "Green", "green"),
     "B": ("B", "Blue", "blue"),

@@ -81,6 +81,7 @@ def random_fraction(p: float, seed: int = 0) -> Column:
     return F.rand(seed) <= p
 
 
+# The strings that the named filters stand for, and the codes of the standard classes.
 def keep_class(*classes: int) -> str:
     return f"Classification %in% {' '.join(map(str, classes))}"
 
@@ -133,13 +134,14 @@ def drop_z_below(z: float) -> str:
     return f"Z >= {z}"
 
 
-def keep_z_between(low: float, high: float) -> str:
-    return f"Z %between% {low} {high}"
+def keep_z_between(low: float, high: float) -> list[str]:
+    """Both ends belong to the interval."""
+    return [f"Z >= {low}", f"Z <= {high}"]
 
 
 def drop_z_between(df: DataFrame, low: float, high: float) -> Column:
-    """Points outside the half-open interval: a disjunction, so a Column and not a string."""
-    return ~predicate(df, keep_z_between(low, high))
+    """Points outside the closed interval: a disjunction, so a Column and not a string."""
+    return ~all_of(df, keep_z_between(low, high))
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:

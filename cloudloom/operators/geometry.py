@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .neighbours import nearest_neighbours, radius_pairs
+from .neighbours import nearest_neighbours, nearest_reduced, radius_pairs
 
 #: Letters that choose what is returned.
 FEATURES = {
@@ -51,16 +52,34 @@ def _normal(a: dict[str, Column], smallest: Column) -> tuple[Column, Column, Col
     return tuple(F.when(ok, best[c] / length).otherwise(F.lit(float(c == "z"))) for c in "xyz")
 
 
-def geometry_features(df: DataFrame, k: int = 8, r: float = 0.0, features: str = "aps", always_up: bool = False, cell: float | None = None) -> DataFrame:
+_PAIRS = {"xx": ("X2", "X2"), "yy": ("Y2", "Y2"), "zz": ("Z2", "Z2"), "xy": ("X2", "Y2"), "xz": ("X2", "Z2"), "yz": ("Y2", "Z2")}
+
+
+def _covariances(pid, near, d2, held) -> dict:
+    """Sample covariances of the neighbours' coordinates, and their number."""
+    ok = near >= 0
+    n = ok.sum(axis=1)
+    xyz = {}
+    for c in "XYZ":
+        v = np.where(ok, held[c][np.maximum(near, 0)], 0.0)
+        xyz[c + "2"] = np.where(ok, v - (v.sum(axis=1) / np.maximum(n, 1))[:, None], 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return {"pid": pid, "n": n} | {name: np.where(n > 1, (xyz[u] * xyz[v]).sum(axis=1) / (n - 1), np.nan) for name, (u, v) in _PAIRS.items()}
+
+
+def geometry_features(df: DataFrame, k: int = 8, r: float = 0.0, features: str = "aps", always_up: bool = False) -> DataFrame:
     """(pid, features) from the covariance of each point's neighbourhood, itself included.
 
     The ``k`` nearest, those within ``r``, or the k nearest within r.  Fewer than three
     neighbours give nulls.
     """
     slim = df.select("pid", "X", "Y", "Z")
-    near = radius_pairs(slim, slim, r) if r > 0 and not k else nearest_neighbours(slim, slim, k, radius=r if r > 0 else None, cell=cell)
-    pairs = {"xx": ("X2", "X2"), "yy": ("Y2", "Y2"), "zz": ("Z2", "Z2"), "xy": ("X2", "Y2"), "xz": ("X2", "Z2"), "yz": ("Y2", "Z2")}
-    moments = near.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), *[(F.var_samp(u) if u == v else F.covar_samp(u, v)).alias(c) for c, (u, v) in pairs.items()])
+    pairs = _PAIRS
+    if r > 0:
+        near = radius_pairs(slim, slim, r) if not k else nearest_neighbours(slim, slim, k, radius=r)
+        moments = near.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), *[(F.var_samp(u) if u == v else F.covar_samp(u, v)).alias(c) for c, (u, v) in pairs.items()])
+    else:
+        moments = nearest_reduced(slim, slim, k, _covariances, "pid bigint, n bigint, " + ", ".join(f"{c} double" for c in pairs))
     valid = moments.withColumns({c: F.when(F.col("n") >= 3, F.col(c)) for c in pairs})
     entries = {c: F.col(c) for c in pairs}
     with_values = valid.withColumns(dict(zip(("lambda1", "lambda2", "lambda3"), eigenvalues(entries))))

@@ -183,7 +183,7 @@ def densify(x: np.ndarray, y: np.ndarray, z: np.ndarray, res: float, angle: floa
 
 
 def classify_with_ptd(
-    df: DataFrame, res: float = 10.0, angle: float = 30.0, distance: float = 2.0, spacing: float = 0.25, classification: int = 2, conditions=None, tile: float = 30.0, halo: float = 15.0
+    df: DataFrame, res: float = 10.0, angle: float = 30.0, distance: float = 2.0, spacing: float = 0.25, classification: int = 2, conditions=None, tile: float = 30.0, halo: float = 30.0
 ) -> DataFrame:
     """Progressive densification: accepted points become ground or unclassified (1)."""
     column = find(df, "Classification")

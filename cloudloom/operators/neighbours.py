@@ -1,13 +1,18 @@
-"""Neighbourhoods by hashing points to cells: radius joins, k nearest, and what builds on them.
+"""Neighbourhoods: radius joins, k nearest, and what builds on them.
 
 A radius join sends every point to the cells around its own and joins on the cell, so
-it is an equality join that the engine can balance; no index and no halo is needed.
+it is an equality join that the engine can balance; no index and no halo is needed.  The
+k nearest come from tiles that are split until each holds a bounded number of points,
+with a halo as wide as the answers need; what a halo does not prove is asked again.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +27,8 @@ def write_once(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the folder all executors share, read again: a cut in the lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)  # when the application ends
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -67,73 +74,250 @@ def radius_pairs(seeds: DataFrame, points: DataFrame, radius: float, dims: int =
     return joined.withColumn("d2", squared_distance(dims)).where(F.col("d2") <= radius * radius).drop(*names)
 
 
-def suggested_cell(points: DataFrame, k: int) -> float:
-    """Cell side at which a sphere of that radius holds about 2 k points of a cloud of even density."""
+#: Points that a tile of the k-nearest search should hold, and how often a tile is halved at most.
+TILE_POINTS, MAX_LEVEL = 2_000, 24
+#: Points whose distances are computed at once.
+_LEAF = 256
+#: Tiles that are split further are broadcast up to so many (24 bytes each), more are joined.
+BROADCAST_TILES = 200_000
+
+
+def _leaves(xyz: np.ndarray) -> list[np.ndarray]:
+    """Rows in groups of at most _LEAF near ones: halved along the longest side."""
+    out, stack = [], [np.arange(len(xyz))]
+    while stack:
+        own = stack.pop()
+        if len(own) <= _LEAF:
+            out.append(own)
+            continue
+        axis = int(np.ptp(xyz[own], axis=0).argmax())
+        half = len(own) // 2
+        order = own[np.argpartition(xyz[own, axis], half)]
+        stack += [order[:half], order[half:]]
+    return out
+
+
+def nearest_in_tile(seeds: np.ndarray, xyz: np.ndarray, pid: np.ndarray, k: int, halo: float) -> tuple[np.ndarray, np.ndarray]:
+    """(index, d2) of the ``k`` nearest points of every seed, by distance and pid; -1 and infinity where fewer.
+
+    Points beyond ``halo`` of a seed are not looked for.  Of points at one place only the
+    first ``k`` by pid can be among the nearest of any seed.
+    """
+    order = np.lexsort((pid, xyz[:, 2], xyz[:, 1], xyz[:, 0]))
+    same = np.r_[False, (xyz[order[1:]] == xyz[order[:-1]]).all(axis=1)]
+    at = np.arange(len(order))
+    place = at - np.maximum.accumulate(np.where(same, 0, at))
+    kept = order[place < k]
+    xyz, pid = xyz[kept], pid[kept]  # by x
+    index = np.full((len(seeds), k), -1, np.int64)
+    d2 = np.full((len(seeds), k), np.inf)
+    for leaf in _leaves(seeds):
+        own = seeds[leaf]
+        lo, hi = own.min(axis=0), own.max(axis=0)
+        left = np.arange(len(leaf))
+        r = max(float((hi - lo).max()) / 2, halo / 8, 1e-9)
+        while len(left):
+            r = min(r, halo)
+            a, b = np.searchsorted(xyz[:, 0], (lo[0] - r, np.nextafter(hi[0] + r, np.inf)))
+            near = a + np.flatnonzero(((xyz[a:b, 1:] >= lo[1:] - r) & (xyz[a:b, 1:] <= hi[1:] + r)).all(axis=1))
+            if len(near) >= k or r >= halo:
+                d = np.zeros((len(left), len(near)))
+                for axis in range(3):
+                    step = own[left, axis][:, None] - xyz[near, axis]
+                    d += step * step
+                if len(near) > k:
+                    # all that tie with the k-th stay, so that the pid decides
+                    kth = np.partition(d, k - 1, axis=1)[:, k - 1]
+                    ranked = np.lexsort((np.broadcast_to(pid[near], d.shape), np.where(d <= kth[:, None], d, np.inf)), axis=1)[:, :k]
+                else:
+                    ranked = np.lexsort((np.broadcast_to(pid[near], d.shape), d), axis=1)
+                best = np.take_along_axis(d, ranked, axis=1)
+                done = np.ones(len(left), bool) if r >= halo else best[:, -1] <= r * r
+                rows = leaf[left[done]]
+                m = best.shape[1]
+                d2[rows, :m], index[rows, :m] = best[done], kept[near][ranked[done]]
+                left = left[~done]
+            r *= 2
+    return index, d2
+
+
+def _tiles(points: DataFrame, k: int) -> tuple[float, float, float]:
+    """(side of a tile, halo, widest extent) for points of even density; tiles of dense spots are split later."""
     box = points.agg(F.count(F.lit(1)), *[f(a) for a in "XYZ" for f in (F.min, F.max)]).first()
     if not box[0]:
-        return 1.0
-    volume = 1.0
-    for lo, hi in ((1, 2), (3, 4), (5, 6)):
-        volume *= max(box[hi] - box[lo], 1e-3)
-    return max((volume * (k + 1) * 2.0 / (4.19 * box[0])) ** (1 / 3), 1e-6)
+        return 1.0, 1.0, 0.0
+    sides = [max(box[hi] - box[lo], 1e-3) for lo, hi in ((1, 2), (3, 4), (5, 6))]
+    volume = sides[0] * sides[1] * sides[2]
+    # twice the radius of a sphere that holds k of them
+    halo = 2.0 * (volume * (k + 1) / (4.19 * box[0])) ** (1 / 3)
+    side = max((sides[0] * sides[1] * TILE_POINTS / box[0]) ** 0.5, halo)
+    return side, halo, max(sides)
 
 
-def nearest_neighbours(seeds: DataFrame, points: DataFrame, k: int, radius: float | None = None, cell: float | None = None, keep: list[str] = ()) -> DataFrame:
-    """The ``k`` nearest points of every seed (itself included where it is one of them), ties by pid.
+def _shrink(level: int) -> float:
+    """A split tile's halo follows the distance of points in space, not on the ground."""
+    return 2.0 ** (-2.0 * level / 3.0) * (1 - 1e-12)
 
-    Within ``radius`` if given.  Without, cells grow until every answer is proven: the k-th
-    distance must not exceed the cell side, which bounds what lies outside the 27 cells.
-    Only the seeds not yet proven go on, with cells twice as wide.
-    """
-    window = Window.partitionBy("pid").orderBy("d2", "pid2")
 
-    def pick(from_seeds: DataFrame, h: float) -> DataFrame:
-        pairs = radius_pairs(from_seeds, points, h, 3, keep)
-        return pairs.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+def _by_tile(rows: DataFrame, levels: DataFrame, side: float, halo: float) -> DataFrame:
+    """Rows once for every (split) tile that they lie within the tile's halo of: __i, __j, __l, __core.
 
-    if radius is not None:
-        return pick(seeds, radius)
-    h = cell or suggested_cell(points, k)
-    total = points.limit(k).count()
-    box = points.agg(*[f(a) for a in "XYZ" for f in (F.min, F.max)]).first()
-    widest = max((box[1] - box[0], box[3] - box[2], box[5] - box[4])) if box[0] is not None else 0.0
-    done, left = None, seeds
+    A tile of level l has a side of 2**-l of the plain one and a halo of 2**(-2 l / 3).
+    """
+    from ..functions.lattice import around
+
+    wide = rows.withColumns({"__ti": column_of(F.col("X"), side), "__tj": column_of(F.col("Y"), side)}).withColumn("__d", F.explode(around(1, "i", "j")))
+    wide = wide.withColumns({"__bi": F.col("__ti") + F.col("__d.i"), "__bj": F.col("__tj") + F.col("__d.j")})
+    b = F.lit(float(halo))
+    reach = lambda c, t: (F.col(c) >= F.col(t) * side - b) & (F.col(c) <= (F.col(t) + 1) * side + b)
+    wide = wide.where(reach("X", "__bi") & reach("Y", "__bj")).join(levels, ["__bi", "__bj"], "left").withColumn("__l", F.coalesce("__l", F.lit(0)))
+    scale = F.pow(F.lit(2.0), F.col("__l"))
+    small, narrow = F.lit(float(side)) / scale, b * F.pow(F.lit(2.0), F.col("__l") * F.lit(-2.0 / 3.0))
+    for c, t, n in (("X", "__bi", "__i"), ("Y", "__bj", "__j")):
+        first, last = (F.col(t) * scale).cast("bigint"), ((F.col(t) + 1) * scale - 1).cast("bigint")
+        within = lambda x, a=first, z=last: F.greatest(a, F.least(z, F.floor(x / small)))
+        wide = wide.withColumn(n, F.explode(F.sequence(within(F.col(c) - narrow), within(F.col(c) + narrow))))
+    own = lambda c, t, n: F.greatest((F.col(t) * scale).cast("bigint"), F.least(((F.col(t) + 1) * scale - 1).cast("bigint"), F.floor(F.col(c) / small))) == F.col(n)
+    core = (F.col("__bi") == F.col("__ti")) & (F.col("__bj") == F.col("__tj")) & own("X", "__bi", "__i") & own("Y", "__bj", "__j")
+    return wide.withColumn("__core", core).select(*rows.columns, "__i", "__j", "__l", "__core")
+
+
+def nearest_reduced(seeds: DataFrame, points: DataFrame, k: int, reduce: Callable, schema: str, keep: list[str] = ()) -> DataFrame:
+    """``reduce`` of the ``k`` nearest points of every seed, as rows of ``schema``.
+
+    ``reduce(pid, near, d2, columns)`` gets the seeds' pids, positions in ``columns`` of
+    their neighbours (pid, X, Y, Z and ``keep`` as arrays) with -1 where there are fewer
+    than k, and squared distances; it returns columns by name.  Tiles that hold more than
+    TILE_POINTS are split to their density.  The few seeds whose k-th neighbour may lie
+    beyond their tile's halo are sent to the cells around them, wider ones each round.
+    """
+    columns = list(dict.fromkeys(["pid", "X", "Y", "Z", *keep]))
+    points = points.select(*columns)
+    slim = seeds.select("pid", "X", "Y", "Z")
+    side, halo, widest = _tiles(points, k)
+    wanted = min(k, points.limit(k).count())
+    counts = points.groupBy(column_of(F.col("X"), side).alias("__bi"), column_of(F.col("Y"), side).alias("__bj")).agg(F.count(F.lit(1)).alias("n"))
+    level = F.least(F.ceil(F.log(F.col("n") / TILE_POINTS) / F.log(F.lit(4.0))), F.lit(MAX_LEVEL)).cast("int")
+    levels = write_once(counts.where(F.col("n") > TILE_POINTS).select("__bi", "__bj", level.alias("__l")))
+    known = F.broadcast(levels) if levels.count() <= BROADCAST_TILES else levels
+    pad = {c: F.lit(0).cast(points.schema[c].dataType) for c in columns if c not in ("pid", "X", "Y", "Z")}
+    place = [*columns, "__i", "__j", "__l"]
+    asked = _by_tile(slim, known, side, 0.0).where("__core").withColumns(pad).select(*place, F.lit(True).alias("__seed"))
+    given = _by_tile(points, known, side, halo).select(*place, F.lit(False).alias("__seed"))
+    names = [f.split()[0].strip("`") for f in schema.split(",")] + ["__open"]
+
+    def run(key, rows):
+        narrow = halo * _shrink(key[2])
+        is_seed = rows["__seed"].to_numpy(dtype=bool)
+        own, rest = rows[is_seed], rows[~is_seed]
+        if not len(own):
+            return pd.DataFrame({n: [] for n in names})
+        held = {c: rest[c].to_numpy() for c in columns}
+        near, d2 = nearest_in_tile(own[["X", "Y", "Z"]].to_numpy(float), rest[["X", "Y", "Z"]].to_numpy(float), held["pid"], k, narrow)
+        proven = d2[:, wanted - 1] <= narrow * narrow
+        pid = own["pid"].to_numpy()
+        out = pd.DataFrame(reduce(pid[proven], near[proven], d2[proven], held))
+        out["__open"] = False
+        if not proven.all():
+            # other columns keep their types: whole numbers must not pass through floats
+            open_ = pd.DataFrame({c: np.zeros((~proven).sum(), out[c].dtype) for c in out.columns}).assign(pid=pid[~proven], __open=True)
+            out = pd.concat([out, open_], ignore_index=True)
+        return out[names]
+
+    found = write_once(asked.unionByName(given).groupBy("__i", "__j", "__l").applyInPandas(run, f"{schema}, __open boolean"))
+    done = found.where("not __open").drop("__open")
+    left = found.where("__open").select("pid")
+    if not left.take(1):
+        return done
+
+    def one(key, rows):
+        rows = rows.sort_values(["d2", "pid2"], kind="stable")
+        held = {c: rows[f"{c}2"].to_numpy() for c in columns}
+        near, d2 = np.full((1, k), -1, np.int64), np.full((1, k), np.inf)
+        near[0, : len(rows)], d2[0, : len(rows)] = np.arange(len(rows)), rows["d2"].to_numpy()
+        return pd.DataFrame(reduce(np.array([key[0]]), near, d2, held))
+
+    left = write_once(slim.join(left, "pid", "left_semi"))
+    window = Window.partitionBy("pid").orderBy("d2", "pid2")
+    h = halo
     while True:
         # every pair within h is found, so k of them within h are the nearest k
-        found = write_once(pick(left, h))
-        proven = found.where(F.col("rank") == min(k, total)).select("pid")
-        part = found if h > 2 * widest else found.join(proven, "pid", "left_semi")
-        done = part if done is None else done.unionByName(part)
-        if h > 2 * widest:
+        last = h > 2 * widest
+        axes = _cell_names(3)
+        other = with_cells(points, h, 3).select(*axes, *[F.col(c).alias(f"{c}2") for c in columns])
+        pairs = _spread(with_cells(left, h, 3), 3).join(other, axes).withColumn("d2", squared_distance(3)).where(F.col("d2") <= h * h)
+        pairs = write_once(pairs.select("pid", "d2", *[f"{c}2" for c in columns]).withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k))
+        full = pairs.where(F.col("rank") == wanted).select("pid")
+        part = pairs if last else pairs.join(full, "pid", "left_semi")
+        done = done.unionByName(part.drop("rank").groupBy("pid").applyInPandas(one, schema))
+        if last:
             return done
-        left = write_once(left.join(proven, "pid", "left_anti"))
+        left = write_once(left.join(full, "pid", "left_anti"))
         if not left.take(1):
             return done
         h *= 2
 
 
+def nearest_neighbours(seeds: DataFrame, points: DataFrame, k: int, radius: float | None = None, keep: list[str] = ()) -> DataFrame:
+    """The ``k`` nearest points of every seed (itself included where it is one of them), ties by pid.
+
+    Rows: pid, rank, pid2, X2, Y2, Z2, d2 and ``keep`` suffixed with 2.  Within ``radius``
+    if given, by a radius join that also carries the seeds' columns.
+    """
+    if radius is not None:
+        window = Window.partitionBy("pid").orderBy("d2", "pid2")
+        pairs = radius_pairs(seeds, points, radius, 3, keep)
+        return pairs.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    types = {f.name: f.dataType.simpleString() for f in points.schema}
+    schema = ", ".join(["pid bigint", "rank int", "pid2 bigint", "X2 double", "Y2 double", "Z2 double", *[f"{c}2 {types[c]}" for c in keep], "d2 double"])
+
+    def pairs_of(pid, near, d2, held):
+        row, rank = np.nonzero(near >= 0)
+        at = near[row, rank]
+        out = {"pid": pid[row], "rank": rank + 1, "pid2": held["pid"][at]}
+        return out | {f"{c}2": held[c][at] for c in ["X", "Y", "Z", *keep]} | {"d2": d2[row, rank]}
+
+    return nearest_reduced(seeds, points, k, pairs_of, schema, keep)
+
+
 def classify(df: DataFrame, flagged: Column, classification: int) -> DataFrame:
     column = find(df, "Classification")
     return df.withColumn(column, F.when(flagged, F.lit(classification).cast(df.schema[column].dataType)).otherwise(F.col(column)))
 
 
-def classify_with_sor(df: DataFrame, k: int = 8, m: float = 6, classification: int = 18, scope: list[str] = (), cell: float | None = None) -> DataFrame:
+def classify_with_sor(df: DataFrame, k: int = 8, m: float = 6, classification: int = 18, scope: list[str] = ()) -> DataFrame:
     """Statistical outliers: mean distance to ``k`` neighbours over mean + m sd, of all points or of each scope."""
-    near = nearest_neighbours(df.select("pid", "X", "Y", "Z"), df, k + 1, cell=cell).where("pid2 <> pid")
-    # the point itself is one of the k + 1 unless as many others lie at its very place
-    first = F.slice(F.sort_array(F.collect_list("d2")), 1, k)
-    mean = near.groupBy("pid").agg(first.alias("__d")).select("pid", (F.aggregate("__d", F.lit(0.0), lambda a, x: a + F.sqrt(x)) / F.size("__d")).alias("__mean"))
+
+    def mean_distance(pid, near, d2, held):
+        # the point itself, or one at its very place, is the first
+        d = np.where(np.isfinite(d2[:, 1:]), d2[:, 1:], np.nan)
+        n = np.isfinite(d).sum(axis=1)
+        return {"pid": pid, "__mean": np.where(n > 0, np.nansum(np.sqrt(d), axis=1) / np.maximum(n, 1), np.nan)}
+
+    mean = nearest_reduced(df, df, k + 1, mean_distance, "pid bigint, __mean double")
+    mean = mean.withColumn("__mean", F.when(~F.isnan("__mean"), F.col("__mean")))
     with_mean = write_once(df.join(mean, "pid", "left"))
     stats = with_mean.groupBy(*scope).agg((F.avg("__mean") + F.lit(float(m)) * F.stddev_samp("__mean")).alias("__limit"))
-    limited = with_mean.join(F.broadcast(stats), list(scope)) if scope else with_mean.crossJoin(F.broadcast(stats))
+    if scope:
+        limited = with_mean.join(stats, list(scope), "left")
+    else:
+        limited = with_mean.withColumn("__limit", F.lit(stats.first()[0]).cast("double"))
     return classify(limited, F.coalesce(F.col("__mean") > F.col("__limit"), F.lit(False)), classification).select(df.columns)
 
 
 def classify_with_ipf(df: DataFrame, r: float = 1.0, n: int = 1, classification: int = 18) -> DataFrame:
-    """Isolated points: at most ``n`` others within ``r``."""
-    pairs = radius_pairs(df.select("pid", "X", "Y", "Z"), df, r)
-    counts = pairs.groupBy("pid").agg(F.count(F.lit(1)).alias("__n"))
-    return classify(df.join(counts, "pid", "left"), F.col("__n") <= n + 1, classification).select(df.columns)
+    """Isolated points: at most ``n`` others within ``r``.
+
+    Two points of a cell with side r / sqrt(3) are within r, so crowded cells are cleared
+    by one aggregate; only points of the other cells are joined to what is around them.
+    """
+    cell = r / 3**0.5 * (1 - 1e-9)
+    cells = {name: index(F.col(axis), cell) for name, (axis, index) in zip(("__a", "__b", "__c"), _AXES)}
+    slim = df.select("pid", "X", "Y", "Z").withColumns(cells)
+    sparse = slim.groupBy(*cells).agg(F.count(F.lit(1)).alias("__m")).where(F.col("__m") <= n + 1).drop("__m")
+    seeds = slim.join(sparse, list(cells), "left_semi").select("pid", "X", "Y", "Z")
+    counts = radius_pairs(seeds, df, r).groupBy("pid").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") <= n + 1)
+    return classify(df.join(counts, "pid", "left"), F.col("__n").isNotNull(), classification).select(df.columns)
 
 
 def classify_with_ivf(df: DataFrame, res: float | tuple[float, float, float] = 5.0, n: int = 6, classification: int = 18, conditions=None) -> DataFrame:

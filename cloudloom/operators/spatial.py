@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.lattice import around, column_of, covering, row_of
 from ..functions.predicates import all_of
 
-#: More plots than this are matched over coarse cells instead of by a broadcast.
-BROADCAST_PLOTS = 10_000
+#: Plots by cell are broadcast up to so many rows (under 100 bytes each), more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def circles(spark: SparkSession, rows: list[tuple[int, float, float, float]]) -> DataFrame:
@@ -20,33 +20,34 @@ def rectangles(spark: SparkSession, rows: list[tuple[int, float, float, float, f
     return spark.createDataFrame([(int(q), *map(float, r)) for q, *r in rows], "query_id int, xmin double, ymin double, xmax double, ymax double")
 
 
-def _matched(points: DataFrame, plots: DataFrame, box: tuple[str, str, str, str], exact: str, cell: float) -> DataFrame:
+def _matched(points: DataFrame, plots: DataFrame, box: tuple[str, str, str, str], exact: str, cell: float | None) -> DataFrame:
     """Points joined to the plots whose box and exact condition hold them.
 
-    A few plots are broadcast; many are exploded to the coarse cells they touch, so that
-    the join is an equality join that AQE can balance.
+    Plots are exploded to the cells they touch, cells as wide as a plot is on average, so
+    that a point is tested against the plots of its own cell only.  One box around all
+    plots is pushed to the scan.
     """
     xmin, ymin, xmax, ymax = box
-    boxed = f"X between {xmin} and {xmax} and Y between {ymin} and {ymax} and {exact}"
-    if plots.count() <= BROADCAST_PLOTS:
-        lo = plots.agg(F.expr(f"min({xmin})"), F.expr(f"min({ymin})"), F.expr(f"max({xmax})"), F.expr(f"max({ymax})")).first()
-        if lo[0] is None:
-            return points.limit(0).join(plots, F.lit(False))
-        # one box around all plots can be pushed to the scan
-        near = points.where(F.col("X").between(lo[0], lo[2]) & F.col("Y").between(lo[1], lo[3]))
-        return near.join(F.broadcast(plots), F.expr(boxed))
+    ends = plots.agg(*[F.expr(x) for x in (f"min({xmin})", f"min({ymin})", f"max({xmax})", f"max({ymax})", f"avg(greatest({xmax} - ({xmin}), {ymax} - ({ymin})))")]).first()
+    if ends[0] is None:
+        return points.limit(0).join(plots, F.lit(False))
+    cell = cell or max(ends[4], 1e-6)
     spread = plots.withColumn("__c", F.explode(covering(F.expr(xmin), F.expr(xmax), "x", cell))).withColumn("__r", F.explode(covering(F.expr(ymin), F.expr(ymax), "y", cell)))
-    keyed = points.withColumns({"__c": column_of(F.col("X"), cell), "__r": row_of(F.col("Y"), cell)})
+    if spread.count() <= BROADCAST_ROWS:
+        spread = F.broadcast(spread)
+    near = points.where(F.col("X").between(ends[0], ends[2]) & F.col("Y").between(ends[1], ends[3]))
+    keyed = near.withColumns({"__c": column_of(F.col("X"), cell), "__r": row_of(F.col("Y"), cell)})
+    boxed = f"X between {xmin} and {xmax} and Y between {ymin} and {ymax} and {exact}"
     return keyed.join(spread, ["__c", "__r"]).where(boxed).drop("__c", "__r")
 
 
-def in_circles(points: DataFrame, plots: DataFrame, conditions=None, cell: float = 20.0) -> DataFrame:
+def in_circles(points: DataFrame, plots: DataFrame, conditions=None, cell: float | None = None) -> DataFrame:
     """Points of every closed circle (query_id, xc, yc, r); a point may lie in several."""
     exact = "(X - xc) * (X - xc) + (Y - yc) * (Y - yc) <= r * r"
     return _matched(points.where(all_of(points, conditions)), plots, ("xc - r", "yc - r", "xc + r", "yc + r"), exact, cell)
 
 
-def in_rectangles(points: DataFrame, plots: DataFrame, conditions=None, cell: float = 20.0) -> DataFrame:
+def in_rectangles(points: DataFrame, plots: DataFrame, conditions=None, cell: float | None = None) -> DataFrame:
     """Points of every closed rectangle (query_id, xmin, ymin, xmax, ymax)."""
     return _matched(points.where(all_of(points, conditions)), plots, ("xmin", "ymin", "xmax", "ymax"), "true", cell)
 

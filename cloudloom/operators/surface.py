@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -75,37 +73,48 @@ def pit_fill(raster: DataFrame, band: str, res: float, lap_size: int = 3, thr_la
     return with_centre(out.withColumn(band, value), res).select("col", "row", "x", "y", band)
 
 
-def grow_regions(heights: dict[tuple[int, int], float], seeds: list[tuple[int, int, int, float]], res: float, th_tree: float, th_seed: float, th_cr: float, max_cr: float) -> dict[tuple[int, int], int]:
-    """Cell -> seed id: every round each region takes the 4-neighbours that its rules accept."""
+def grow_regions(heights: dict[tuple[int, int], float], seeds: list[tuple], res: float, th_tree: float, th_seed: float, th_cr: float, max_cr: float) -> dict[tuple[int, int], int]:
+    """Cell -> seed id, from seeds (id, col, row, x, y, z).
+
+    Round by round, regions in the order of their seeds' cells (from the top left, row by
+    row) take the free neighbours of their cells that are higher than the smaller of
+    ``th_seed`` of the seed's height and ``th_cr`` of the crown's mean, higher than
+    ``th_tree``, at most 1.05 of the seed's height, and nearer to it than half ``max_cr``.
+    As means move, cells refused in one round are tried again in the next, until none grows.
+    """
     owner: dict[tuple[int, int], int] = {}
-    sums: dict[int, list[float]] = {}
-    tops: dict[int, tuple[int, int, float]] = {}
-    front: list[tuple[int, int, int]] = []
-    for fid, c, r, _ in sorted(seeds):
-        if (c, r) in heights and (c, r) not in owner and heights[c, r] > th_tree:
-            owner[c, r] = fid
-            sums[fid] = [heights[c, r], 1]
-            tops[fid] = (c, r, heights[c, r])
-            front.append((fid, c, r))
-    reach = (max_cr / 2 / res) ** 2
-    while front:
-        following: list[tuple[int, int, int]] = []
-        heapq.heapify(front)
-        while front:
-            fid, c, r = heapq.heappop(front)
-            sc, sr, top = tops[fid]
-            for cell in ((c - 1, r), (c + 1, r), (c, r - 1), (c, r + 1)):
-                v = heights.get(cell)
-                if v is None or cell in owner or v <= th_tree:
-                    continue
-                mean = sums[fid][0] / sums[fid][1]
-                near = (cell[0] - sc) ** 2 + (cell[1] - sr) ** 2 < reach
-                if near and v <= 1.05 * top and v > top * th_seed and v > mean * th_cr:
-                    owner[cell] = fid
-                    sums[fid][0] += v
-                    sums[fid][1] += 1
-                    following.append((fid, *cell))
-        front = following
+    starts = {(c, r): (fid, x, y, z) for fid, c, r, x, y, z in sorted(seeds) if (c, r) in heights}
+    owner |= {cell: start[0] for cell, start in starts.items()}
+    border = {cell: [cell] for cell in sorted(starts, key=lambda cell: (-cell[1], cell[0]))}
+    sums = {cell: [heights[cell], 1] for cell in starts}
+    reach = (max_cr / 2) ** 2
+    grown = True
+    while grown:
+        grown = False
+        for seed, cells in border.items():
+            fid, x, y, top = starts[seed]
+            total = sums[seed]
+            still = []
+            for c, r in cells:
+                least = min(top * th_seed, total[0] / total[1] * th_cr)
+                waits = False
+                for cell in ((c, r + 1), (c - 1, r), (c + 1, r), (c, r - 1)):
+                    v = heights.get(cell)
+                    if v is None or cell in owner or v <= th_tree or v > 1.05 * top:
+                        continue
+                    if ((cell[0] + 0.5) * res - x) ** 2 + ((cell[1] + 0.5) * res - y) ** 2 >= reach:
+                        continue
+                    if v > least:
+                        owner[cell] = fid
+                        total[0] += v
+                        total[1] += 1
+                        still.append(cell)
+                        grown = True
+                    else:
+                        waits = True
+                if waits:
+                    still.append((c, r))
+            border[seed] = still
     return owner
 
 
@@ -120,7 +129,7 @@ def region_growing(raster: DataFrame, band: str, seeds: DataFrame, res: float, t
         is_seed = own["fid"].notna()
         grid = own[~is_seed & own["v"].notna()]
         heights = dict(zip(zip(grid["col"].tolist(), grid["row"].tolist()), grid["v"].tolist()))
-        starts = [(int(f), c, r, v) for f, c, r, v in own.loc[is_seed, ["fid", "col", "row", "v"]].itertuples(index=False)]
+        starts = [(int(f), c, r, x, y, v) for f, c, r, x, y, v in own.loc[is_seed, ["fid", "col", "row", "X", "Y", "v"]].itertuples(index=False)]
         owner = grow_regions(heights, starts, res, th_tree, th_seed, th_cr, max_cr)
         core = grid[~grid["is_buffer"]]
         rows = [(c, r, owner[c, r]) for c, r in zip(core["col"].tolist(), core["row"].tolist()) if (c, r) in owner]

@@ -1,12 +1,17 @@
 """Triangulations: Delaunay per tile with a halo, and interpolation as joins.
 
 Triangles come from an incremental Delaunay triangulation of a tile's points and of those
-in a halo around it; the tile that owns a triangle's centroid keeps it.  Everything that
-uses the triangles (rasters, points, hulls) is DataFrame joins over the triangle table.
+in a halo around it; the tile that owns a triangle's centroid keeps it.  Tiles follow the
+density of the points.  A triangle is proven where its circumcircle, as far as there is
+cloud, lies within the halo; a tile with others is done again with a halo twice as wide,
+up to a widest one.  Heights under points and cell centres come from the same call; other
+uses of triangles (rasters and points of a given table, hulls) are joins.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,7 +20,6 @@ from pyspark.sql import functions as F
 from ..functions.attributes import attribute
 from ..functions.lattice import centre, column_of, covering, row_of, with_centre
 from ..functions.predicates import all_of
-from .spatial import with_halo
 
 TRIANGLE = "tri_id long, " + ", ".join(f"{v}{c} double" for v in "abc" for c in "xyz")
 
@@ -26,7 +30,8 @@ class Triangulation:
     def __init__(self, x: np.ndarray, y: np.ndarray):
         cx, cy = (x.min() + x.max()) / 2, (y.min() + y.max()) / 2
         span = max(float(np.ptp(x)), float(np.ptp(y)), 1e-9)
-        noise = np.random.default_rng(0).uniform(-1, 1, (2, len(x))) * span * 1e-9
+        # a point's own noise settles ties on circles and lines alike in every tile
+        noise = [(np.modf(np.sin(x * a + y * b) * 43758.5453)[0]) * 1e-8 for a, b in ((12.9898, 78.233), (39.3468, 11.1351))]
         far = 1e3 * span
         self.x = [*(x - cx + noise[0]).tolist(), -far, far, 0.0]
         self.y = [*(y - cy + noise[1]).tolist(), -far, -far, far]
@@ -129,33 +134,236 @@ def longest_edge(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 def tile_triangles(points: pd.DataFrame, tile: tuple[int, int], size: float, triangles: np.ndarray) -> pd.DataFrame:
     """The triangles whose centroid the tile owns."""
-    x, y, z = (points[c].to_numpy() for c in ("X", "Y", "Z"))
-    mx, my = x[triangles].mean(axis=1), y[triangles].mean(axis=1)
-    own = (np.floor(mx / size) == tile[0]) & (np.ceil(my / size) - 1 == tile[1])
-    t = triangles[own]
-    first = ((tile[0] & 0xFFFFF) << 43) | ((tile[1] & 0xFFFFF) << 23)
-    out = {"tri_id": np.arange(len(t), dtype=np.int64) + first}
-    for k, v in enumerate("abc"):
-        out |= {f"{v}x": x[t[:, k]], f"{v}y": y[t[:, k]], f"{v}z": z[t[:, k]]}
-    return pd.DataFrame(out)
+    x, y = points["X"].to_numpy(), points["Y"].to_numpy()
+    return triangle_rows(points, tile, own_triangles(x, y, triangles, tile, size))
+
+
+#: Points of a tile, and the first halo, in distances between points.
+TILE_POINTS, FIRST_HALO = 800, 4.0
+
+
+@dataclass
+class Extent:
+    """A cloud's box and the tiles that suit its density."""
+
+    box: tuple[float, float, float, float] | None
+    tile: float
+    halo: float
+
+
+def extent_of(points: DataFrame, tile: float | None, widest: float) -> Extent:
+    n, *box = points.agg(F.count(F.lit(1)), F.min("X"), F.min("Y"), F.max("X"), F.max("Y")).first()
+    if not n:
+        return Extent(None, tile or 1.0, widest)
+    area = max(box[2] - box[0], 1e-6) * max(box[3] - box[1], 1e-6)
+    apart = (area / n) ** 0.5
+    return Extent(tuple(box), tile or apart * TILE_POINTS**0.5, min(widest, FIRST_HALO * apart))
+
+
+def proven(x: np.ndarray, y: np.ndarray, t: np.ndarray, inner: tuple, box: tuple) -> np.ndarray:
+    """Whether the circumcircles of triangles, clipped to the cloud's ``box``, lie in ``inner``."""
+    if not len(t):
+        return np.zeros(0, bool)
+    ax, ay = x[t[:, 0]], y[t[:, 0]]
+    bx, by, cx, cy = x[t[:, 1]] - ax, y[t[:, 1]] - ay, x[t[:, 2]] - ax, y[t[:, 2]] - ay
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = 2 * (bx * cy - by * cx)
+        u, v = (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / d, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / d
+        r = np.hypot(u, v) * (1 + 1e-9)
+        u, v = u + ax, v + ay
+        ok = (np.maximum(u - r, box[0]) >= inner[0]) & (np.maximum(v - r, box[1]) >= inner[1]) & (np.minimum(u + r, box[2]) <= inner[2]) & (np.minimum(v + r, box[3]) <= inner[3])
+    return ok & np.isfinite(r)
+
+
+def _around_tiles(points: DataFrame, tile: float, halo: float, only: DataFrame | None) -> DataFrame:
+    """Points once for each tile that they lie within ``halo`` of; ``only`` names the tiles that are wanted."""
+    from ..functions.lattice import around
+
+    reach = max(1, int(np.ceil(halo / tile)))
+    wide = points.withColumn("__d", F.explode(around(reach, "i", "j")))
+    wide = wide.withColumns({"tile_x": column_of(F.col("X"), tile) + F.col("__d.i"), "tile_y": row_of(F.col("Y"), tile) + F.col("__d.j")})
+    b, size = F.lit(float(halo)), F.lit(float(tile))
+    near = lambda c, t: (F.col(c) >= F.col(t) * size - b) & (F.col(c) <= (F.col(t) + 1) * size + b)
+    wide = wide.where(near("X", "tile_x") & near("Y", "tile_y")).drop("__d")
+    return wide if only is None else wide.join(only, ["tile_x", "tile_y"], "left_semi")
+
+
+def _inner(key: tuple[int, int], tile: float, halo: float) -> tuple[float, float, float, float]:
+    return key[0] * tile - halo, key[1] * tile - halo, (key[0] + 1) * tile + halo, (key[1] + 1) * tile + halo
+
+
+def _rounds(points: DataFrame, extent: Extent, widest: float, run, schema: str, queries=None) -> DataFrame:
+    """``run(key, rows, halo, last)`` for every tile, again with wider halos for tiles whose rows are ``__open``."""
+    from .neighbours import write_once
+
+    halo, only, done = extent.halo, None, None
+    points = write_once(points)
+    while True:
+        last = halo >= widest
+        rows = _around_tiles(points, extent.tile, halo, only)
+        if queries is not None:
+            rows = queries(rows, only)
 
+        found = write_once(rows.groupBy("tile_x", "tile_y").applyInPandas(_of_tile(run, halo, last), f"{schema}, tile_x long, tile_y long, __open boolean"))
+        part = found.where("not __open").drop("tile_x", "tile_y", "__open")
+        done = part if done is None else done.unionByName(part)
+        if last:
+            return done
+        only = write_once(found.where("__open").select("tile_x", "tile_y").distinct())
+        if not only.take(1):
+            return done
+        halo = min(widest, halo * 2)
 
-def triangulate(df: DataFrame, max_edge: float = 0.0, conditions=None, use_attribute: str = "Z", tile: float = 20.0, halo: float = 10.0) -> DataFrame:
+
+def _of_tile(run, halo: float, last: bool):
+    def one(key, rows):
+        return run((int(key[0]), int(key[1])), rows, halo, last)
+
+    return one
+
+
+def _open_tile(names: list[str], key: tuple[int, int]) -> pd.DataFrame:
+    """The one row of a tile that must be done again."""
+    return pd.DataFrame([{n: 0 for n in names} | {"tile_x": key[0], "tile_y": key[1], "__open": True}])
+
+
+def triangulate(df: DataFrame, max_edge: float = 0.0, conditions=None, use_attribute: str = "Z", tile: float | None = None, halo: float = 20.0) -> DataFrame:
     """Triangles (tri_id, ax … cz) of the accepted points.
 
     Triangles with an edge of ``max_edge`` or more go (0: none; negative: only those stay).
+    ``halo`` is the widest halo: triangles with larger circumcircles may differ from those
+    of the whole cloud.
     """
     points = df.where(all_of(df, conditions)).select("X", "Y", attribute(df, use_attribute).alias("Z"))
+    extent = extent_of(points, tile, halo)
+    size, box = extent.tile, extent.box
+    names = [f.split()[0] for f in TRIANGLE.split(", ")]
 
-    def run(key, own):
+    def run(key, own, halo, last):
         x, y = own["X"].to_numpy(), own["Y"].to_numpy()
         t = delaunay(x, y)
         if max_edge and len(t):
             long = longest_edge(x, y, t) >= abs(max_edge)
             t = t[~long] if max_edge > 0 else t[long]
-        return tile_triangles(own, key, tile, t)
+        t = own_triangles(x, y, t, key, size)
+        if not last and not proven(x, y, t, _inner(key, size, halo), box).all():
+            return _open_tile(names, key)
+        return triangle_rows(own, key, t).assign(tile_x=key[0], tile_y=key[1], __open=False)
+
+    return _rounds(points, extent, halo, run, TRIANGLE)
+
+
+def own_triangles(x: np.ndarray, y: np.ndarray, t: np.ndarray, key: tuple[int, int], size: float) -> np.ndarray:
+    """Those whose centroid the tile owns."""
+    if not len(t):
+        return t
+    mx, my = x[t].mean(axis=1), y[t].mean(axis=1)
+    return t[(np.floor(mx / size) == key[0]) & (np.ceil(my / size) - 1 == key[1])]
+
+
+def triangle_rows(points: pd.DataFrame, key: tuple[int, int], t: np.ndarray) -> pd.DataFrame:
+    x, y, z = (points[c].to_numpy() for c in ("X", "Y", "Z"))
+    first = ((key[0] & 0xFFFFF) << 43) | ((key[1] & 0xFFFFF) << 23)
+    out = {"tri_id": np.arange(len(t), dtype=np.int64) + first}
+    for k, v in enumerate("abc"):
+        out |= {f"{v}x": x[t[:, k]], f"{v}y": y[t[:, k]], f"{v}z": z[t[:, k]]}
+    return pd.DataFrame(out)
+
 
-    return with_halo(points, tile, halo).groupBy("tile_x", "tile_y").applyInPandas(run, TRIANGLE)
+def heights_at(px: np.ndarray, py: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(height, triangle) under every point; nan and -1 where no triangle lies over it."""
+    height, at = np.full(len(px), np.nan), np.full(len(px), -1, np.int64)
+    if not len(t) or not len(px):
+        return height, at
+    tx, ty = x[t], y[t]
+    lo_x, lo_y = px.min(), py.min()
+    n = max(1, int(np.sqrt(len(t))))
+    wx, wy = max(float(np.ptp(px)), 1e-9) / n, max(float(np.ptp(py)), 1e-9) / n
+    cell = lambda v, lo, w: np.clip(np.floor((v - lo) / w), -1, n).astype(np.int64)
+    key = np.clip(cell(px, lo_x, wx), 0, n - 1) * n + np.clip(cell(py, lo_y, wy), 0, n - 1)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    i0, i1 = np.maximum(cell(tx.min(1) - 1e-7, lo_x, wx), 0), np.minimum(cell(tx.max(1) + 1e-7, lo_x, wx), n - 1)
+    j0, j1 = np.maximum(cell(ty.min(1) - 1e-7, lo_y, wy), 0), np.minimum(cell(ty.max(1) + 1e-7, lo_y, wy), n - 1)
+    columns = np.maximum(i1 - i0 + 1, 0) * (j1 >= j0)
+    # a row of cells of a triangle's box is one run of the sorted points
+    tri = np.repeat(np.arange(len(t)), columns)
+    i = i0[tri] + np.arange(len(tri)) - np.repeat(np.cumsum(columns) - columns, columns)
+    first, end = np.searchsorted(key, i * n + j0[tri]), np.searchsorted(key, i * n + j1[tri], side="right")
+    runs = end - first
+    for lo in range(0, len(tri), 50_000):  # pairs are made for a bounded number of runs at once
+        r = runs[lo : lo + 50_000]
+        who = np.repeat(tri[lo : lo + 50_000], r)
+        p = order[np.repeat(first[lo : lo + 50_000], r) + np.arange(r.sum()) - np.repeat(np.cumsum(r) - r, r)]
+        ax, bx, cx = tx[who].T
+        ay, by, cy = ty[who].T
+        det = (by - cy) * (ax - cx) + (cx - bx) * (ay - cy)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            wa = ((by - cy) * (px[p] - cx) + (cx - bx) * (py[p] - cy)) / det
+            wb = ((cy - ay) * (px[p] - cx) + (ax - cx) * (py[p] - cy)) / det
+        wc = 1 - wa - wb
+        ok = (det != 0) & (wa >= -_EPS) & (wb >= -_EPS) & (wc >= -_EPS)
+        p, who = p[ok], who[ok]
+        v = wa[ok] * z[t[who, 0]] + wb[ok] * z[t[who, 1]] + wc[ok] * z[t[who, 2]]
+        back = np.argsort(-v, kind="stable")  # of several at an edge the lowest is written last
+        height[p[back]] = np.fmin(height[p[back]], v[back])
+        at[p[back]] = who[back]
+    return height, at
+
+
+def surface_heights(ground: DataFrame, points: DataFrame | None, tile: float | None = None, halo: float = 20.0, res: float | None = None) -> DataFrame:
+    """Heights of the triangulated ``ground`` (X, Y, Z): (pid, __v) under ``points``, or (col, row, __v) at cell centres."""
+    extent = extent_of(ground, tile, halo)
+    size, box = extent.tile, extent.box
+    if res is not None:  # whole cells in a tile
+        size = extent.tile = max(1, round(extent.tile / res)) * res
+    names = ["pid", "__v"] if res is None else ["col", "row", "__v"]
+    schema = "pid long, __v double" if res is None else "col long, row long, __v double"
+    if box is None:
+        return ground.sparkSession.createDataFrame([], schema)
+
+    def run(key, own, halo, last):
+        is_query = own["__q"].to_numpy(dtype=bool)
+        x, y, z = (own[c].to_numpy()[~is_query] for c in "XYZ")
+        if res is None:
+            wanted = own[is_query]
+            px, py = wanted["X"].to_numpy(), wanted["Y"].to_numpy()
+            ids = {"pid": wanted["pid"].to_numpy()}
+        else:
+            c0, c1 = (int(round(k * size / res)) for k in (key[0], key[0] + 1))
+            r0, r1 = (int(round(k * size / res)) for k in (key[1], key[1] + 1))
+            cols, rows = (g.ravel() for g in np.meshgrid(np.arange(c0, c1), np.arange(r0, r1)))
+            px, py = (cols + 0.5) * res, (rows + 0.5) * res
+            near = (px >= box[0]) & (px <= box[2]) & (py >= box[1]) & (py <= box[3])
+            px, py, ids = px[near], py[near], {"col": cols[near], "row": rows[near]}
+        t = delaunay(x, y)
+        v, at = heights_at(px, py, x, y, z, t)
+        if not last and len(px):
+            sure = proven(x, y, t, _inner(key, size, halo), box)
+            # outside of all triangles is proven only where the halo covers the cloud
+            whole = np.array(_inner(key, size, halo))
+            covers = (whole[:2] <= box[:2]).all() and (whole[2:] >= box[2:]).all()
+            if not ((at >= 0) & sure[np.maximum(at, 0)] if len(t) else np.zeros(len(px), bool)).all() and not covers:
+                return _open_tile(names, key)
+        found = at >= 0
+        return pd.DataFrame({k: c[found] for k, c in ids.items()} | {"__v": v[found]}).assign(tile_x=key[0], tile_y=key[1], __open=False)
+
+    ground = ground.select(F.lit(0).cast("bigint").alias("pid"), "X", "Y", "Z", F.lit(False).alias("__q"))
+
+    def queries(rows, only):
+        if points is None:  # tiles without ground nearby have cells too
+            from ..functions.lattice import around
+
+            reach = max(1, int(np.ceil(halo / size)))
+            tiles = ground.select(column_of(F.col("X"), size).alias("i"), row_of(F.col("Y"), size).alias("j")).distinct().withColumn("d", F.explode(around(reach, "i", "j")))
+            tiles = tiles.select((F.col("i") + F.col("d.i")).alias("tile_x"), (F.col("j") + F.col("d.j")).alias("tile_y")).distinct()
+            zero = F.lit(0.0)
+            own = tiles.select(F.lit(0).cast("bigint").alias("pid"), zero.alias("X"), zero.alias("Y"), zero.alias("Z"), F.lit(True).alias("__q"), "tile_x", "tile_y")
+            return rows.unionByName(own if only is None else own.join(only, ["tile_x", "tile_y"], "left_semi"))
+        own = points.select("pid", "X", "Y", F.lit(None).cast("double").alias("Z"), F.lit(True).alias("__q"), column_of(F.col("X"), size).alias("tile_x"), row_of(F.col("Y"), size).alias("tile_y"))
+        return rows.unionByName(own if only is None else own.join(only, ["tile_x", "tile_y"], "left_semi"))
+
+    return _rounds(ground, extent, halo, run, schema, queries)
 
 
 #: Barycentric weights of (px, py), with a tolerance at the edges.
@@ -226,23 +434,31 @@ def hull_rings(triangles: DataFrame) -> list[list[tuple[float, float]]]:
     return rings
 
 
+def ground_of(df: DataFrame, classes) -> DataFrame:
+    return df.where(all_of(df, f"Classification %in% {' '.join(map(str, classes))}")).select("X", "Y", "Z")
+
+
 def normalize(df: DataFrame, store_in: str = "", classes=(2, 9), **options) -> DataFrame:
     """Heights above the ground triangulation; points it doesn't cover go."""
-    from .neighbours import write_once
-    from .transform import transform_with_triangulation
+    from ..functions.attributes import find
 
-    ground = write_once(triangulate(df, conditions=f"Classification %in% {' '.join(map(str, classes))}", **options))
-    return transform_with_triangulation(df, ground, "-", store_in)
+    found = surface_heights(ground_of(df, classes), df, **options)
+    out = df.join(found, "pid").withColumn(store_in or find(df, "Z"), F.col(find(df, "Z")) - F.col("__v"))
+    return out.drop("__v")
 
 
 def hag(df: DataFrame, **options) -> DataFrame:
     return normalize(df, "HAG", **options)
 
 
+def _surface_raster(ground: DataFrame, res: float, **options) -> DataFrame:
+    found = surface_heights(ground, None, res=res, **options)
+    return with_centre(found, res).select("col", "row", "x", "y", F.col("__v").alias("z"))
+
+
 def dtm(df: DataFrame, res: float = 1.0, add_class=(), **options) -> DataFrame:
     """Ground surface: classes 2, 9 and those added."""
-    classes = " ".join(map(str, (2, 9, *add_class)))
-    return rasterize_triangulation(triangulate(df, conditions=f"Classification %in% {classes}", **options), res)
+    return _surface_raster(ground_of(df, (2, 9, *add_class)), res, **options)
 
 
 def dsm(df: DataFrame, res: float = 1.0, tin: bool = False, **options) -> DataFrame:
@@ -250,7 +466,7 @@ def dsm(df: DataFrame, res: float = 1.0, tin: bool = False, **options) -> DataFr
     from .raster import rasterize
 
     if tin:
-        return rasterize_triangulation(triangulate(df, conditions="ReturnNumber == 1", **options), res)
+        return _surface_raster(df.where(all_of(df, "ReturnNumber == 1")).select("X", "Y", "Z"), res, **options)
     return rasterize(df, res, ["max"]).withColumnRenamed("max", "z")
 
 

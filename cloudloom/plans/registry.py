@@ -119,7 +119,9 @@ _points("filter_missing_attr", lambda p: A.filter_points(p, ["plop < 1", "u == 4
 _points("filter_abs", lambda p: A.filter_points(p.withColumn("Off", F.col("X") - 120.0), "|Off| < 5"), "abs(X - 120) < 5")
 _points("filter_rectangle", lambda p: p.where(W.in_rectangle(80, 1, 100, 4)), "X BETWEEN 80 AND 100 AND Y BETWEEN 1 AND 4")
 _points("filter_circle", lambda p: p.where(W.in_circle(100, 5, 4)), "(X - 100) * (X - 100) + (Y - 5) * (Y - 5) <= 16")
-_points("filter_z_outside", lambda p: p.where(W.drop_z_between(p, 10, 90)), "NOT (Z >= 10 AND Z < 90)")
+_points("filter_z_outside", lambda p: p.where(W.drop_z_between(p, 10, 90)), "NOT (Z >= 10 AND Z <= 90)")
+_points("filter_z_between", lambda p: A.filter_points(p, W.keep_z_between(10, 90)), "Z >= 10 AND Z <= 90")
+_points("filter_aliases", lambda p: A.filter_points(p, ["user_data > 2", "return_number <= 3", "NumberReturns == 1", "point_source_id < 5"]), "UserData > 2 AND ReturnNumber <= 3 AND NumberOfReturns = 1 AND PointSourceID < 5")
 _points("delete_points", lambda p: A.delete_points(p, "Classification == 9"), "NOT Classification = 9")
 _points("delete_noise", lambda p: A.delete_noise(A.edit_attribute(p, "Classification", 18, "Z > 90")), "NOT Z > 90")
 _points("delete_ground", lambda p: A.delete_ground(p), "Classification <> 2")
@@ -382,12 +384,12 @@ def _zhist(spark, d):
 
 @query(
     "summarise_zhist_dense",
-    f"""WITH {P}, bins AS (SELECT CAST(floor(Z / 0.5::DOUBLE) AS BIGINT) AS bin, count(*) AS value FROM P WHERE Z > 90 GROUP BY bin),
+    f"""WITH {P}, bins AS (SELECT CAST(floor(Z / 0.5::DOUBLE) AS BIGINT) AS bin, count(*) AS value FROM P GROUP BY bin),
         ends AS (SELECT min(bin) AS lo, max(bin) AS hi FROM bins), every AS (SELECT unnest(range(lo, hi + 1)) AS bin FROM ends)
         SELECT every.bin * 0.5::DOUBLE AS key, coalesce(value, 0) AS value FROM every LEFT JOIN bins ON every.bin = bins.bin""",
 )
 def _zhist_dense(spark, d):
-    return M.histogram(lineitem_points(spark, d).where("Z > 90"), "Z", 0.5, dense=True)
+    return M.histogram(lineitem_points(spark, d), "Z", 0.5, dense=True)
 
 
 @query(

@@ -84,22 +84,27 @@ def read_ept(spark: SparkSession, folder: str, depth: int = -1, box: tuple[float
 def with_depth(df: DataFrame, side: float, max_depth: int = 6, seed: int = 0) -> DataFrame:
     """Points with their level of detail: the first level at which the point comes first in its cell.
 
-    Level d has cells of ``side`` / 2^d on the global lattice.  Cells are nested, so a point
-    that comes first in a cell does so in all finer ones.  Minima are combined before the
-    shuffle, so coarse cells are no hot keys.
+    Level d has cells of ``side`` / 2^d on the global lattice.  Cells are nested, so the
+    first of a cell is the first of one of its quarters: each level is taken from the
+    survivors of the finer one, and one join brings all levels back.  Minima are combined
+    before the shuffle, so coarse cells are no hot keys.
     """
     from ..functions.lattice import column_of, row_of
+    from ..operators.neighbours import write_once
     from ..operators.sampling import priority
 
-    order = F.struct(priority(F.col("pid"), seed).alias("p"), F.col("pid"))
-    out = df.withColumn("depth", F.lit(max_depth))
+    first = df.select(F.struct(priority(F.col("pid"), seed).alias("p"), "pid", "X", "Y", "Z").alias("o"))
+    levels = None
     for d in reversed(range(max_depth)):
         s = side / 2**d
-        keys = {"__i": column_of(F.col("X"), s), "__j": row_of(F.col("Y"), s), "__k": column_of(F.col("Z"), s)}
-        keyed = df.select("pid", "X", "Y", "Z").withColumns(keys)
-        first = keyed.groupBy(*keys).agg(F.min(order).alias("o")).select(F.col("o.pid").alias("pid"), F.lit(d).alias("__d"))
-        out = out.join(first, "pid", "left").withColumn("depth", F.coalesce("__d", "depth")).drop("__d")
-    return out
+        keys = (column_of(F.col("o.X"), s).alias("i"), row_of(F.col("o.Y"), s).alias("j"), column_of(F.col("o.Z"), s).alias("k"))
+        first = write_once(first.groupBy(*keys).agg(F.min("o").alias("o")).select("o"))
+        own = first.select("o.pid", F.lit(d).alias("__d"))
+        levels = own if levels is None else levels.unionByName(own)
+    if levels is None:
+        return df.withColumn("depth", F.lit(max_depth))
+    levels = levels.groupBy("pid").agg(F.min("__d").alias("__d"))
+    return df.join(levels, "pid", "left").withColumn("depth", F.coalesce("__d", F.lit(max_depth))).drop("__d")
 
 
 def write_points(df: DataFrame, path: str, inputs: list[str] = (), tile: float | None = None, levels: bool = False) -> None:

@@ -112,6 +112,80 @@ def test_nearest_neighbours_are_proven(spark):
     assert N.nearest_neighbours(few.select("pid", "X", "Y", "Z"), few, 8).count() == 9
 
 
+@pytest.mark.parametrize("halo", [0.3, 2.0, np.inf])
+def test_nearest_in_a_tile(halo):
+    rng = np.random.default_rng(3)
+    xyz = np.r_[rng.uniform(0, 6, (700, 3)), np.repeat([[1.0, 2.0, 3.0]], 40, axis=0), rng.normal(3, 0.05, (300, 3))]
+    pid = rng.permutation(len(xyz)) * 3
+    index, d2 = N.nearest_in_tile(xyz, xyz, pid, 6, halo)
+    exact = ((xyz[:, None] - xyz[None]) ** 2).sum(-1)
+    for i in range(0, len(xyz), 7):
+        order = np.lexsort((pid, exact[i]))[:6]
+        if exact[i, order[-1]] <= halo * halo:
+            assert index[i].tolist() == order.tolist()
+
+
+def test_dense_spots_and_outliers_have_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(N, "TILE_POINTS", 60)
+    rng = random.Random(15)
+    rows = [(rng.uniform(0, 40), rng.uniform(0, 40), rng.uniform(0, 4)) for _ in range(500)]
+    rows += [(20 + rng.gauss(0, 0.05), 20 + rng.gauss(0, 0.05), 1.0) for _ in range(500)] + [(5.0, 5.0, 0.5)] * 60
+    rows += [(20.0, 20.0, 300.0), (-200.0, 20.0, 0.0)]
+    df = cloud_of(spark, rows)
+    got = {}
+    for r in N.nearest_neighbours(df.select("pid", "X", "Y", "Z"), df, 4).collect():
+        got.setdefault(r.pid, {})[r["rank"]] = r.pid2
+    assert {p: [own[k] for k in sorted(own)] for p, own in got.items()} == brute_knn(rows, 4)
+    want = brute_knn(rows, 9)
+    a = np.array(rows)
+    moments = G.geometry_features(df, 9, features="u").toPandas().set_index("pid").eigensum
+    for i in range(0, len(rows), 50):
+        assert moments[i] == pytest.approx(a[want[i]].var(axis=0, ddof=1).sum(), rel=1e-6, abs=1e-9)
+
+
+def test_heights_come_from_the_triangle_above(spark):
+    rng = np.random.default_rng(9)
+    x, y = rng.uniform(0, 10, 400), rng.uniform(0, 10, 400)
+    t = I.delaunay(x, y)
+    px, py = rng.uniform(-1, 11, 500), rng.uniform(-1, 11, 500)
+    v, at = I.heights_at(px, py, x, y, 3 * x - y + 2, t)
+    inside = at >= 0
+    assert np.allclose(v[inside], 3 * px[inside] - py[inside] + 2)
+    for k in np.flatnonzero(inside)[::20]:
+        a, b, c = ((x[i], y[i]) for i in t[at[k]])
+        area = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+        assert min(area(a, b, (px[k], py[k])), area(b, c, (px[k], py[k])), area(c, a, (px[k], py[k]))) >= -1e-6
+    middle = (px > 1) & (px < 9) & (py > 1) & (py < 9)
+    assert inside[middle].all() and not inside[(px < 0) | (px > 10)].any()
+
+
+def test_tiles_agree_with_one_triangulation(spark):
+    rng = random.Random(16)
+    rows = [(rng.uniform(0, 60), rng.uniform(0, 60), rng.uniform(0, 5)) for _ in range(900)]
+    rows = [r for r in rows if not (20 < r[0] < 34 and 20 < r[1] < 34)]  # a gap as wide as several tiles
+    df = cloud_of(spark, rows).withColumn("Classification", F.lit(2))
+    key = lambda frame: sorted(tuple(sorted(zip((r.ax, r.bx, r.cx), (r.ay, r.by, r.cy)))) for r in frame.collect())
+    inner = "least(ax, bx, cx) > 8 and greatest(ax, bx, cx) < 52 and least(ay, by, cy) > 8 and greatest(ay, by, cy) < 52"
+    whole, tiled = (I.triangulate(df, tile=t, halo=h).where(inner) for t, h in ((200.0, 200.0), (6.0, 30.0)))
+    assert key(whole) == key(tiled)
+    one, many = (I.dtm(df, 1.0, tile=t, halo=h).where("x between 8 and 52 and y between 8 and 52").toPandas().set_index(["col", "row"]).z.sort_index() for t, h in ((200.0, 200.0), (6.0, 30.0)))
+    assert len(one) == len(many) == 44 * 44 and np.allclose(one, many)
+    joined = I.rasterize_triangulation(N.write_once(I.triangulate(df, tile=200.0, halo=200.0)), 1.0).where("x between 8 and 52 and y between 8 and 52").toPandas().set_index(["col", "row"]).z.sort_index()
+    assert np.allclose(one, joined)
+    heights = I.normalize(df.withColumn("Z", F.col("Z") + 1), "HAG", tile=6.0).select("HAG").toPandas().HAG
+    assert heights.abs().max() < 6 and len(heights) >= 0.9 * len(rows)
+
+
+def test_regions_take_cells_over_the_smaller_bound_and_try_again():
+    row = lambda *v: {(i, 0): float(x) for i, x in enumerate(v)}
+    grow = lambda heights, **o: U.grow_regions(heights, [(7, 0, 0, 0.5, 0.5, 20.0)], 1.0, **{"th_tree": 2.0, "th_seed": 0.45, "th_cr": 0.55, "max_cr": 20.0} | o)
+    assert set(grow(row(20, 10, 8.5))) == {(0, 0), (1, 0), (2, 0)}  # 8.5 is over 0.55 of the mean 15, not over 9
+    assert set(grow(row(20, 8.9, 8.5))) == {(0, 0)}
+    cross = row(20, 12) | {(0, 1): 8.0, (0, -1): 11.0, (1, -1): 11.0}
+    assert set(grow(cross)) == set(cross)  # 8 waits until the mean has come down
+    assert set(grow(row(20, 19, 18, 17), max_cr=4.0)) == {(0, 0), (1, 0)} and set(grow(row(20, 22, 15))) == {(0, 0)}
+
+
 def test_noise_filters_flag_the_outliers(spark):
     rng = random.Random(6)
     rows = [(rng.uniform(0, 10), rng.uniform(0, 10), rng.uniform(0, 2)) for _ in range(800)] + [(5, 5, 30 + 10 * i) for i in range(4)]
@@ -166,7 +240,7 @@ def test_tiles_and_halos_agree_with_boxes(plane):
 def test_many_plots_are_matched_like_few(spark, plane, monkeypatch):
     plots = T.circles(spark, [(i, 3.0 * i, 40 - 2.5 * i, 4.0) for i in range(15)] + [(99, 900, 900, 3)])
     few = T.in_circles(plane, plots).select("query_id", "pid").orderBy("query_id", "pid").collect()
-    monkeypatch.setattr(T, "BROADCAST_PLOTS", 0)
+    monkeypatch.setattr(T, "BROADCAST_ROWS", 0)
     assert few == T.in_circles(plane, plots).select("query_id", "pid").orderBy("query_id", "pid").collect()
 
 
@@ -233,5 +307,6 @@ def test_empty_clouds_pass_through(spark):
     assert R.rasterize(empty, 1.0, ["z_max"]).count() == 0
     assert N.local_maximum(empty, 3.0).count() == 0
     assert N.classify_with_ivf(empty).count() == 0
-    assert I.triangulate(empty).count() == 0
+    assert I.triangulate(empty).count() == 0 and I.dtm(empty, 1.0).count() == 0 and I.normalize(empty).count() == 0
+    assert N.classify_with_sor(empty).count() == 0 and N.classify_with_ipf(empty).count() == 0 and G.geometry_features(empty).count() == 0
     assert isinstance(empty.toPandas(), pd.DataFrame)
