@@ -1,23 +1,21 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
 Bulk-synchronous best fit: documents and gaps (what is left of the open sequences) are
-range-sorted by length together; a sweep over each partition gives every gap the largest
-documents that it holds, that is, every document the smallest gap that is its successor
-in the order.  What a partition leaves, documents too long for its gaps and gaps without
-a shorter document, is matched across partitions by rank, from counts of each partition
-alone.  Gaps are updated, and the rounds go on until all documents are placed; a round
+range-sorted by length together, in ranges that hold equal numbers; a sweep over each range
+gives every gap the largest documents that it holds, that is, every document the smallest
+gap that is its successor in the order.  What a range leaves, documents too long for its
+gaps and gaps without a shorter document, is matched across ranges by rank, from counts
+of each range alone.  Gaps are updated, and the rounds go on until all documents are placed; a round
 that places none opens as many sequences as the rest must have at least.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,75 +120,90 @@ def across(left: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, i
 
 
 _ROW = "part int, kind int, key long, size int, at long, seq long"
-_PLACED, _DOC, _FREE, _USED, _SUMMARY, _LEAST = range(6)
-#: Documents and gaps of a partition; small rounds have few partitions.
-PART_ROWS = 20_000
-
-
-def _sweep_partition(batches):
-    """Rows of a sorted partition (key, size, gap) as placed documents, documents and gaps left, and one summary."""
-    part, keys, sizes, gaps = TaskContext.get().partitionId(), [], [], []
-    for batch in batches:
-        keys.append(batch.column(0).to_numpy())
-        sizes.append(batch.column(1).to_numpy())
-        gaps.append(batch.column(2).to_numpy(zero_copy_only=False))
-    if not sum(map(len, keys)):
-        return
-    key, size, gap = (np.concatenate(x) for x in (keys, sizes, gaps))
+_PLACED, _DOC, _FREE, _USED, _SUMMARY = range(5)
+#: Documents and gaps of a range (16 bytes each).
+RANGE_ROWS = 20_000
+
+
+def _sweep_range(key, table):
+    """The documents and gaps (key, size, gap) of one range: placed documents, documents and gaps left, and one summary."""
+    rows = table.sort_by([("size", "ascending"), ("gap", "ascending"), ("key", "ascending")])
+    number, size, gap = (rows[c].to_numpy() for c in ("key", "size", "gap"))
     matches, docs, free, used = successor_sweep(size.tolist(), gap.tolist())
-    n = len(docs)
-    largest, smallest = (int(size[docs[-1]]) if docs else 0), (int(size[free[0]]) if free else 0)
-    # the summary: documents left with the largest, gaps left with the smallest; the smallest document left; all rows
-    rows = [(_SUMMARY, [n], [largest], [len(free)], [smallest]), (_LEAST, [int(size[docs[0]]) if docs else 2**62], [0], [len(used)], [0])]
     d, g = (np.array([x[k] for x in matches], dtype=np.int64) for k in (0, 1))
-    rows.append((_PLACED, key[d], size[d], np.zeros(len(d)), key[g]))
-    rows.append((_DOC, key[docs], size[docs], np.arange(n)[::-1], np.zeros(n)))
-    rows.append((_FREE, key[free], size[free], np.arange(len(free)), np.zeros(len(free))))
     u = np.array([x[0] for x in used], dtype=np.int64)
-    rows.append((_USED, key[u], [x[1] for x in used], np.zeros(len(u)), np.zeros(len(u))))
-    for kind, k, s, at, seq in rows:
-        m = len(k)
-        columns = [np.full(m, part, np.int32), np.full(m, kind, np.int32), np.asarray(k, np.int64), np.asarray(s, np.int32), np.asarray(at, np.int64), np.asarray(seq, np.int64)]
-        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["part", "kind", "key", "size", "at", "seq"])
+    # the summary: documents left with the largest, gaps left with the smallest
+    parts = [(_SUMMARY, [len(docs)], [size[docs[-1]] if docs else 0], [len(free)], [size[free[0]] if free else 0])]
+    parts.append((_PLACED, number[d], size[d], np.zeros(len(d)), number[g]))
+    parts.append((_DOC, number[docs], size[docs], np.arange(len(docs))[::-1], np.zeros(len(docs))))
+    parts.append((_FREE, number[free], size[free], np.arange(len(free)), np.zeros(len(free))))
+    parts.append((_USED, number[u], [x[1] for x in used], np.zeros(len(u)), np.zeros(len(u))))
+    columns = {
+        "part": (np.concatenate([np.full(len(x[1]), key[0].as_py()) for x in parts]), pa.int32()),
+        "kind": (np.concatenate([np.full(len(x[1]), x[0]) for x in parts]), pa.int32()),
+    }
+    for k, (name, kind) in enumerate((("key", pa.int64()), ("size", pa.int32()), ("at", pa.int64()), ("seq", pa.int64())), 1):
+        columns[name] = np.concatenate([np.asarray(x[k], dtype=np.int64) for x in parts]), kind
+    return pa.table({name: pa.array(v, t) for name, (v, t) in columns.items()})
+
+
+def ranges_of(counts: dict[tuple[int, bool], int], most: int) -> list[tuple[int, bool, int, int]]:
+    """(size, gap, first, parts): ranges of about ``most`` rows over classes in order.
+
+    A larger class has several ranges to itself, so that many equal lengths are no hot one.
+    """
+    out, at, held = [], 0, 0
+    for (size, gap), n in sorted(counts.items()):
+        if held and held + n > most:
+            at, held = at + 1, 0
+        parts = -(-n // most)
+        out.append((size, gap, at, parts))
+        held += n
+        if n > most:
+            at, held = at + parts, 0
+    return out
 
 
 def best_fit(sizes: DataFrame, capacity: int) -> DataFrame:
     """(key, seq, offset): places of (key, size) in sequences of ``capacity``.
 
     Keys are distinct, sizes from 1 to ``capacity``.  Documents over half the capacity open
-    a sequence each, named by their key; other sequences have negative numbers.  Rows of
-    one size are split by key, so that many equal lengths are no hot partition.
+    a sequence each, named by their key; other sequences have negative numbers.  Only
+    counts by length (at most ``capacity`` each) and by range come to the driver.
     """
     spark = sizes.sparkSession
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
     small = F.col("size") * 2 <= capacity
     docs, big = sizes.where(small), sizes.where(~small)
-    n_docs, n_gaps, need, room = sizes.agg(F.count_if(small), F.count_if(~small), F.sum(F.when(small, F.col("size"))), F.sum(F.when(~small, capacity - F.col("size")))).first()
     placed = [big.select("key", F.col("key").alias("seq"), "size")]
     gaps = big.select("key", (capacity - F.col("size")).cast("int").alias("size")).where("size > 0")
-    opened = 0
-
-    def more(n: int) -> DataFrame:
-        nonlocal opened, n_gaps
-        opened, n_gaps = opened + n, n_gaps + n
-        return spark.range(opened - n, opened).select((-F.col("id") - 1).alias("key"), F.lit(capacity).cast("int").alias("size"))
-
-    if (short := (need or 0) - (room or 0)) > 0:
-        gaps = gaps.unionByName(more(math.ceil(short / capacity)))
-    while n_docs:
-        parts = min(most, 1 + (n_docs + n_gaps) // PART_ROWS)
+    opened, before = 0, None
+    while True:
         both = docs.select("key", "size", F.lit(False).alias("gap")).unionByName(gaps.select("key", "size", F.lit(True).alias("gap")))
-        order = ["size", "gap", "key"]
-        swept = written(both.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_sweep_partition, _ROW), "swept")
+        counts = {(r["size"], r["gap"]): r["count"] for r in both.groupBy("size", "gap").count().collect()}
+        left = {size: n for (size, gap), n in counts.items() if not gap}
+        if not left:
+            break
+        tokens, least = sum(size * n for size, n in left.items()), min(left)
+        # no document left fits a smaller gap
+        counts = {c: n for c, n in counts.items() if not c[1] or c[0] >= least}
+        both = both.where(~F.col("gap") | (F.col("size") >= least))
+        new = 0
+        if before is None:
+            new = -(-max(0, tokens - sum(size * n for (size, gap), n in counts.items() if gap)) // capacity)
+        elif sum(left.values()) == before:
+            new = -(-tokens // capacity)
+        if new:  # sequences that the documents left need at least
+            more = spark.range(opened, opened + new).select((-F.col("id") - 1).alias("key"), F.lit(capacity).cast("int").alias("size"), F.lit(True).alias("gap"))
+            both, opened = both.unionByName(more), opened + new
+            counts[capacity, True] = counts.get((capacity, True), 0) + new
+        before = sum(left.values())
+        ranges = F.broadcast(spark.createDataFrame(ranges_of(counts, RANGE_ROWS), "size int, gap boolean, first int, parts int"))
+        dealt = both.join(ranges, ["size", "gap"]).withColumn("part", F.col("first") + F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+        swept = written(dealt.select("part", "key", "size", "gap").groupBy("part").applyInArrow(_sweep_range, _ROW), "swept")
         kind = lambda k: swept.where(F.col("kind") == k)
-        told = swept.where(F.col("kind") >= _SUMMARY).collect()  # two rows a partition
-        summary = [(r["part"], r["key"], r["size"], r["at"], r["seq"]) for r in told if r["kind"] == _SUMMARY]
-        least = min(r["key"] for r in told if r["kind"] == _LEAST)
-        n_gaps = sum(r["at"] for r in told)
-        before, n_docs = n_docs, sum(x[1] for x in summary)
-        hits = across(summary)
-        n_docs -= sum(h[2] - h[1] for h in hits)
-        new = kind(_PLACED).select("key", "seq", "size")
+        # one row a range
+        hits = across([(r["part"], r["key"], r["size"], r["at"], r["seq"]) for r in kind(_SUMMARY).collect()])
+        now = kind(_PLACED).select("key", "seq", "size")
         docs, gaps = kind(_DOC), kind(_USED).select("key", "size")
         free = kind(_FREE).select("part", "at", "key", "size")
         if hits:
@@ -199,23 +212,19 @@ def best_fit(sizes: DataFrame, capacity: int) -> DataFrame:
             met = met.select(F.col("gap_part").alias("part"), F.expr("first + (at - lo) div each").alias("at"), F.struct("key", "size").alias("doc"))
             taken = met.groupBy("part", "at").agg(F.collect_list("doc").alias("docs"))  # what one gap holds
             free = written(free.join(taken, ["part", "at"], "left"), "taken")
-            new = new.unionByName(free.select(F.explode("docs").alias("doc"), F.col("key").alias("seq")).select("doc.key", "seq", "doc.size"))
+            now = now.unionByName(free.select(F.explode("docs").alias("doc"), F.col("key").alias("seq")).select("doc.key", "seq", "doc.size"))
             rest = F.aggregate(F.coalesce("docs", F.array().cast("array<struct<key:bigint,size:int>>")), F.col("size"), lambda acc, x: acc - x["size"])
-            free = free.select("key", rest.alias("size")).where("size > 0")
-            gone = F.broadcast(spark.createDataFrame([(p, hi) for p, hi in {h[0]: h[2] for h in sorted(hits)}.items()], "part int, end long"))
+            free = free.select("key", rest.alias("size"))
+            gone = F.broadcast(spark.createDataFrame(list({h[0]: h[2] for h in sorted(hits)}.items()), "part int, end long"))
             docs = docs.join(gone, "part", "left").where("end is null or at >= end")
-        placed.append(new)
+        placed.append(now)
         gaps = gaps.unionByName(free.select("key", "size")).where("size > 0")
         docs = docs.select("key", "size")
-        if n_docs:
-            gaps = gaps.where(F.col("size") >= least)  # no document left fits a smaller one
-        if n_docs == before:
-            gaps = gaps.unionByName(more(math.ceil(docs.agg(F.sum("size")).first()[0] / capacity)))
     out = placed[0]
     for one in placed[1:]:
         out = out.unionByName(one)
-    before = F.expr("sum(size) over (partition by seq order by size desc, key rows between unbounded preceding and 1 preceding)")
-    return out.select("key", "seq", F.coalesce(before, F.lit(0)).cast("long").alias("offset"))
+    earlier = F.expr("sum(size) over (partition by seq order by size desc, key rows between unbounded preceding and 1 preceding)")
+    return out.select("key", "seq", F.coalesce(earlier, F.lit(0)).cast("long").alias("offset"))
 
 
 def pack_documents(

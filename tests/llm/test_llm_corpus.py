@@ -98,14 +98,20 @@ def test_matches_across_partitions_take_each_document_and_gap_once(spark):
         assert all(k < by_part[p][0] for p, k in docs) and all(k < by_part[p][2] for p, k in gaps)
 
 
-@pytest.mark.parametrize("kind", ["mixed", "equal", "halves", "tiny"])
-def test_packing_is_as_tight_as_best_fit_decreasing(spark, kind):
+def test_ranges_split_large_classes():
+    counts = {(1, False): 3, (1, True): 4, (2, False): 25, (3, True): 9, (4, True): 2}
+    assert packing.ranges_of(counts, 10) == [(1, False, 0, 1), (1, True, 0, 1), (2, False, 1, 3), (3, True, 4, 1), (4, True, 5, 1)]
+
+
+@pytest.mark.parametrize("kind,rows", [("mixed", 20_000), ("mixed", 50), ("equal", 100), ("halves", 20_000), ("tiny", 100)])
+def test_packing_is_as_tight_as_best_fit_decreasing(spark, monkeypatch, kind, rows):
+    monkeypatch.setattr(packing, "RANGE_ROWS", rows)
     rng = random.Random(7)
     n = {"mixed": lambda: rng.randint(1, 255), "equal": lambda: 100, "halves": lambda: rng.choice([128, 129, 64]), "tiny": lambda: rng.randint(1, 4)}[kind]
     lengths = [n() for _ in range(600)]
-    rows = spark.createDataFrame(list(enumerate(lengths)), "key long, size int")
+    table = spark.createDataFrame(list(enumerate(lengths)), "key long, size int")
     held = defaultdict(list)
-    for r in packing.best_fit(rows, 256).collect():
+    for r in packing.best_fit(table, 256).collect():
         held[r.seq].append((r.offset, lengths[r.key]))
     for own in held.values():
         assert all(a + n == b for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:])) and max(a + n for a, n in own) <= 256
