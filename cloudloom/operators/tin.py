@@ -410,28 +410,45 @@ def hull_edges(triangles: DataFrame) -> DataFrame:
     return edges.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("x1", "y1", "x2", "y2")).alias("e")).where("n = 1").select("e.*")
 
 
-def hull_rings(triangles: DataFrame) -> list[list[tuple[float, float]]]:
-    """The contour's closed rings, outer ones counter-clockwise, holes clockwise.
+def hull_rings(triangles: DataFrame) -> DataFrame:
+    """(ring_id, n, area, ring): the contour's closed rings, outer ones counter-clockwise with a positive area.
 
-    The contour of a surface is small beside its triangles; its edges are gathered here.
+    Edges are linked end to start (by rank where rings touch in a point) and labelled by
+    pointer doubling, so the number of rounds grows with the logarithm of the longest
+    ring; one task walks a ring.
     """
-    following: dict[tuple, list[tuple]] = {}
-    for e in hull_edges(triangles).toLocalIterator():
-        following.setdefault((e[0], e[1]), []).append((e[2], e[3]))
-    rings = []
-    while following:
-        start = next(iter(following))
-        ring, at = [start], start
-        while at in following:
-            nxt = following[at].pop()
-            if not following[at]:
-                del following[at]
-            ring.append(nxt)
-            at = nxt
-            if at == start:
-                break
-        rings.append(ring)
-    return rings
+    from pyspark.sql import Window
+
+    from .neighbours import write_once
+
+    # a corner is left by the edge of the same rank that reaches it
+    by = lambda *c: Window.partitionBy(*c).orderBy("x1", "y1", "x2", "y2")
+    edges = hull_edges(triangles).withColumn("id", F.monotonically_increasing_id())
+    edges = write_once(edges.withColumns({"out": F.row_number().over(by("x1", "y1")), "into": F.row_number().over(by("x2", "y2"))}))
+    start = edges.select(F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("out").alias("into"), F.col("id").alias("next"))
+    links = write_once(edges.join(start, ["x2", "y2", "into"]).select("id", "next", F.least("id", "next").alias("label")))
+    first = links.select("id", F.col("next").alias("step"))
+    while True:
+        ahead = links.select(F.col("id").alias("next"), F.col("next").alias("after"), F.col("label").alias("other"))
+        new = write_once(links.join(ahead, "next").select("id", F.col("after").alias("next"), F.least("label", "other").alias("label"), (F.col("other") < F.col("label")).alias("moved")))
+        links = new.drop("moved")
+        if not new.where("moved").take(1):
+            break
+
+    def walk(key, own):
+        following = dict(zip(own["id"], own["step"]))
+        place = dict(zip(own["id"], zip(own["x1"], own["y1"])))
+        at, ring = min(following), []
+        for _ in range(len(following)):
+            ring.append(place[at])
+            at = following[at]
+        ring.append(ring[0])
+        x, y = np.array(ring).T
+        area = float((x[:-1] * y[1:] - x[1:] * y[:-1]).sum() / 2)
+        return pd.DataFrame({"ring_id": [key[0]], "n": [len(ring)], "area": [area], "ring": [[{"x": a, "y": b} for a, b in ring]]})
+
+    whole = edges.select("id", "x1", "y1").join(first, "id").join(links.select("id", "label"), "id")
+    return whole.groupBy("label").applyInPandas(walk, "ring_id long, n long, area double, ring array<struct<x:double,y:double>>")
 
 
 def ground_of(df: DataFrame, classes) -> DataFrame:

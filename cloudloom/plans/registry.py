@@ -673,6 +673,17 @@ def _hull(spark, d):
     return rounded(I.hull_edges(I.triangulate(lineitem_points(spark, d), max_edge=3.0, conditions="Classification == 2")))
 
 
+@query("hull_rings")
+def _hull_rings(spark, d):
+    rings = I.hull_rings(I.triangulate(lineitem_points(spark, d), max_edge=3.0, conditions="Classification == 2"))
+    return rounded(rings.select("n", "area", F.array_min("ring.x").alias("xmin"), F.array_max("ring.x").alias("xmax")))
+
+
+@query("dsm_tin")
+def _dsm_tin(spark, d):
+    return rounded(I.dsm(lineitem_points(spark, d), 2.0, tin=True))
+
+
 @query("dtm")
 def _dtm(spark, d):
     return rounded(I.dtm(lineitem_points(spark, d), 2.0))

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import io
-import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.attributes import canonical
-from .files import binary_files, head
+from .files import binary_files, head, named, not_an_input, write_file
+from .las import _settled
 
 _KINDS = {("F", 4): "<f4", ("F", 8): "<f8", ("I", 1): "<i1", ("I", 2): "<i2", ("I", 4): "<i4", ("I", 8): "<i8", ("U", 1): "<u1", ("U", 2): "<u2", ("U", 4): "<u4", ("U", 8): "<u8"}
 
@@ -64,30 +64,53 @@ def read_pcd(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return binary_files(spark, path).mapInPandas(run, schema)
 
 
-def encode(points: pd.DataFrame, binary: bool = True) -> bytes:
-    """A PCD file of the points' numeric columns, X, Y and Z first."""
-    order = ["X", "Y", "Z"] + [c for c in points.columns if c not in ("X", "Y", "Z")]
-    fields = [c.lower() if c in ("X", "Y", "Z") else c for c in order]
-    n, k = len(points), len(order)
+def _order(columns: list[str]) -> list[str]:
+    return ["X", "Y", "Z"] + [c for c in columns if c not in ("X", "Y", "Z")]
+
+
+def top_of(columns: list[str], n: int, binary: bool) -> bytes:
+    """The header of ``n`` points, X, Y and Z first."""
+    order = _order(columns)
+    fields, k = [c.lower() if c in ("X", "Y", "Z") else c for c in order], len(order)
     lines = ["# .PCD v0.7 - Point Cloud Data file format", "VERSION 0.7", f"FIELDS {' '.join(fields)}", f"SIZE {' '.join(['8'] * k)}", f"TYPE {' '.join(['F'] * k)}", f"COUNT {' '.join(['1'] * k)}", f"WIDTH {n}", "HEIGHT 1", "VIEWPOINT 0 0 0 1 0 0 0", f"POINTS {n}", f"DATA {'binary' if binary else 'ascii'}"]
-    top = ("\n".join(lines) + "\n").encode()
-    table = points[order].to_numpy(dtype="<f8")
+    return ("\n".join(lines) + "\n").encode()
+
+
+def body_of(points: pd.DataFrame, binary: bool) -> bytes:
+    table = points[_order(list(points.columns))].to_numpy(dtype="<f8")
     if binary:
-        return top + table.tobytes()
-    return top + "".join(" ".join(repr(float(v)) for v in row) + "\n" for row in table).encode()
+        return table.tobytes()
+    return "".join(" ".join(repr(float(v)) for v in row) + "\n" for row in table).encode()
 
 
-def write_pcd(df: DataFrame, folder: str, by: list[str], binary: bool = True) -> DataFrame:
-    """One file's bytes per group, as rows (name, content), written as Parquet under ``folder``.
+def encode(points: pd.DataFrame, binary: bool = True) -> bytes:
+    """A PCD file of the points' numeric columns."""
+    return top_of(list(points.columns), len(points), binary) + body_of(points, binary)
+
+
+def write_pcd(df: DataFrame, path: str, by: list[str] = (), binary: bool = True, inputs: list[str] = ()) -> DataFrame:
+    """PCD files; returns (path, npoints).
 
-    Each row is a whole PCD file; ``parse`` reads its content.  A group must fit in one task.
+    A star in ``path`` stands for a group's key: one file for each group of ``by``, in
+    parallel.  Without a star one task writes all points batch by batch.
     """
+    not_an_input(path, inputs)
+    if ("*" in path) != bool(by):
+        raise ValueError("a star in the path goes with groups, and groups with a star")
     columns = [c for c in df.columns if c not in by]
+    schema = "path string, npoints long"
+    if by:
+
+        def group(key, own):
+            target = named(path, key)
+            write_file(target, [encode(own[columns], binary)])
+            return pd.DataFrame({"path": [target], "npoints": [len(own)]})
+
+        return _settled(df.groupBy(*by).applyInPandas(group, schema))
+    n = df.count()
 
-    def run(key, own):
-        name = "_".join(map(str, key)) or uuid.uuid4().hex
-        return pd.DataFrame({"name": [f"{name}.pcd"], "content": [encode(own[columns], binary)]})
+    def all_points(batches):
+        write_file(path, (x for part in ([top_of(columns, n, binary)], (body_of(b[columns], binary) for b in batches)) for x in part))
+        yield pd.DataFrame({"path": [path], "npoints": [n]})
 
-    files = df.groupBy(*by).applyInPandas(run, "name string, content binary")
-    files.write.mode("overwrite").parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+    return _settled(df.select(*columns).repartition(1).mapInPandas(all_points, schema))

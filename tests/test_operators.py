@@ -87,10 +87,11 @@ def test_plane_is_reproduced(plane):
 
 def test_hull_of_a_square(spark):
     tin = I.triangulate(cloud_of(spark, [(i, j, 0) for i in range(6) for j in range(6)]))
-    rings = I.hull_rings(tin)
-    assert len(rings) == 1 and len(rings[0]) == 21
-    area = sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(rings[0], rings[0][1:])) / 2
-    assert area == pytest.approx(25)
+    (ring,) = I.hull_rings(tin).collect()
+    assert ring.n == 21 and len(ring.ring) == 21 and ring.ring[0] == ring.ring[-1] and ring.area == pytest.approx(25)
+    holed = cloud_of(spark, [(i, j, 0) for i in range(9) for j in range(9) if not (2 < i < 6 and 2 < j < 6)] + [(20 + i, j, 0) for i in range(3) for j in range(3)])
+    rings = I.hull_rings(I.triangulate(holed, max_edge=1.9)).collect()
+    assert sorted(round(r.area) for r in rings) == [-16, 4, 64]
 
 
 def brute_knn(rows, k):
