@@ -22,12 +22,12 @@ def spike_free_triangles(x: np.ndarray, y: np.ndarray, z: np.ndarray, freeze: fl
     _, first = np.unique(np.column_stack([x, y])[order], axis=0, return_index=True)
     order = order[np.sort(first)]
     t = Triangulation(x[order], y[order])
-    z = z[order].tolist()
+    z = [0.0, 0.0, 0.0, *z[order].tolist()]  # as the corners are numbered
     limit = freeze * freeze
-    for p in range(len(order)):
+    for p in range(3, len(order) + 3):
         at = t.locate(p)
         tri = t.tri[at]
-        if max(tri) < t.n:
+        if min(tri) >= 3:
             sides = [(t.x[a] - t.x[b]) ** 2 + (t.y[a] - t.y[b]) ** 2 for a, b in ((tri[0], tri[1]), (tri[1], tri[2]), (tri[2], tri[0]))]
             if max(sides) < limit and z[p] < min(z[c] for c in tri) - buffer:
                 continue

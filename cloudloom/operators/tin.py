@@ -1,11 +1,12 @@
 """Triangulations: Delaunay per tile with a halo, and interpolation as joins.
 
 Triangles come from an incremental Delaunay triangulation of a tile's points and of those
-in a halo around it; the tile that owns a triangle's centroid keeps it.  Tiles follow the
-density of the points.  A triangle is proven where its circumcircle, as far as there is
-cloud, lies within the halo; a tile with others is done again with a halo twice as wide,
-up to a widest one.  Heights under points and cell centres come from the same call; other
-uses of triangles (rasters and points of a given table, hulls) are joins.
+a few points' distance around it.  Points further off, up to a widest halo, are inserted
+only where they lie in the circumcircle of a triangle (or beyond a hull edge) that reaches
+the tile: the tile's triangles are those of all points of the halo at the cost of few.
+The tile that owns a triangle's centroid keeps it.  Heights under points and cell centres
+come from the same call; other uses of triangles (rasters and points of a given table,
+hulls) are joins.
 """
 
 from __future__ import annotations
@@ -25,21 +26,29 @@ TRIANGLE = "tri_id long, " + ", ".join(f"{v}{c} double" for v in "abc" for c in
 
 
 class Triangulation:
-    """Incremental Delaunay triangulation (Bowyer and Watson) with walking point location."""
+    """Incremental Delaunay triangulation (Bowyer and Watson) with walking point location.
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
-        cx, cy = (x.min() + x.max()) / 2, (y.min() + y.max()) / 2
-        span = max(float(np.ptp(x)), float(np.ptp(y)), 1e-9)
-        # a point's own noise settles ties on circles and lines alike in every tile
-        noise = [(np.modf(np.sin(x * a + y * b) * 43758.5453)[0]) * 1e-8 for a, b in ((12.9898, 78.233), (39.3468, 11.1351))]
-        far = 1e3 * span
-        self.x = [*(x - cx + noise[0]).tolist(), -far, far, 0.0]
-        self.y = [*(y - cy + noise[1]).tolist(), -far, -far, far]
-        self.n = n = len(x)
-        self.tri: list[tuple[int, int, int] | None] = [(n, n + 1, n + 2)]
+    Corners 0 to 2 are far away; the points follow, and more can be added.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, span: float | None = None):
+        self.cx, self.cy = (x.min() + x.max()) / 2, (y.min() + y.max()) / 2
+        far = 1e3 * (span or max(float(np.ptp(x)), float(np.ptp(y)), 1e-9))
+        self.x, self.y = [-far, far, 0.0], [-far, -far, far]
+        self.tri: list[tuple[int, int, int] | None] = [(0, 1, 2)]
         self.nb: list[list[int]] = [[-1, -1, -1]]  # neighbour opposite to each corner
         self.free: list[int] = []
         self.last = 0
+        self.add(x, y)
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> range:
+        """Numbers of further points, not inserted yet."""
+        first = len(self.x)
+        # a point's own noise settles ties on circles and lines alike in every tile
+        noise = [(np.modf(np.sin(x * a + y * b) * 43758.5453)[0]) * 1e-8 for a, b in ((12.9898, 78.233), (39.3468, 11.1351))]
+        self.x += (x - self.cx + noise[0]).tolist()
+        self.y += (y - self.cy + noise[1]).tolist()
+        return range(first, len(self.x))
 
     def locate(self, p: int) -> int:
         X, Y, px, py, t = self.x, self.y, self.x[p], self.y[p], self.last
@@ -100,9 +109,14 @@ class Triangulation:
             self.nb[t][2] = by_end.get(a, -1)  # across (p, a)
         self.last = made[-1][0]
 
+    def all(self) -> np.ndarray:
+        """Corners of all triangles, those with far corners too."""
+        return np.array([t for t in self.tri if t is not None], dtype=np.int64).reshape(-1, 3)
+
     def triangles(self) -> np.ndarray:
-        kept = [t for t in self.tri if t is not None and max(t) < self.n]
-        return np.array(kept, dtype=np.int64).reshape(-1, 3)
+        """Triangles of points, counted from 0."""
+        t = self.all()
+        return t[t.min(axis=1) >= 3] - 3
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -122,11 +136,65 @@ def delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     if len(first) < 3:
         return np.zeros((0, 3), np.int64)
     t = Triangulation(x[first], y[first])
-    for p in range(len(first)):
+    for p in range(3, len(first) + 3):
         t.insert(p)
     return first[t.triangles()]
 
 
+def _wanting(t: Triangulation, core: tuple[float, float, float, float], px: np.ndarray, py: np.ndarray) -> np.ndarray:
+    """Which points lie in the circumcircle of a triangle that reaches the core (xmin, ymin, xmax, ymax)."""
+    tri = t.all()
+    X, Y = np.array(t.x), np.array(t.y)
+    tx, ty = X[tri], Y[tri]
+    x0, y0, x1, y1 = core[0] - t.cx, core[1] - t.cy, core[2] - t.cx, core[3] - t.cy
+    far = tri < 3
+    reach = (tx.min(1) <= x1) & (tx.max(1) >= x0) & (ty.min(1) <= y1) & (ty.max(1) >= y0)
+    hull = far.sum(axis=1) == 1
+    if hull.any():  # beyond the hull edge, on the left of its corners in order
+        k = far[hull].argmax(axis=1)
+        rows = np.arange(hull.sum())
+        ax, ay = tx[hull][rows, (k + 1) % 3], ty[hull][rows, (k + 1) % 3]
+        bx, by = tx[hull][rows, (k + 2) % 3], ty[hull][rows, (k + 2) % 3]
+        left = [(bx - ax) * (v - ay) - (by - ay) * (u - ax) > 0 for u, v in ((x0, y0), (x0, y1), (x1, y0), (x1, y1))]
+        reach[hull] &= np.any(left, axis=0)
+    out = np.zeros(len(px), bool)
+    qx, qy = px - t.cx, py - t.cy
+    for lo in range(0, reach.sum(), 256):
+        cx, cy = (v[reach][lo : lo + 256][:, :, None] for v in (tx, ty))
+        open_ = np.flatnonzero(~out)
+        ax, bx, cx = (cx[:, k] - qx[open_] for k in range(3))
+        ay, by, cy = (cy[:, k] - qy[open_] for k in range(3))
+        inside = (ax * ax + ay * ay) * (bx * cy - cx * by) - (bx * bx + by * by) * (ax * cy - cx * ay) + (cx * cx + cy * cy) * (ax * by - bx * ay) > 0
+        out[open_[inside.any(axis=0)]] = True
+    return out
+
+
+def delaunay_of_tile(x: np.ndarray, y: np.ndarray, core: tuple[float, float, float, float], near: float) -> np.ndarray:
+    """Triangles of all points as far as they reach the core, from those within ``near`` of it and any that these want."""
+    if len(x) < 3:
+        return np.zeros((0, 3), np.int64)
+    _, first = np.unique(np.column_stack([x, y]), axis=0, return_index=True)
+    fx, fy = x[first], y[first]
+    close = (fx >= core[0] - near) & (fx <= core[2] + near) & (fy >= core[1] - near) & (fy <= core[3] + near)
+    if not close.any():
+        close[np.argmin(np.abs(fx - (core[0] + core[2]) / 2) + np.abs(fy - (core[1] + core[3]) / 2))] = True
+    own, rest = first[close], first[~close]
+    own = own[_curve(x[own], y[own])]
+    t = Triangulation(x[own], y[own], max(float(np.ptp(fx)), float(np.ptp(fy)), 1e-9))
+    for p in range(3, len(own) + 3):
+        t.insert(p)
+    while len(rest):
+        wanted = _wanting(t, core, x[rest], y[rest])
+        if not wanted.any():
+            break
+        more = rest[wanted]
+        more = more[_curve(x[more], y[more])]
+        for p in t.add(x[more], y[more]):
+            t.insert(p)
+        own, rest = np.r_[own, more], rest[~wanted]
+    return own[t.triangles()]
+
+
 def longest_edge(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
     sides = [np.hypot(x[t[:, i]] - x[t[:, j]], y[t[:, i]] - y[t[:, j]]) for i, j in ((0, 1), (1, 2), (2, 0))]
     return np.max(sides, axis=0)
@@ -138,45 +206,30 @@ def tile_triangles(points: pd.DataFrame, tile: tuple[int, int], size: float, tri
     return triangle_rows(points, tile, own_triangles(x, y, triangles, tile, size))
 
 
-#: Points of a tile, and the first halo, in distances between points.
-TILE_POINTS, FIRST_HALO = 800, 4.0
+#: Points of a tile, and the distance around it, in distances between points, from which it begins.
+TILE_POINTS, NEAR = 800, 4.0
 
 
 @dataclass
 class Extent:
-    """A cloud's box and the tiles that suit its density."""
+    """A cloud's box, the tiles that suit its density, and the distance ``near`` a tile from which it begins."""
 
     box: tuple[float, float, float, float] | None
     tile: float
-    halo: float
+    near: float
 
 
-def extent_of(points: DataFrame, tile: float | None, widest: float) -> Extent:
+def extent_of(points: DataFrame, tile: float | None, halo: float) -> Extent:
+    """Tiles are no narrower than one and a half halos, so that a point goes to few of them."""
     n, *box = points.agg(F.count(F.lit(1)), F.min("X"), F.min("Y"), F.max("X"), F.max("Y")).first()
     if not n:
-        return Extent(None, tile or 1.0, widest)
-    area = max(box[2] - box[0], 1e-6) * max(box[3] - box[1], 1e-6)
-    apart = (area / n) ** 0.5
-    return Extent(tuple(box), tile or apart * TILE_POINTS**0.5, min(widest, FIRST_HALO * apart))
+        return Extent(None, tile or 1.0, halo)
+    apart = (max(box[2] - box[0], 1e-6) * max(box[3] - box[1], 1e-6) / n) ** 0.5
+    return Extent(tuple(box), tile or max(apart * TILE_POINTS**0.5, 1.5 * halo), min(halo, NEAR * apart))
 
 
-def proven(x: np.ndarray, y: np.ndarray, t: np.ndarray, inner: tuple, box: tuple) -> np.ndarray:
-    """Whether the circumcircles of triangles, clipped to the cloud's ``box``, lie in ``inner``."""
-    if not len(t):
-        return np.zeros(0, bool)
-    ax, ay = x[t[:, 0]], y[t[:, 0]]
-    bx, by, cx, cy = x[t[:, 1]] - ax, y[t[:, 1]] - ay, x[t[:, 2]] - ax, y[t[:, 2]] - ay
-    with np.errstate(divide="ignore", invalid="ignore"):
-        d = 2 * (bx * cy - by * cx)
-        u, v = (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / d, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / d
-        r = np.hypot(u, v) * (1 + 1e-9)
-        u, v = u + ax, v + ay
-        ok = (np.maximum(u - r, box[0]) >= inner[0]) & (np.maximum(v - r, box[1]) >= inner[1]) & (np.minimum(u + r, box[2]) <= inner[2]) & (np.minimum(v + r, box[3]) <= inner[3])
-    return ok & np.isfinite(r)
-
-
-def _around_tiles(points: DataFrame, tile: float, halo: float, only: DataFrame | None) -> DataFrame:
-    """Points once for each tile that they lie within ``halo`` of; ``only`` names the tiles that are wanted."""
+def _around_tiles(points: DataFrame, tile: float, halo: float) -> DataFrame:
+    """Points once for each tile that they lie within ``halo`` of."""
     from ..functions.lattice import around
 
     reach = max(1, int(np.ceil(halo / tile)))
@@ -184,73 +237,34 @@ def _around_tiles(points: DataFrame, tile: float, halo: float, only: DataFrame |
     wide = wide.withColumns({"tile_x": column_of(F.col("X"), tile) + F.col("__d.i"), "tile_y": row_of(F.col("Y"), tile) + F.col("__d.j")})
     b, size = F.lit(float(halo)), F.lit(float(tile))
     near = lambda c, t: (F.col(c) >= F.col(t) * size - b) & (F.col(c) <= (F.col(t) + 1) * size + b)
-    wide = wide.where(near("X", "tile_x") & near("Y", "tile_y")).drop("__d")
-    return wide if only is None else wide.join(only, ["tile_x", "tile_y"], "left_semi")
-
-
-def _inner(key: tuple[int, int], tile: float, halo: float) -> tuple[float, float, float, float]:
-    return key[0] * tile - halo, key[1] * tile - halo, (key[0] + 1) * tile + halo, (key[1] + 1) * tile + halo
-
-
-def _rounds(points: DataFrame, extent: Extent, widest: float, run, schema: str, queries=None) -> DataFrame:
-    """``run(key, rows, halo, last)`` for every tile, again with wider halos for tiles whose rows are ``__open``."""
-    from .neighbours import write_once
-
-    halo, only, done = extent.halo, None, None
-    points = write_once(points)
-    while True:
-        last = halo >= widest
-        rows = _around_tiles(points, extent.tile, halo, only)
-        if queries is not None:
-            rows = queries(rows, only)
+    return wide.where(near("X", "tile_x") & near("Y", "tile_y")).drop("__d")
 
-        found = write_once(rows.groupBy("tile_x", "tile_y").applyInPandas(_of_tile(run, halo, last), f"{schema}, tile_x long, tile_y long, __open boolean"))
-        part = found.where("not __open").drop("tile_x", "tile_y", "__open")
-        done = part if done is None else done.unionByName(part)
-        if last:
-            return done
-        only = write_once(found.where("__open").select("tile_x", "tile_y").distinct())
-        if not only.take(1):
-            return done
-        halo = min(widest, halo * 2)
 
-
-def _of_tile(run, halo: float, last: bool):
-    def one(key, rows):
-        return run((int(key[0]), int(key[1])), rows, halo, last)
-
-    return one
-
-
-def _open_tile(names: list[str], key: tuple[int, int]) -> pd.DataFrame:
-    """The one row of a tile that must be done again."""
-    return pd.DataFrame([{n: 0 for n in names} | {"tile_x": key[0], "tile_y": key[1], "__open": True}])
+def _core(key: tuple[int, int], tile: float) -> tuple[float, float, float, float]:
+    return key[0] * tile, key[1] * tile, (key[0] + 1) * tile, (key[1] + 1) * tile
 
 
 def triangulate(df: DataFrame, max_edge: float = 0.0, conditions=None, use_attribute: str = "Z", tile: float | None = None, halo: float = 20.0) -> DataFrame:
     """Triangles (tri_id, ax … cz) of the accepted points.
 
     Triangles with an edge of ``max_edge`` or more go (0: none; negative: only those stay).
-    ``halo`` is the widest halo: triangles with larger circumcircles may differ from those
-    of the whole cloud.
+    ``halo`` is how far around its tile a triangle's circumcircle is looked into: those of
+    wider ones may differ from those of the whole cloud.
     """
     points = df.where(all_of(df, conditions)).select("X", "Y", attribute(df, use_attribute).alias("Z"))
     extent = extent_of(points, tile, halo)
-    size, box = extent.tile, extent.box
-    names = [f.split()[0] for f in TRIANGLE.split(", ")]
+    size, near = extent.tile, extent.near
 
-    def run(key, own, halo, last):
+    def run(key, own):
+        key = (int(key[0]), int(key[1]))
         x, y = own["X"].to_numpy(), own["Y"].to_numpy()
-        t = delaunay(x, y)
+        t = own_triangles(x, y, delaunay_of_tile(x, y, _core(key, size), near), key, size)
         if max_edge and len(t):
             long = longest_edge(x, y, t) >= abs(max_edge)
             t = t[~long] if max_edge > 0 else t[long]
-        t = own_triangles(x, y, t, key, size)
-        if not last and not proven(x, y, t, _inner(key, size, halo), box).all():
-            return _open_tile(names, key)
-        return triangle_rows(own, key, t).assign(tile_x=key[0], tile_y=key[1], __open=False)
+        return triangle_rows(own, key, t)
 
-    return _rounds(points, extent, halo, run, TRIANGLE)
+    return _around_tiles(points, size, halo).groupBy("tile_x", "tile_y").applyInPandas(run, TRIANGLE)
 
 
 def own_triangles(x: np.ndarray, y: np.ndarray, t: np.ndarray, key: tuple[int, int], size: float) -> np.ndarray:
@@ -312,58 +326,40 @@ def heights_at(px: np.ndarray, py: np.ndarray, x: np.ndarray, y: np.ndarray, z:
 
 
 def surface_heights(ground: DataFrame, points: DataFrame | None, tile: float | None = None, halo: float = 20.0, res: float | None = None) -> DataFrame:
-    """Heights of the triangulated ``ground`` (X, Y, Z): (pid, __v) under ``points``, or (col, row, __v) at cell centres."""
+    """Heights of the triangulated ground (X, Y, Z): (pid, __v) under points, or (col, row, __v) at cell centres."""
     extent = extent_of(ground, tile, halo)
-    size, box = extent.tile, extent.box
     if res is not None:  # whole cells in a tile
-        size = extent.tile = max(1, round(extent.tile / res)) * res
-    names = ["pid", "__v"] if res is None else ["col", "row", "__v"]
+        extent.tile = max(1, round(extent.tile / res)) * res
+    size, box, near = extent.tile, extent.box, extent.near
     schema = "pid long, __v double" if res is None else "col long, row long, __v double"
     if box is None:
         return ground.sparkSession.createDataFrame([], schema)
 
-    def run(key, own, halo, last):
-        is_query = own["__q"].to_numpy(dtype=bool)
-        x, y, z = (own[c].to_numpy()[~is_query] for c in "XYZ")
+    def run(key, own):
+        key = (int(key[0]), int(key[1]))
+        asked = own["__q"].to_numpy(dtype=bool)
+        x, y, z = (own[c].to_numpy()[~asked] for c in "XYZ")
         if res is None:
-            wanted = own[is_query]
+            wanted = own[asked]
             px, py = wanted["X"].to_numpy(), wanted["Y"].to_numpy()
             ids = {"pid": wanted["pid"].to_numpy()}
         else:
-            c0, c1 = (int(round(k * size / res)) for k in (key[0], key[0] + 1))
-            r0, r1 = (int(round(k * size / res)) for k in (key[1], key[1] + 1))
+            (c0, c1), (r0, r1) = ([int(round(k * size / res)) for k in (at, at + 1)] for at in key)
             cols, rows = (g.ravel() for g in np.meshgrid(np.arange(c0, c1), np.arange(r0, r1)))
             px, py = (cols + 0.5) * res, (rows + 0.5) * res
-            near = (px >= box[0]) & (px <= box[2]) & (py >= box[1]) & (py <= box[3])
-            px, py, ids = px[near], py[near], {"col": cols[near], "row": rows[near]}
-        t = delaunay(x, y)
-        v, at = heights_at(px, py, x, y, z, t)
-        if not last and len(px):
-            sure = proven(x, y, t, _inner(key, size, halo), box)
-            # outside of all triangles is proven only where the halo covers the cloud
-            whole = np.array(_inner(key, size, halo))
-            covers = (whole[:2] <= box[:2]).all() and (whole[2:] >= box[2:]).all()
-            if not ((at >= 0) & sure[np.maximum(at, 0)] if len(t) else np.zeros(len(px), bool)).all() and not covers:
-                return _open_tile(names, key)
+            inside = (px >= box[0]) & (px <= box[2]) & (py >= box[1]) & (py <= box[3])
+            px, py, ids = px[inside], py[inside], {"col": cols[inside], "row": rows[inside]}
+        if not len(px):
+            return pd.DataFrame({n: [] for n in [*ids, "__v"]})
+        v, at = heights_at(px, py, x, y, z, delaunay_of_tile(x, y, _core(key, size), near))
         found = at >= 0
-        return pd.DataFrame({k: c[found] for k, c in ids.items()} | {"__v": v[found]}).assign(tile_x=key[0], tile_y=key[1], __open=False)
-
-    ground = ground.select(F.lit(0).cast("bigint").alias("pid"), "X", "Y", "Z", F.lit(False).alias("__q"))
-
-    def queries(rows, only):
-        if points is None:  # tiles without ground nearby have cells too
-            from ..functions.lattice import around
-
-            reach = max(1, int(np.ceil(halo / size)))
-            tiles = ground.select(column_of(F.col("X"), size).alias("i"), row_of(F.col("Y"), size).alias("j")).distinct().withColumn("d", F.explode(around(reach, "i", "j")))
-            tiles = tiles.select((F.col("i") + F.col("d.i")).alias("tile_x"), (F.col("j") + F.col("d.j")).alias("tile_y")).distinct()
-            zero = F.lit(0.0)
-            own = tiles.select(F.lit(0).cast("bigint").alias("pid"), zero.alias("X"), zero.alias("Y"), zero.alias("Z"), F.lit(True).alias("__q"), "tile_x", "tile_y")
-            return rows.unionByName(own if only is None else own.join(only, ["tile_x", "tile_y"], "left_semi"))
-        own = points.select("pid", "X", "Y", F.lit(None).cast("double").alias("Z"), F.lit(True).alias("__q"), column_of(F.col("X"), size).alias("tile_x"), row_of(F.col("Y"), size).alias("tile_y"))
-        return rows.unionByName(own if only is None else own.join(only, ["tile_x", "tile_y"], "left_semi"))
+        return pd.DataFrame({k: c[found] for k, c in ids.items()} | {"__v": v[found]})
 
-    return _rounds(ground, extent, halo, run, schema, queries)
+    rows = _around_tiles(ground.select(F.lit(0).cast("bigint").alias("pid"), "X", "Y", "Z", F.lit(False).alias("__q")), size, halo)
+    if points is not None:
+        own = points.select("pid", "X", "Y", F.lit(0.0).alias("Z"), F.lit(True).alias("__q"), column_of(F.col("X"), size).alias("tile_x"), row_of(F.col("Y"), size).alias("tile_y"))
+        rows = rows.unionByName(own)
+    return rows.groupBy("tile_x", "tile_y").applyInPandas(run, schema)
 
 
 #: Barycentric weights of (px, py), with a tolerance at the edges.
