@@ -68,7 +68,7 @@ def published(spark, sf_dir: str, folder: str) -> dict:
 
     return {
         "t1_max_raster": lambda: _compute(R.rasterize(points(), 1.0, ["max"])),
-        "t2_ground_tin": lambda: _compute(I.dtm(points(), 1.0)),
+        "t2_ground_tin": lambda: _compute(I.surface_raster(I.ground_of(points(), (2,)), 1.0)),
         "t3_metrics_raster": three_rasters,
         "t4_tree_segmentation": trees,
         "t5_normalize": lambda: normalised() and None,

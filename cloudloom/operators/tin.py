@@ -141,8 +141,12 @@ def delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return first[t.triangles()]
 
 
-def _wanting(t: Triangulation, core: tuple[float, float, float, float], px: np.ndarray, py: np.ndarray) -> np.ndarray:
-    """Which points lie in the circumcircle of a triangle that reaches the core (xmin, ymin, xmax, ymax)."""
+def _wanting(t: Triangulation, core: tuple[float, float, float, float], near: float, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+    """For every triangle that reaches the core (xmin, ymin, xmax, ymax) the point deepest in its circumcircle, if any.
+
+    All points within ``near`` of the core are in the triangulation already, so circles
+    that stay there hold none of these.
+    """
     tri = t.all()
     X, Y = np.array(t.x), np.array(t.y)
     tx, ty = X[tri], Y[tri]
@@ -157,16 +161,23 @@ def _wanting(t: Triangulation, core: tuple[float, float, float, float], px: np.n
         bx, by = tx[hull][rows, (k + 2) % 3], ty[hull][rows, (k + 2) % 3]
         left = [(bx - ax) * (v - ay) - (by - ay) * (u - ax) > 0 for u, v in ((x0, y0), (x0, y1), (x1, y0), (x1, y1))]
         reach[hull] &= np.any(left, axis=0)
-    out = np.zeros(len(px), bool)
+    bx, by, cx, cy = (v[:, k] - v[:, 0] for k in (1, 2) for v in (tx, ty))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = 2 * (bx * cy - by * cx)
+        u, v = (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / d, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / d
+        r = np.hypot(u, v) * (1 + 1e-6)
+        u, v = u + tx[:, 0], v + ty[:, 0]
+        reach &= ~((u - r >= x0 - near) & (v - r >= y0 - near) & (u + r <= x1 + near) & (v + r <= y1 + near))
+    found = [np.zeros(0, np.int64)]
     qx, qy = px - t.cx, py - t.cy
-    for lo in range(0, reach.sum(), 256):
-        cx, cy = (v[reach][lo : lo + 256][:, :, None] for v in (tx, ty))
-        open_ = np.flatnonzero(~out)
-        ax, bx, cx = (cx[:, k] - qx[open_] for k in range(3))
-        ay, by, cy = (cy[:, k] - qy[open_] for k in range(3))
-        inside = (ax * ax + ay * ay) * (bx * cy - cx * by) - (bx * bx + by * by) * (ax * cy - cx * ay) + (cx * cx + cy * cy) * (ax * by - bx * ay) > 0
-        out[open_[inside.any(axis=0)]] = True
-    return out
+    corners, sides = tx[reach], ty[reach]
+    for lo in range(0, len(corners), 64):
+        ax, bx, cx = (corners[lo : lo + 64, k, None] - qx for k in range(3))
+        ay, by, cy = (sides[lo : lo + 64, k, None] - qy for k in range(3))
+        depth = (ax * ax + ay * ay) * (bx * cy - cx * by) - (bx * bx + by * by) * (ax * cy - cx * ay) + (cx * cx + cy * cy) * (ax * by - bx * ay)
+        deepest = depth.argmax(axis=1)
+        found.append(deepest[depth[np.arange(len(depth)), deepest] > 0])
+    return np.unique(np.concatenate(found))
 
 
 def delaunay_of_tile(x: np.ndarray, y: np.ndarray, core: tuple[float, float, float, float], near: float) -> np.ndarray:
@@ -184,14 +195,14 @@ def delaunay_of_tile(x: np.ndarray, y: np.ndarray, core: tuple[float, float, flo
     for p in range(3, len(own) + 3):
         t.insert(p)
     while len(rest):
-        wanted = _wanting(t, core, x[rest], y[rest])
-        if not wanted.any():
+        wanted = _wanting(t, core, near, x[rest], y[rest])
+        if not len(wanted):
             break
         more = rest[wanted]
         more = more[_curve(x[more], y[more])]
         for p in t.add(x[more], y[more]):
             t.insert(p)
-        own, rest = np.r_[own, more], rest[~wanted]
+        own, rest = np.r_[own, more], np.delete(rest, wanted)
     return own[t.triangles()]
 
 
@@ -464,14 +475,15 @@ def hag(df: DataFrame, **options) -> DataFrame:
     return normalize(df, "HAG", **options)
 
 
-def _surface_raster(ground: DataFrame, res: float, **options) -> DataFrame:
+def surface_raster(ground: DataFrame, res: float, **options) -> DataFrame:
+    """Heights of the triangulated points (X, Y, Z) at the cell centres that they cover."""
     found = surface_heights(ground, None, res=res, **options)
     return with_centre(found, res).select("col", "row", "x", "y", F.col("__v").alias("z"))
 
 
 def dtm(df: DataFrame, res: float = 1.0, add_class=(), **options) -> DataFrame:
     """Ground surface: classes 2, 9 and those added."""
-    return _surface_raster(ground_of(df, (2, 9, *add_class)), res, **options)
+    return surface_raster(ground_of(df, (2, 9, *add_class)), res, **options)
 
 
 def dsm(df: DataFrame, res: float = 1.0, tin: bool = False, **options) -> DataFrame:
@@ -479,7 +491,7 @@ def dsm(df: DataFrame, res: float = 1.0, tin: bool = False, **options) -> DataFr
     from .raster import rasterize
 
     if tin:
-        return _surface_raster(df.where(all_of(df, "ReturnNumber == 1")).select("X", "Y", "Z"), res, **options)
+        return surface_raster(df.where(all_of(df, "ReturnNumber == 1")).select("X", "Y", "Z"), res, **options)
     return rasterize(df, res, ["max"]).withColumnRenamed("max", "z")
 
 
