@@ -306,15 +306,17 @@ class _Join:
         return joined.mapInArrow(run, "a long, b long")
 
     def clusters(self, shared: DataFrame, weight: DataFrame) -> DataFrame:
-        """(sid, cluster): sets gathered around the text that they vary, CLUSTER or more of them.
+        """(sid, cluster, m, parts): sets gathered around the text that they vary, CLUSTER or more of them.
 
-        A list's hub is its set of most weight; a set belongs to its heaviest hub.
+        A list's hub is its set of most weight; a set belongs to its heaviest hub.  They are
+        compared in blocks; ``parts`` is the number of blocks.
         """
         lists = shared.join(weight, "sid").groupBy("token").agg(F.max(F.struct("weight", "sid")).alias("hub"), F.count("*").alias("m")).where(f"m >= {CLUSTER}")
         own = shared.join(lists, "token").groupBy("sid").agg(F.max("hub").alias("hub")).select("sid", F.col("hub.sid").alias("cluster"))
         own = written(own, "hubs")
         sizes = own.groupBy("cluster").agg(F.count("*").alias("m")).where(f"m >= {CLUSTER}")
-        return written(own.join(sizes, "cluster").select("sid", "cluster"), "clusters")
+        block = F.least(F.greatest(F.lit(CLUSTER_BLOCK), F.sqrt("m") * 3), F.lit(2000))
+        return written(own.join(sizes, "cluster").select("sid", "cluster", "m", F.ceil(F.col("m") / block).cast("int").alias("parts")), "clusters")
 
     def within(self, clusters: DataFrame, nodes: DataFrame) -> DataFrame:
         """Links (a, b) inside clusters, as forests.
@@ -324,27 +326,11 @@ class _Join:
         to the hub need no comparison.
         """
         t = self.t
-        pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-        members = clusters.where("sid <> cluster").select("sid", "cluster", *pair("sid", "cluster"))
-        spokes = members.select("a", "b").distinct()
-        spokes = written(self.verified(written(self.possible(spokes, nodes), "possible"), nodes), "spokes")
-        apart = members.join(spokes, ["a", "b"], "left_anti").select("sid", "cluster")
-        sizes = apart.groupBy("cluster").agg(F.count("*").alias("u"))
-        all_sizes = clusters.join(sizes.select("cluster"), "cluster", "left_semi").groupBy("cluster").agg(F.count("*").alias("m"))
-        block = F.least(F.greatest(F.lit(CLUSTER_BLOCK), F.sqrt("m") * 3), F.lit(2000))
-        sizes = sizes.join(all_sizes, "cluster").select("cluster", F.ceil(F.col("m") / block).cast("int").alias("parts"), F.ceil(F.col("u") / block).cast("int").alias("rows"))
-        open_ = clusters.join(sizes, "cluster").join(apart.select("sid", F.lit(True).alias("apart")), "sid", "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
-        open_ = written(open_, "open")
-        if not open_.take(1):
-            return spokes
-        table = self.sets_of(open_.select("sid"), nodes)
-        own = open_.join(table, "sid")
+        table = self.sets_of(clusters.select("sid").union(clusters.select("cluster")).distinct(), nodes)
         part = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
         cell = lambda i, j, left: (F.col("cluster"), i.alias("i"), j.alias("j"), F.lit(left).alias("left"), F.col("sid"), F.col("elements"))
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = own.where("apart").withColumn("other", each("parts")).select(*cell(part("rows"), F.col("other"), True))
-        right = own.withColumn("other", each("rows")).select(*cell(F.col("other"), part("parts"), False))
-        spread = left.unionByName(right)
+        zero = F.lit(0)
 
         def compare(rows):
             sid, is_left = rows["sid"].to_numpy(), rows["left"].to_numpy(dtype=bool)
@@ -381,7 +367,23 @@ class _Join:
                     out.append((a, b))
             return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-        return spokes.unionByName(spread.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long"))
+        def linked(left: DataFrame, right: DataFrame) -> DataFrame:
+            return left.unionByName(right).groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
+
+        # the hub goes to every block of its cluster, so that no task has all of a large one
+        members = clusters.where("sid <> cluster")
+        hubs = clusters.select("cluster", "parts").distinct().withColumn("sid", F.col("cluster")).join(table, "sid").withColumn("other", each("parts"))
+        spokes = written(linked(hubs.select(*cell(zero, F.col("other"), True)), members.join(table, "sid").select(*cell(zero, part("parts"), False))), "spokes")
+        apart = members.join(spokes.select(F.col("b").alias("sid"), F.col("a").alias("cluster")), ["sid", "cluster"], "left_anti")
+        sizes = apart.groupBy("cluster").agg(F.ceil(F.count("*") * F.max("parts") / F.max("m")).cast("int").alias("rows"))
+        open_ = clusters.join(sizes, "cluster").join(apart.select("sid", F.lit(True).alias("apart")), "sid", "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
+        open_ = written(open_, "open")
+        if not open_.take(1):
+            return spokes
+        own = open_.join(table, "sid")
+        left = own.where("apart").withColumn("other", each("parts")).select(*cell(part("rows"), F.col("other"), True))
+        right = own.withColumn("other", each("rows")).select(*cell(F.col("other"), part("parts"), False))
+        return spokes.unionByName(linked(left, right))
 
     def classes(self) -> DataFrame:
         p = self.t.p
