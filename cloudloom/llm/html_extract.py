@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import strings, written
+from .common import discard, strings, written
 from .url_filter import url_host, url_path
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -355,7 +355,9 @@ def extract_text(
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *more], names=schema.names)
 
     parsed = written(base.mapInArrow(parse, schema).withColumn("row", F.monotonically_increasing_id()), "blocks")
-    gone = written(_gone(spark, parsed), "gone")
+    ordered, gone = _gone(spark, parsed)
+    gone = written(gone, "gone")
+    discard(ordered)
     if gone.count() <= broadcast_rows:
         gone = F.broadcast(gone)
     kept = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda x, i: ~F.array_contains("gone", i)))
@@ -363,8 +365,9 @@ def extract_text(
     return text.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-def _gone(spark, parsed: DataFrame) -> DataFrame:
-    """(row, gone): positions among the blocks of a page that differencing deletes, where there are any."""
+def _gone(spark, parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pages in order as a written table, and (row, gone): positions among the blocks of
+    a page that differencing deletes, where there are any."""
     lean = parsed.select("row", "id", "host", "path", "keys", "own", "bounded", F.transform("blocks", lambda x: F.char_length(x)).alias("sizes"))
     ranked_schema = T.StructType([*lean.schema.fields, T.StructField("part", T.LongType()), T.StructField("at", T.LongType())])
 
@@ -379,13 +382,13 @@ def _gone(spark, parsed: DataFrame) -> DataFrame:
 
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = lean.repartitionByRange(n_parts, "host", "path", "id", "row").sortWithinPartitions("host", "path", "id", "row")
-    ordered = written(ordered.mapInArrow(number, ranked_schema), "ordered")
+    ordered = table = written(ordered.mapInArrow(number, ranked_schema), "ordered")
     offset, rows = 0, []
     for part, n in sorted(ordered.groupBy("part").count().collect()):  # a row for each partition
         rows.append((part, offset))
         offset += n
     if not rows:
-        return parsed.select("row", F.expr("cast(null as array<int>)").alias("gone")).limit(0)
+        return table, parsed.select("row", F.expr("cast(null as array<int>)").alias("gone")).limit(0)
     ordered = ordered.join(F.broadcast(spark.createDataFrame(rows, "part long, offset long")), "part").withColumn("rank", F.col("offset") + F.col("at"))
     own = ordered.where("size(own) > 0")
     steps = F.array(*[F.lit(d).cast("long") for d in range(-WINDOW, WINDOW + 1) if d])
@@ -405,4 +408,4 @@ def _gone(spark, parsed: DataFrame) -> DataFrame:
                     found.append((row["row"], sorted(gone)))
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int64()), pa.array([g for _, g in found], pa.list_(pa.int32()))], names=["row", "gone"])
 
-    return joined.mapInArrow(compare, "row long, gone array<int>")
+    return table, joined.mapInArrow(compare, "row long, gone array<int>")
