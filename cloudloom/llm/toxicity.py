@@ -111,16 +111,15 @@ def gradients(model: Model, docs: list[np.ndarray], parts: list[list[int]], y: n
     width_of = [w for w in WIDTHS for _ in range(w)]
     offset_of = [j for w in WIDTHS for j in range(w)]
     used = np.unique(np.concatenate(docs or [np.zeros(0, int)]))
-    where = {int(u): k for k, u in enumerate(used)}
     local = [parts[i] for i in used]
     rows = model.table(local) if len(used) else np.zeros((0, len(width_of) * FILTERS), np.float32)
     grad = {"out": np.zeros_like(model.out, dtype=np.float64)}
     grad |= {f"c{w}": np.zeros_like(model.conv[w], dtype=np.float64) for w in WIDTHS}
     grad |= {f"b{w}": np.zeros_like(model.bias[w], dtype=np.float64) for w in WIDTHS}
-    g_rows = np.zeros(rows.shape)
+    g_rows = np.zeros_like(rows)
     scale = 1.0 / weights.sum()
     for words, label, weight in zip(docs, y, weights):
-        idx = np.fromiter((where[int(i)] for i in words), np.int64, len(words))
+        idx = np.searchsorted(used, words)
         z = model.activations(rows[idx])
         feats, places, top = pool(z, with_places=True)
         g = weight * scale * (model.score(feats) - label)
