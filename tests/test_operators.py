@@ -311,3 +311,22 @@ def test_empty_clouds_pass_through(spark):
     assert I.triangulate(empty).count() == 0 and I.dtm(empty, 1.0).count() == 0 and I.normalize(empty).count() == 0
     assert N.classify_with_sor(empty).count() == 0 and N.classify_with_ipf(empty).count() == 0 and G.geometry_features(empty).count() == 0
     assert isinstance(empty.toPandas(), pd.DataFrame)
+
+
+def test_nearest_within_a_radius(spark):
+    rng = random.Random(17)
+    rows = [(rng.uniform(0, 6), rng.uniform(0, 6), rng.uniform(0, 2)) for _ in range(150)]
+    df = cloud_of(spark, rows)
+    got = {}
+    for r in N.nearest_neighbours(df.select("pid", "X", "Y", "Z"), df, 4, radius=0.9).collect():
+        got.setdefault(r.pid, {})[r["rank"]] = r.pid2
+    a = np.array(rows)
+    for i, order in brute_knn(rows, 4).items():
+        assert [got[i][k] for k in sorted(got[i])] == [j for j in order if ((a[i] - a[j]) ** 2).sum() <= 0.81]
+
+
+def test_random_fractions_keep_their_share(plane):
+    from cloudloom.functions.predicates import random_fraction
+
+    assert abs(plane.where(random_fraction(0.3, 5)).count() / 3000 - 0.3) < 0.04
+    assert plane.where(random_fraction(1.0)).count() == 3000 and plane.where(random_fraction(-1.0)).count() == 0
