@@ -1,5 +1,6 @@
 """Packing, toxicity, joins, search and decontamination against plain versions."""
 
+import os
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from cloudloom.llm import ann, decontaminate, graph, ngram_join, packing, toxicity
 
@@ -239,6 +241,34 @@ def test_rows_outside_the_fitting_sample_calibrate_their_language(spark):
     assert set(thresholds) == {"", "en", "es"}  # es has about 15 toxic rows, of which 3 are in the sample
 
 
+def test_networks_are_trained_in_tasks_as_in_one_place(spark, monkeypatch):
+    driver, train = os.getpid(), toxicity.train
+
+    def elsewhere(*args):
+        assert os.getpid() != driver  # the driver holds neither texts nor what training needs
+        return train(*args)
+
+    monkeypatch.setattr(toxicity, "train", elsewhere)
+    rows = [(i, t + (" vile" if i % 3 == 0 else ""), "en", int(i % 3 == 0)) for i, t in enumerate(texts_of(200, 9, 1, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"), max_toxic=30, max_clean=60, epochs=2)
+    # the same rows in the order of the fit, and the same folds
+    text, toxic = {r[0]: r[1] for r in rows}, {r[0]: r[3] for r in rows}
+    assert model.fitted == [r.doc_id for r in docs.where(docs.doc_id.isin(model.fitted)).orderBy(F.xxhash64("doc_id")).collect()]
+    texts, y = [text[i] for i in model.fitted], np.array([toxic[i] for i in model.fitted])
+    known = Counter(r[3] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2)
+    weight = np.array([known[0] / (y == 0).sum(), known[1] / (y == 1).sum()])[y]
+    plain = train(texts, y, weight, 2)
+    np.testing.assert_allclose(model.emb, plain.emb, rtol=1e-5, atol=1e-6)
+    np.testing.assert_allclose(model.out, plain.out, rtol=1e-5, atol=1e-6)
+    folds = Counter()
+    for f in range(3):
+        own = np.arange(len(y)) % 3 == f
+        trial = train([t for t, o in zip(texts, own) if not o], y[~own], weight[~own], 2)
+        folds.update(("en", int(label), int(v * 100)) for label, v in zip(y[own], toxicity.scores_of(trial, [t for t, o in zip(texts, own) if o], {}, [])))
+    assert model.folds == folds and sum(folds.values()) == len(y)
+
+
 def test_calibration_takes_the_best_f1():
     counts = Counter({("en", 0, 20): 50, ("en", 0, 45): 9, ("en", 1, 60): 12, ("de", 1, 30): 9, ("de", 0, 10): 5})
     got = toxicity._calibrate(counts)
