@@ -3,18 +3,21 @@
 A word's embedding is the mean of the embeddings of its hashed parts (the word and its
 beginnings), so that unseen words have one too.  Filters of several widths slide over
 the words; the largest activations of each filter are pooled and a logistic unit gives
-the score.  The network is trained in numpy by one task, on a bounded sample of
-labelled rows, those of the folds by tasks beside it; texts never come to the driver.
-Scoring is one pass over the documents, without a shuffle.  Thresholds are calibrated by
-language on the scores of all labelled rows.
+the score.  The network is trained in numpy on the driver's machine, on a bounded sample
+of labelled rows, in a process of its own whose memory goes with it; scoring is one pass
+over the documents, without a shuffle.  Thresholds are calibrated by language on the
+scores of all labelled rows.
 """
 
 from __future__ import annotations
 
 import ctypes
 import gc
+import os
 import pickle
 import re
+import subprocess
+import sys
 import uuid
 import zlib
 from collections import Counter
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, fresh, strings, written
+from .common import fresh, strings, written
 
 BUCKETS, DIMS, FILTERS = 1 << 15, 16, 8
 WIDTHS = (1, 2, 3)
@@ -258,7 +261,7 @@ def fit(
     keep their shares.  Several labels of an id count as toxic if one is.  Without labels
     of both classes every score is the share of toxic labels, or 0.  With ``folds`` the
     sample's rows are also scored by networks fitted on the other folds, for ``calibrate``.
-    Ids, labels and languages of the sample come to the driver, and the weights.
+    Texts leave the driver's process for the one that trains.
     """
     known = known_labels(labels, id_col, label_col)
     shares = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -268,56 +271,62 @@ def fit(
         picked = part if picked is None else picked.unionByName(part)
     lang = F.col(lang_col) if lang_col and lang_col in docs.columns else F.lit("")
     text = docs.where(f"`{id_col}` is not null").select(id_col, F.col(text_col).alias("t"), F.coalesce(lang, F.lit("")).alias("g"))
-    rows = text.join(F.broadcast(picked), id_col).orderBy(F.xxhash64(id_col), id_col).limit(max_toxic + max_clean)
-    sample = written(rows.withColumn("at", F.monotonically_increasing_id()), "sample")
-    rows = sample.select("at", id_col, "y", "g").orderBy("at").collect()
+    rows = text.join(F.broadcast(picked), id_col).orderBy(F.xxhash64(id_col), id_col).limit(max_toxic + max_clean).collect()
     y = np.array([r["y"] for r in rows])
     share = shares.get(1, 0) / max(1, sum(shares.values()))
     if len(set(y.tolist())) < 2:
         flat = Model(np.zeros((BUCKETS, DIMS), np.float32), {w: np.zeros((w, DIMS, FILTERS), np.float32) for w in WIDTHS}, {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}, np.zeros(len(WIDTHS) * FILTERS * len(POOLS) + 2))
         flat.out[-1] = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
         flat.thresholds = {"": 0.5}
-        discard(sample)
         return flat
     per_class = np.array([(y == v).sum() for v in (0, 1)])
     weight = np.array([shares[0] / per_class[0], shares[1] / per_class[1]])[y]
     fold = np.arange(len(y)) % max(1, folds)
     tested = folds > 1 and min((y[fold != f] == 1).sum() for f in range(folds)) >= 10 and min((y[fold != f] == 0).sum() for f in range(folds)) > 0
-    got = dict(_fitted(sample, weight, fold, [-1, *(range(folds) if tested else [])], epochs))
-    discard(sample)
-    model = pickle.loads(got.pop(-1))
+    texts, about = [r["t"] or "" for r in rows], [(r[id_col], r["g"]) for r in rows]
+    del rows
+    job = pickle.dumps((texts, y, weight, fold, range(folds) if tested else [], epochs))
+    del texts
+    model, tests = _in_own_process(job)
+    del job
+    released()
     model.thresholds = {"": 0.5}
-    model.fitted = [r[id_col] for r in rows]
-    for f, scores in got.items():
-        for i, v in zip(np.flatnonzero(fold == f), pickle.loads(scores)):
-            model.folds[rows[i]["g"], int(y[i]), int(v * 100)] += 1
+    model.fitted = [x for x, _ in about]
+    for f, scores in enumerate(tests):
+        for i, v in zip(np.flatnonzero(fold == f), scores):
+            model.folds[about[i][1], int(y[i]), int(v * 100)] += 1
     return model
 
 
-def _fitted(sample: DataFrame, weight: np.ndarray, fold: np.ndarray, wanted: list[int], epochs: int) -> list[tuple[int, bytes]]:
-    """(fold, result) for ``wanted``, a task each: for -1 the network fitted on the whole sample,
-    for a fold the scores of its rows by a network fitted on the others; both pickled."""
+def fitted(job: bytes) -> tuple[Model, list[np.ndarray]]:
+    """The network of a pickled sample, and the scores of each fold's rows by one fitted on the others."""
+    texts, y, weight, fold, tested, epochs = pickle.loads(job)
+    model, tests = train(texts, y, weight, epochs), []
+    for f in tested:
+        trial = train([t for t, o in zip(texts, fold) if o != f], y[fold != f], weight[fold != f], epochs)
+        tests.append(scores_of(trial, [texts[i] for i in np.flatnonzero(fold == f)], {}, []))
+    return model, tests
+
+
+#: What is printed on the way goes to the errors, the result to the pipe.
+_OWN = """
+import os, pickle, sys
+pipe = os.fdopen(os.dup(1), "wb")
+os.dup2(2, 1)
+from cloudloom.llm.toxicity import fitted
+pickle.dump(fitted(sys.stdin.buffer.read()), pipe)
+pipe.close()
+"""
 
-    def run(key, table):
-        f, table = key[0].as_py(), table.sort_by("at")
-        texts, y = [t or "" for t in table["t"].to_pylist()], table["y"].to_numpy()
-        if f < 0:
-            result = train(texts, y, weight, epochs)
-        else:
-            trial = train([t for t, o in zip(texts, fold) if o != f], y[fold != f], weight[fold != f], epochs)
-            result = scores_of(trial, [texts[i] for i in np.flatnonzero(fold == f)], {}, [])
-        out = pa.table({"f": pa.array([f], pa.int32()), "result": pa.array([pickle.dumps(result)], pa.binary())})
-        del texts, table, result
-        released()
-        return out
 
-    # ranges, as hashes may send two folds to one task
-    each = sample.select("at", "t", "y", F.explode(F.array(*map(F.lit, wanted))).alias("f")).repartitionByRange(len(wanted), "f")
-    return [(r["f"], bytes(r["result"])) for r in each.groupBy("f").applyInArrow(run, "f int, result binary").collect()]
+def _in_own_process(job: bytes) -> tuple[Model, list[np.ndarray]]:
+    """``fitted`` in a process of its own: what training holds would stay with the driver otherwise."""
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(os.path.abspath(p) for p in sys.path)}
+    return pickle.loads(subprocess.run([sys.executable, "-c", _OWN], input=job, stdout=subprocess.PIPE, env=env, check=True).stdout)
 
 
 def released() -> None:
-    """Give back what training held: the process goes on to score, beside others of its executor."""
+    """Give back the memory of the sample's texts."""
     gc.collect()
     try:
         ctypes.CDLL(None).malloc_trim(0)

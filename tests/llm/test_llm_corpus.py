@@ -241,7 +241,7 @@ def test_rows_outside_the_fitting_sample_calibrate_their_language(spark):
     assert set(thresholds) == {"", "en", "es"}  # es has about 15 toxic rows, of which 3 are in the sample
 
 
-def test_networks_are_trained_in_tasks_as_in_one_place(spark, monkeypatch):
+def test_networks_are_trained_outside_the_driver_as_in_it(spark, monkeypatch):
     driver, train = os.getpid(), toxicity.train
 
     def elsewhere(*args):
