@@ -14,8 +14,14 @@ _MULTIPLIER, _MODULUS = 2654435761, 4294967296
 
 
 def priority(pid: Column, seed: int = 0) -> Column:
-    """A pseudo-random order that only depends on the point's id."""
-    return F.pmod((F.pmod(pid, F.lit(_MODULUS)) + seed) * F.lit(_MULTIPLIER).cast("bigint"), F.lit(_MODULUS).cast("bigint"))
+    """A pseudo-random order that only depends on the point's id: id times the multiplier, modulo 2**32.
+
+    The product of two such numbers has up to 64 bits, so it is made of the halves of one.
+    """
+    modulus, multiplier = F.lit(_MODULUS).cast("bigint"), F.lit(_MULTIPLIER).cast("bigint")
+    low = F.pmod(F.pmod(pid, modulus) + F.lit(seed % _MODULUS).cast("bigint"), modulus)
+    high = F.pmod(F.shiftright(low, 16) * multiplier, F.lit(1 << 16)) * F.lit(1 << 16)
+    return F.pmod(high + low.bitwiseAND(F.lit(0xFFFF).cast("bigint")) * multiplier, modulus)
 
 
 def _one_of_each(df: DataFrame, keys: list[str], seed: int, columns: list[str]) -> DataFrame:

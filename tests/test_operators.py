@@ -229,6 +229,25 @@ def test_samples_have_one_point_per_cell(plane):
     assert S.sampling_pixel(plane, 3.0, conditions="X < 10").where("X >= 10").count() == plane.where("X >= 10").count()
 
 
+def test_random_order_holds_for_large_ids(spark):
+    ids = [0, 1, (1 << 32) - 1, 3_474_701_532, 3_474_701_533, 4_607_999_999, (1 << 62) + 3_900_000_000, -5]
+    for seed in (0, 7, -3):
+        got = spark.createDataFrame([(i,) for i in ids], "pid long").select(S.priority(F.col("pid"), seed)).collect()
+        assert [r[0] for r in got] == [(i % (1 << 32) + seed) * 2654435761 % (1 << 32) for i in ids]
+    far = 3_900_000_000
+    cloud = spark.createDataFrame([(far + i, i % 10 * 0.1, 0.0, 0.0, i % 2) for i in range(40)], "pid long, X double, Y double, Z double, Classification int")
+    order = lambda rows: min(rows, key=lambda p: (p % (1 << 32) * 2654435761 % (1 << 32), p))
+    first = order(range(far, far + 40))
+    assert [r.pid for r in S.sampling_pixel(cloud, 5.0).collect()] == [first]
+    assert [r.pid for r in S.sampling_voxel(cloud, 5.0).collect()] == [first]
+    filtered = {r.pid for r in S.sampling_pixel(cloud, 5.0, conditions="Classification == 1").collect()}
+    assert filtered == {order(range(far + 1, far + 40, 2)), *range(far, far + 40, 2)}
+    assert [r.pid for r in S.sampling_poisson(cloud, 2.0).collect()] == [first]
+    from cloudloom.sources.catalog import with_depth
+
+    assert [r.pid for r in with_depth(cloud, 16.0, 3).where("depth = 0").collect()] == [first]
+
+
 def test_tiles_and_halos_agree_with_boxes(plane):
     spread = T.with_halo(plane, 10.0, 2.0)
     assert spread.where("not is_buffer").count() == plane.count()
