@@ -454,6 +454,11 @@ def _hull_bbox(spark, d):
 
 
 # --- neighbourhoods -------------------------------------------------------------------------
+def _slim(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Points with the columns that a query returns: operators in Python carry all that they get."""
+    return lineitem_points(spark, d, True).select("pid", "X", "Y", "Z", *more)
+
+
 @query(
     "ivf",
     f"""WITH {PP}, vox AS (SELECT pid, Classification, CAST(floor(X / 2::DOUBLE) AS BIGINT) AS a, CAST(floor(Y / 2::DOUBLE) AS BIGINT) AS b, CAST(floor(Z / 2::DOUBLE) AS BIGINT) AS c FROM PP),
@@ -463,7 +468,7 @@ def _hull_bbox(spark, d):
         SELECT pid, CASE WHEN coalesce(total.n, 0) < 6 THEN 18 ELSE Classification END AS Classification FROM vox LEFT JOIN total USING (a, b, c)""",
 )
 def _ivf(spark, d):
-    return N.classify_with_ivf(lineitem_points(spark, d, True), 2.0, 6).select("pid", "Classification")
+    return N.classify_with_ivf(_slim(spark, d, "Classification"), 2.0, 6).select("pid", "Classification")
 
 
 def _hash_pairs(h: float, dims: int = 3) -> str:
@@ -484,7 +489,7 @@ def _hash_pairs(h: float, dims: int = 3) -> str:
         SELECT pid, CASE WHEN n <= 2 THEN 18 ELSE Classification END AS Classification FROM PP JOIN n USING (pid)""",
 )
 def _ipf(spark, d):
-    return N.classify_with_ipf(lineitem_points(spark, d, True), 1.0, 1).select("pid", "Classification")
+    return N.classify_with_ipf(_slim(spark, d, "Classification"), 1.0, 1).select("pid", "Classification")
 
 
 def _knn(k: int, with_self: bool) -> str:
@@ -495,8 +500,8 @@ def _knn(k: int, with_self: bool) -> str:
 
 @query("knn", f"WITH {PP}, {_knn(3, True)} SELECT pid, pid2, CAST(k AS INT) AS rank, round(sqrt(d2), 6) AS distance FROM near")
 def _knn_query(spark, d):
-    p = lineitem_points(spark, d, True)
-    found = N.nearest_neighbours(p.select("pid", "X", "Y", "Z"), p, 3)
+    p = _slim(spark, d)
+    found = N.nearest_neighbours(p, p, 3, places=False)
     return found.select("pid", "pid2", F.col("rank").cast("int").alias("rank"), near(F.sqrt("d2")).alias("distance"))
 
 
@@ -506,7 +511,7 @@ def _knn_query(spark, d):
         SELECT pid, CASE WHEN m > lim THEN 18 ELSE Classification END AS Classification FROM PP LEFT JOIN mean USING (pid), stat""",
 )
 def _sor(spark, d):
-    return N.classify_with_sor(lineitem_points(spark, d, True), 8, 3).select("pid", "Classification")
+    return N.classify_with_sor(_slim(spark, d, "Classification"), 8, 3).select("pid", "Classification")
 
 
 _COV = "var_samp(X2) AS xx, var_samp(Y2) AS yy, var_samp(Z2) AS zz, covar_samp(X2, Y2) AS xy, covar_samp(X2, Z2) AS xz, covar_samp(Y2, Z2) AS yz"
@@ -546,12 +551,12 @@ _LM = f"""beaten AS (SELECT DISTINCT pid FROM pairs WHERE d2 < 2.25 AND (Z2 > Z1
 
 @query("local_max_points", f"WITH {PP}, {_hash_pairs(1.5, 2)}, {_LM} SELECT pid, {_XYZ} FROM lm")
 def _local_max(spark, d):
-    return rounded(N.local_maximum(lineitem_points(spark, d, True), 3.0, 2.0).select("pid", "X", "Y", "Z"))
+    return rounded(N.local_maximum(_slim(spark, d), 3.0, 2.0))
 
 
 @query("local_max_flag", f"WITH {PP}, {_hash_pairs(1.5, 2)}, {_LM} SELECT PP.pid, CASE WHEN lm.pid IS NULL THEN 0 ELSE 1 END AS is_maximum FROM PP LEFT JOIN lm USING (pid)")
 def _local_max_flag(spark, d):
-    return N.local_maximum_flag(lineitem_points(spark, d, True), 3.0, 2.0).select("pid", "is_maximum")
+    return N.local_maximum_flag(_slim(spark, d), 3.0, 2.0).select("pid", "is_maximum")
 
 
 @query(
@@ -574,7 +579,7 @@ def _local_max_raster(spark, d):
 )
 def _neighborhood(spark, d):
     p = lineitem_points(spark, d, True)
-    return rounded(N.neighborhood_metrics(N.local_maximum(p, 3.0, 2.0), p, ["count", "z_mean", "i_mean"], k=0, r=2.0))
+    return rounded(N.neighborhood_metrics(N.local_maximum(_slim(spark, d), 3.0, 2.0), p, ["count", "z_mean", "i_mean"], k=0, r=2.0))
 
 
 # --- transformations ------------------------------------------------------------------------

@@ -349,3 +349,93 @@ def test_random_fractions_keep_their_share(plane):
 
     assert abs(plane.where(random_fraction(0.3, 5)).count() / 3000 - 0.3) < 0.04
     assert plane.where(random_fraction(1.0)).count() == 3000 and plane.where(random_fraction(-1.0)).count() == 0
+
+
+def moved_rows(spark, df):
+    """Rows that a query shuffles, where no table is small enough to be broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+
+        def shuffled():
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+            none = jvm.java.util.ArrayList()
+            stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+            return {s.stageId(): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+        before = shuffled()
+        df().write.format("noop").mode("overwrite").save()
+        return sum(n for stage, n in shuffled().items() if stage not in before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.fixture(scope="module")
+def patchy(spark):
+    """Even points, a crowded place, equal heights, copies, and points far off."""
+    rng = random.Random(8)
+    rows = [(rng.uniform(-30, 30), rng.uniform(-30, 30), rng.randint(0, 40) * 0.5) for _ in range(2500)]
+    rows += [(7 + rng.gauss(0, 0.3), 3 + rng.gauss(0, 0.3), rng.randint(0, 3) * 1.0) for _ in range(400)]
+    rows += [(1.0, 2.0, 30.0)] * 4 + [(400.0, -300.0, 5.0), (-29.0, 29.0, 90.0)]
+    return rows, cloud_of(spark, rows).repartition(7).cache()
+
+
+def by_joins(monkeypatch, run):
+    with monkeypatch.context() as m:
+        m.setattr(N.L, "MOST_POINTS", 0)
+        return run()
+
+
+@pytest.mark.parametrize("per", [40, 32_000])
+def test_counts_and_maxima_in_tiles_agree_with_joins_and_all_pairs(spark, patchy, monkeypatch, per):
+    rows, df = patchy
+    monkeypatch.setattr(N.L, "TILE_POINTS", per)
+    a = np.array(rows)
+    d2 = ((a[:, None] - a[None]) ** 2).sum(-1)
+    flagged = lambda q: {r.pid for r in q.where("Classification = 18").collect()}
+    for r, n in ((1.0, 1), (2.5, 4)):
+        run = lambda r=r, n=n: flagged(N.classify_with_ipf(df, r, n))
+        assert run() == by_joins(monkeypatch, run) == set(np.flatnonzero((d2 <= r * r).sum(1) <= n + 1).tolist())
+    for res, kept in ((2.0, None), ((3.0, 1.5, 4.0), "Z > 3")):
+        run = lambda res=res, kept=kept: flagged(N.classify_with_ivf(df, res, 6, conditions=kept))
+        assert run() == by_joins(monkeypatch, run)
+    xy = ((a[:, None, :2] - a[None, :, :2]) ** 2).sum(-1)
+    for ws in (3.0, 6.0):
+        near, z, i = xy < ws * ws / 4, a[:, 2], np.arange(len(a))
+        beaten = near & ((z > z[:, None]) | ((z == z[:, None]) & (i < i[:, None]) & (xy > 0)))
+        want = set(np.flatnonzero((z >= 2) & ~beaten.any(axis=1)).tolist())
+        run = lambda ws=ws: {r.pid for r in N.local_maximum(df, ws).collect()}
+        assert run() == by_joins(monkeypatch, run) == want
+        marks = N.local_maximum_flag(df, ws).collect()
+        assert len(marks) == len(rows) and {r.pid for r in marks if r.is_maximum} == want
+
+
+def test_points_without_a_place_stay(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0, 5.0, 1), (2, None, 0.0, 5.0, 1), (3, 0.1, 0.0, None, 1), (4, 0.1, 0.1, 4.0, 1)], SCHEMA + ", Classification int")
+    got = lambda q, c: {r.pid: r[c] for r in q.collect()}
+    assert got(N.local_maximum_flag(df, 3.0), "is_maximum") == {1: 1, 2: 0, 3: 0, 4: 0}
+    assert got(N.classify_with_ipf(df, 0.5, 1), "Classification") == {1: 18, 2: 1, 3: 1, 4: 18}
+    assert got(N.classify_with_ivf(df, 1.0, 1), "Classification") == {1: 1, 2: 18, 3: 18, 4: 1}
+
+
+@pytest.mark.parametrize(
+    "operator, most",
+    [
+        (lambda p: N.classify_with_ipf(p, 1.0), 2),
+        (lambda p: N.classify_with_ivf(p, 2.0), 2),
+        (lambda p: N.local_maximum(p, 3.0), 2),
+        (lambda p: N.local_maximum_flag(p, 3.0), 2),
+        (lambda p: N.neighborhood_metrics(N.local_maximum(p, 3.0), p, ["count", "z_mean"], k=0, r=2.0), 5),
+        (lambda p: N.nearest_neighbours(p, p, 3, places=False), 4),
+        (lambda p: N.classify_with_sor(p), 4),
+        (lambda p: G.geometry_features(p, 8, features="i"), 4),
+    ],
+    ids=["ipf", "ivf", "local_max_points", "local_max_flag", "neighborhood_metrics", "knn", "sor", "geom_inclination"],
+)
+def test_points_are_shuffled_a_few_times_only(spark, tmp_path, operator, most):
+    rng = np.random.default_rng(4)
+    n = 30_000
+    path = str(tmp_path / "cloud")
+    frame = pd.DataFrame({"pid": np.arange(n), "X": rng.uniform(0, 60, n), "Y": rng.uniform(0, 100, n), "Z": rng.uniform(0, 50, n), "Classification": 1})
+    spark.createDataFrame(frame).write.parquet(path)
+    assert moved_rows(spark, lambda: operator(spark.read.parquet(path))) <= most * n
