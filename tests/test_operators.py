@@ -429,8 +429,10 @@ def test_points_without_a_place_stay(spark):
         (lambda p: N.nearest_neighbours(p, p, 3, places=False), 4),
         (lambda p: N.classify_with_sor(p), 4),
         (lambda p: G.geometry_features(p, 8, features="i"), 4),
+        (lambda p: C.classify_with_csf(p, cloth_resolution=2.0), 4),
+        (lambda p: I.normalize(p.withColumn("Classification", F.when(F.col("pid") % 40 == 0, 2).otherwise(1)), "HAG"), 2),
     ],
-    ids=["ipf", "ivf", "local_max_points", "local_max_flag", "neighborhood_metrics", "knn", "sor", "geom_inclination"],
+    ids=["ipf", "ivf", "local_max_points", "local_max_flag", "neighborhood_metrics", "knn", "sor", "geom_inclination", "csf", "normalize"],
 )
 def test_points_are_shuffled_a_few_times_only(spark, tmp_path, operator, most):
     rng = np.random.default_rng(4)
@@ -439,3 +441,80 @@ def test_points_are_shuffled_a_few_times_only(spark, tmp_path, operator, most):
     frame = pd.DataFrame({"pid": np.arange(n), "X": rng.uniform(0, 60, n), "Y": rng.uniform(0, 100, n), "Z": rng.uniform(0, 50, n), "Classification": 1})
     spark.createDataFrame(frame).write.parquet(path)
     assert moved_rows(spark, lambda: operator(spark.read.parquet(path))) <= most * n
+
+
+def test_rings_close_where_triangles_are_doubled_or_overlap(spark):
+    square = [((0, 0), (2, 0), (2, 2)), ((0, 0), (2, 2), (0, 2))]
+    for extra in ([square[0]], [square[0], square[1]], [((2, 0), (2, 2), (1, 1))]):
+        rows = [(i, *[float(v) for x, y in t for v in (x, y, 0)]) for i, t in enumerate([*square, *extra])]
+        triangles = spark.createDataFrame(rows, I.TRIANGLE)
+        twice = sum((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]) for a, b, c in [*square, *extra])
+        rings = I.hull_rings(triangles).collect()
+        assert sum(r.area for r in rings) == pytest.approx(twice / 2)
+        assert all(r.ring[0] == r.ring[-1] for r in rings)
+
+
+def test_a_triangle_has_one_owner_whatever_its_first_corner():
+    rng = np.random.default_rng(2)
+    found = 0
+    for x in rng.uniform(100, 200, (300, 3)):
+        means = [np.mean(x[list(order)]) for order in ((0, 1, 2), (1, 2, 0), (2, 0, 1))]
+        if min(means) < max(means):
+            found += 1
+            y = np.array([0.25, 0.5, 0.75])
+            for size in (min(means), max(means)):
+                owners = [{i for i in (0, 1) if len(I.own_triangles(x, y, np.array([t]), (i, 0), size))} for t in ((0, 1, 2), (1, 2, 0), (2, 0, 1))]
+                assert owners[0] == owners[1] == owners[2] and len(owners[0]) == 1
+    assert found
+
+
+def plain_densify(x, y, z, res, angle, distance, spacing, rounds=12):
+    """Every round triangulates anew and looks all points up."""
+    n = len(x)
+    seeds = pd.DataFrame({"i": np.floor(x / res), "j": np.floor(y / res), "z": z}).groupby(["i", "j"])["z"].idxmin().to_numpy()
+    bx, by = (np.linspace(v.min() - res, v.max() + res, max(3, int(np.ptp(v) / res) + 2)) for v in (x, y))
+    edge = np.array([(u, v) for u in bx for v in by if u in (bx[0], bx[-1]) or v in (by[0], by[-1])])
+    nearest = np.argmin((edge[:, :1] - x[seeds]) ** 2 + (edge[:, 1:] - y[seeds]) ** 2, axis=1)
+    x, y, z = np.r_[x, edge[:, 0]], np.r_[y, edge[:, 1]], np.r_[z, z[seeds][nearest]]
+    ground = np.arange(len(x)) >= n
+    ground[seeds] = True
+
+    def under():
+        own, rest = np.flatnonzero(ground), np.flatnonzero(~ground)
+        t = own[I.delaunay(x[own], y[own])]
+        (ax, bx, cx), (ay, by, cy) = x[t].T[:, :, None], y[t].T[:, :, None]
+        det = (by - cy) * (ax - cx) + (cx - bx) * (ay - cy)
+        wa = ((by - cy) * (x[rest] - cx) + (cx - bx) * (y[rest] - cy)) / det
+        wb = ((cy - ay) * (x[rest] - cx) + (ax - cx) * (y[rest] - cy)) / det
+        at = ((wa >= -1e-9) & (wb >= -1e-9) & (wa + wb <= 1 + 1e-9)).argmax(axis=0)
+        w = np.column_stack([v[at, np.arange(len(rest))] for v in (wa, wb, 1 - wa - wb)])
+        return rest, at, t[at], np.abs(z[rest] - (w * z[t[at]]).sum(1))
+
+    for _ in range(rounds):
+        rest, at, corners, off = under()
+        sides = np.hypot(x[rest][:, None] - x[corners], y[rest][:, None] - y[corners])
+        slope = np.abs(z[rest][:, None] - z[corners]) / np.maximum(sides, 1e-9)
+        joins = (off <= distance) & (slope.max(axis=1) <= np.tan(np.radians(angle))) & (sides.min(axis=1) >= spacing)
+        if not joins.any():
+            break
+        rows = pd.DataFrame({"t": at[joins], "off": off[joins], "p": rest[joins]}).sort_values(["t", "off", "p"])
+        ground[rows.drop_duplicates("t")["p"].to_numpy()] = True
+    rest, _, _, off = under()
+    ground[rest[off <= spacing]] = True
+    return ground[:n].astype(np.int32)
+
+
+def test_densification_inserts_a_point_once_and_looks_up_what_changed(monkeypatch):
+    from cloudloom.operators import tin
+
+    inserts = []
+    plain = tin.Triangulation.insert
+    monkeypatch.setattr(tin.Triangulation, "insert", lambda self, p, t=None: (inserts.append(p), plain(self, p, t))[1])
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        x, y = rng.uniform(0, 40, 1500), rng.uniform(0, 40, 1500)
+        z = np.sin(x / 9) * 3 + np.where(rng.random(1500) < 0.5, 0, rng.uniform(0, 30, 1500))
+        inserts.clear()
+        got = C.densify(x, y, z, 10.0, 60.0, 2.0, 0.25)
+        assert len(inserts) <= got.sum() + 60
+        assert (got == plain_densify(x, y, z, 10.0, 60.0, 2.0, 0.25)).all()
