@@ -64,19 +64,20 @@ def spread(df: DataFrame, side: float, halo: float, shared: list[str]) -> DataFr
     return wide.select(*kept, (F.col("__ti") + F.col("__d.i")).alias("__i"), (F.col("__tj") + F.col("__d.j")).alias("__j"), core.alias("__core"))
 
 
-def in_tiles(df: DataFrame, side: float, halo: float, shared: list[str], function: Callable[[pa.Table, np.ndarray], pa.Array], out: tuple[str, str], drop: list[str] = ()) -> DataFrame:
+def in_tiles(df: DataFrame, side: float, halo: float, shared: list[str], function: Callable[..., pa.Array], out: tuple[str, str], drop: list[str] = (), keyed: bool = False) -> DataFrame:
     """``df`` with a column ``out`` (name and type): ``function(table, core)`` gives the values of a tile's own rows, in their order.
 
     The table holds the tile's rows and those within ``halo`` of it.  Columns in ``drop`` are only
-    there for the function.
+    there for the function.  With ``keyed`` it gets the tile's numbers first.
     """
     columns = [c for c in df.columns if c not in drop]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in columns], f"`{out[0]}` {out[1]}"])
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
         core = numbers(table, "__core").astype(bool)
-        return table.filter(pa.array(core)).select(columns).append_column(out[0], function(table, core))
+        values = function(key, table, core) if keyed else function(table, core)
+        return table.filter(pa.array(core)).select(columns).append_column(out[0], values)
 
     return spread(df, side, halo, shared).groupBy("__i", "__j").applyInArrow(run, schema)
 

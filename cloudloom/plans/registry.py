@@ -270,7 +270,7 @@ def _voxel_random(spark, d):
 
 @query("poisson")
 def _poisson(spark, d):
-    return rounded(S.sampling_poisson(lineitem_points(spark, d, True), 2.0).select("pid", "X", "Y", "Z"))
+    return rounded(S.sampling_poisson(_slim(spark, d), 2.0))
 
 
 # --- rasters and metrics -------------------------------------------------------------------
