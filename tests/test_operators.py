@@ -429,10 +429,12 @@ def test_points_without_a_place_stay(spark):
         (lambda p: N.nearest_neighbours(p, p, 3, places=False), 4),
         (lambda p: N.classify_with_sor(p), 4),
         (lambda p: G.geometry_features(p, 8, features="i"), 4),
+        (lambda p: S.sampling_poisson(p, 1.0), 4),
+        (lambda p: U.region_growing(R.rasterize(p, 1.0, ["z_max"]), "z_max", N.local_maximum_raster(R.rasterize(p, 1.0, ["z_max"]), "z_max", 5.0), 1.0), 5),
         (lambda p: C.classify_with_csf(p, cloth_resolution=2.0), 4),
         (lambda p: I.normalize(p.withColumn("Classification", F.when(F.col("pid") % 40 == 0, 2).otherwise(1)), "HAG"), 2),
     ],
-    ids=["ipf", "ivf", "local_max_points", "local_max_flag", "neighborhood_metrics", "knn", "sor", "geom_inclination", "csf", "normalize"],
+    ids=["ipf", "ivf", "local_max_points", "local_max_flag", "neighborhood_metrics", "knn", "sor", "geom_inclination", "poisson", "region_growing", "csf", "normalize"],
 )
 def test_points_are_shuffled_a_few_times_only(spark, tmp_path, operator, most):
     rng = np.random.default_rng(4)
@@ -518,3 +520,21 @@ def test_densification_inserts_a_point_once_and_looks_up_what_changed(monkeypatc
         got = C.densify(x, y, z, 10.0, 60.0, 2.0, 0.25)
         assert len(inserts) <= got.sum() + 60
         assert (got == plain_densify(x, y, z, 10.0, 60.0, 2.0, 0.25)).all()
+
+
+@pytest.mark.parametrize("per", [40, 32_000, None])
+def test_poisson_takes_what_greedy_selection_takes(spark, patchy, monkeypatch, per):
+    rows, df = patchy
+    if per is None:
+        monkeypatch.setattr(S, "side_of", lambda *_: None)
+    else:
+        monkeypatch.setattr(N.L, "TILE_POINTS", per)
+    a = np.array(rows)
+    for distance in (0.8, 2.5):
+        taken = []
+        for i in sorted(range(len(a)), key=lambda i: (i * 2654435761 % (1 << 32), i)):
+            if not taken or (((a[taken] - a[i]) ** 2).sum(axis=1) >= distance * distance).all():
+                taken.append(i)
+        got = S.sampling_poisson(df, distance)
+        assert got.columns == df.columns
+        assert sorted(r.pid for r in got.collect()) == sorted(taken)
